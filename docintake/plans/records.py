@@ -17,6 +17,7 @@ from docintake.plans.roles import (
     source_name,
     sql_field,
     sql_shown,
+    texts,
 )
 from docintake.session import shared_folder
 from docintake.sources import model, tables
@@ -78,7 +79,7 @@ def q_single_document(t: Tables):
     sql=f"select doc_id, {sql_field('email', 'text')} as email, {sql_field('dien_thoai', 'text')} as dien_thoai from documents",
 )
 def q_extract_fields(t: Tables):
-    return t.documents.select(
+    return texts(t).select(
         "doc_id", *[text.extract_field(F.col("text"), k).alias(k) for k in ("email", "dien_thoai")]
     )
 
@@ -276,7 +277,7 @@ def q_prompt_rows(t: Tables):
         F.lit('",'),
         F.col("n_chars").cast("string"),
     )
-    chunks = selection.csv_chunks(t.documents, line, "doc_id")
+    chunks = selection.csv_chunks(texts(t), line, "doc_id")
     columns = ["doc_id", "lang", "email", "n_chars"]
     prompts = selection.question_prompts(chunks, "Who has an address?", columns, "Answer from these records.")
     return prompts.select("chunk", *[F.get("prompt", F.lit(i)).alias(c) for i, c in enumerate(["system", "data", "question"])])

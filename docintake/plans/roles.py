@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docintake.fixed_values import LABELS, RECORD_FROM_INFO, WHITE_SPACE
 from docintake.functions.text import label_pattern
 from docintake.plans.registry import Tables
+from docintake.session import spread
 
 # --- SQL fragments -----------------------------------------------------------
 
@@ -36,6 +37,11 @@ def sql_shown(ts: str) -> str:
 # --- documents with labelled lines in front ----------------------------------
 
 
+def texts(t: Tables) -> DataFrame:
+    """Documents with a task per core for the work on their texts."""
+    return spread(t.documents, "doc_id")
+
+
 def profile(t: Tables) -> DataFrame:
     """Documents whose text starts with labelled lines in two languages."""
     line = {
@@ -46,7 +52,7 @@ def profile(t: Tables) -> DataFrame:
         "dia_chi": F.concat(F.lit("Address:  "), F.col("lang"), F.lit(" "), F.col("source"), F.lit("  ")),
     }
     head = F.concat_ws("\n", *line.values())
-    return t.documents.withColumn("text", F.concat(head, F.lit("\n"), F.col("text"), F.lit("\nSkills: "), F.col("lang")))
+    return texts(t).withColumn("text", F.concat(head, F.lit("\n"), F.col("text"), F.lit("\nSkills: "), F.col("lang")))
 
 
 SQL_PROFILE = """

@@ -51,3 +51,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give CPU-bound text work a task per core when a scan has fewer splits than that.
+
+    Only for plain scans.  A large table has splits enough and is left alone,
+    so nothing is shuffled at scale; a table of one small file is spread by key.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan.rdd.getNumPartitions()
+    return scan.repartition(cores, key) if splits < cores else scan
