@@ -50,7 +50,8 @@ LABELS = {
 LABEL_SEPARATOR = r"[:\-\s]+"
 REST_OF_LINE = r"([^\n]+)"
 UP_TO_THREE_DIGITS = r"(\d{1,3})"
-EMAIL_PATTERN = r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
+EMAIL_LOCAL_SIGN = r"[a-zA-Z0-9_.+-]"
+EMAIL_HOST = r"@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE_PATTERN = r"(\+?\d[\d\-\s]{7,}\d)"
 
 # --- intake ------------------------------------------------------------------
@@ -122,7 +123,7 @@ NEGATIVE_MARK = "ℹ️ "
 MOOD_MIN_LENGTH = 50
 FACE_EMOJI = r"[\x{1F600}-\x{1F64F}]"
 BULLET = "• "
-FILE_MENTION = r"(?iU)([\w\s.-]+\.(?:pdf|docx?))"
+FILE_MENTION = r"([\w\s.-]+\.(?:pdf|docx?))"
 
 CONTEXT_MESSAGES = 10
 CONTEXT_EXCHANGES = 5

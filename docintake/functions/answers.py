@@ -1,6 +1,6 @@
 """Model answers: JSON taken out of free text, and clean-up for display."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import (
@@ -26,8 +26,8 @@ def first_match(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def strict_json(candidate: Column, ddl: str) -> Column:
-    """Parse a whole text as one JSON value, or null.
+def strict_json(rows: DataFrame, candidate: str, ddl: str, out: str) -> DataFrame:
+    """Parse a whole text as one JSON value into ``out``, or null.
 
     Spark's parser stops after the first value and would let trailing text
     pass.  So the text is wrapped together with its own hash: the hash only
@@ -35,8 +35,8 @@ def strict_json(candidate: Column, ddl: str) -> Column:
     """
     seal = F.xxhash64(candidate).cast("string")
     wrapped = F.concat(F.lit('{"v":'), candidate, F.lit(',"seal":"'), seal, F.lit('"}'))
-    parsed = F.from_json(wrapped, f"struct<v:{ddl},seal:string>", STRICT)
-    return F.when(parsed["seal"] == seal, parsed["v"])
+    parsed = rows.withColumn("__parsed", F.from_json(wrapped, f"struct<v:{ddl},seal:string>", STRICT))
+    return parsed.withColumn(out, F.when(F.col("__parsed.seal") == seal, F.col("__parsed.v"))).drop("__parsed")
 
 
 def json_object_text(answer: Column) -> Column:
@@ -44,18 +44,24 @@ def json_object_text(answer: Column) -> Column:
     return F.coalesce(first_match(answer, FENCED_OBJECT, 1), first_match(answer, BARE_OBJECT, 0), strip(answer))
 
 
-def info_from_answer(answer: Column) -> Column:
+def json_array_text(answer: Column) -> Column:
+    return F.coalesce(first_match(answer, FENCED_ARRAY, 1), first_match(answer, BARE_ARRAY, 1), strip(answer))
+
+
+def with_answer_info(rows: DataFrame, answer: str, out: str = "info") -> DataFrame:
     """The nine fields of an answer that is a non-empty JSON object, else null."""
-    candidate = json_object_text(answer)
-    usable = F.startswith(candidate, F.lit("{")) & ~candidate.rlike(r"^\{\s*\}$")
-    return F.when(usable, strict_json(candidate, INFO.simpleString()))
+    found = rows.withColumn("__text", json_object_text(F.col(answer)))
+    usable = F.startswith("__text", F.lit("{")) & ~F.col("__text").rlike(r"^\{\s*\}$")
+    found = found.withColumn("__text", F.when(usable, F.col("__text")))
+    return strict_json(found, "__text", INFO.simpleString(), out).drop("__text")
 
 
-def array_from_answer(answer: Column) -> Column:
+def with_answer_array(rows: DataFrame, answer: str, out: str) -> DataFrame:
     """The strings of a JSON array in an answer; null if there is no array."""
-    candidate = F.coalesce(first_match(answer, FENCED_ARRAY, 1), first_match(answer, BARE_ARRAY, 1), strip(answer))
-    parsed = F.when(F.startswith(candidate, F.lit("[")), strict_json(candidate, "array<string>"))
-    return F.filter(parsed, lambda x: x.isNotNull())
+    found = rows.withColumn("__text", json_array_text(F.col(answer)))
+    found = found.withColumn("__text", F.when(F.startswith("__text", F.lit("[")), F.col("__text")))
+    parsed = strict_json(found, "__text", "array<string>", out).drop("__text")
+    return parsed.withColumn(out, F.array_compact(out))
 
 
 def tidy_layout(answer: Column) -> Column:
@@ -75,5 +81,7 @@ def mark_mood(answer: Column) -> Column:
     )
 
 
-def clean_answer(answer: Column) -> Column:
-    return mark_mood(tidy_layout(answer))
+def clean_answers(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Answers laid out and marked for display."""
+    laid = rows.withColumn(answer, tidy_layout(F.col(answer)))
+    return laid.withColumn(answer, mark_mood(F.col(answer)))

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import (
-    EMAIL_PATTERN,
+    EMAIL_HOST,
+    EMAIL_LOCAL_SIGN,
     INFO_KEYS,
     LABEL_SEPARATOR,
     LABELS,
@@ -95,8 +96,7 @@ def extract_field(text: Column, field: str, folded: Column | None = None) -> Col
     """
     if field == "email":
         # start at the head of a run and never give signs of the run back
-        run = EMAIL_PATTERN[1:].split("+@")[0]
-        pattern = f"(?<!{run})({run}++@" + EMAIL_PATTERN.split("+@", 1)[1]
+        pattern = f"(?<!{EMAIL_LOCAL_SIGN})({EMAIL_LOCAL_SIGN}++{EMAIL_HOST})"
         found = F.when(F.contains(text, F.lit("@")), F.regexp_extract(text, f"(?iU){pattern}", 1))
     elif field == "dien_thoai":
         found = F.regexp_extract(text, f"(?iU){PHONE_PATTERN}", 1)

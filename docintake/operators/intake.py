@@ -93,10 +93,9 @@ def judged_parts(
         )
 
     documents = F.filter("parts", lambda p: text.suffix(p["filename"]).isin(list(suffixes)))
-    judged = judged.withColumn("documents", F.transform(documents, judge))
-    return judged.withColumn(
-        "kept", F.array_sort(F.filter("documents", lambda p: F.col("kw") | ~p["plain"]))
-    )
+    judged = judged.withColumn("documents", F.array_sort(F.transform(documents, judge)))
+    obvious = F.filter("documents", lambda p: ~p["plain"])
+    return judged.withColumn("kept", F.when(F.col("kw"), F.col("documents")).otherwise(obvious))
 
 
 def worth_processing() -> Column:

@@ -11,50 +11,41 @@ EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}
 KEY_WORDS = 4
 
 
-def _runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring words, as texts."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - F.lit(n))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+def _word_runs(words: Column, longest: int) -> Column:
+    """The distinct runs of up to ``longest`` neighbouring words, as texts."""
+    runs, all_runs = words, [words]
+    for n in range(1, longest):
+        # pairs each run with the word behind it; runs at the end become null
+        runs = F.zip_with(runs, F.slice(words, n + 1, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        all_runs.append(runs)
+    return F.array_compact(F.array_distinct(F.flatten(F.array(*all_runs))))
+
+
+def words_of(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"({WORDS})"), F.lit(1))
 
 
 def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
     """Pairs ``(id, name)`` where the answer holds the name as whole words.
 
     Each distinct name is keyed by its first words (up to ``key_words``), each
-    answer by the word runs of these lengths; an equi-join on the key finds
-    the candidates and the whole name is verified on them.  Answers are only
-    matched with names they share a word run with, never with all names.
+    answer by its runs of so many words; an equi-join on the key finds the
+    candidates and the whole name is verified on them.  So an answer only
+    meets names it shares a word run with, never all names, and the long
+    answer texts stay out of the exploded rows.
     """
-    key_of = F.regexp_extract_all(F.col("name"), F.lit(f"({WORDS})"), F.lit(1))
     keyed = (
         names.select(text.strip(F.col("name")).alias("name"))
         .where(F.col("name") != "")
         .distinct()
-        .withColumn("__w", F.slice(key_of, 1, key_words))
-        .where(F.size("__w") > 0)
-        .select("name", F.size("__w").alias("n"), F.array_join("__w", " ").alias("key"))
+        .select("name", F.array_join(F.slice(words_of(F.col("name")), 1, key_words), " ").alias("key"))
+        .where(F.col("key") != "")
     )
-    words = F.regexp_extract_all(F.col("answer"), F.lit(f"({WORDS})"), F.lit(1))
-    runs = answers.select("id", "answer", words.alias("__w")).select(
-        "id",
-        "answer",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.array(
-                        *[
-                            F.transform(_runs(F.col("__w"), n), lambda k, n=n: F.struct(F.lit(n).alias("n"), k.alias("key")))
-                            for n in range(1, key_words + 1)
-                        ]
-                    )
-                )
-            )
-        ).alias("r"),
-    )
-    candidates = runs.select("id", "answer", "r.n", "r.key").join(keyed, ["n", "key"])
-    return candidates.where(whole_word(F.col("answer"), F.col("name"))).select("id", "name")
+    words = answers.select("id", words_of(F.col("answer")).alias("w"))
+    runs = words.select("id", F.explode(_word_runs(F.col("w"), key_words)).alias("key"))
+    candidates = runs.join(keyed, "key").select("id", "name")
+    verified = answers.select("id", "answer").join(candidates, "id")
+    return verified.where(whole_word(F.col("answer"), F.col("name"))).select("id", "name")
 
 
 def quoted(c: Column) -> Column:
@@ -101,8 +92,15 @@ def link_or_name(rows: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+# a mention takes its run of signs up to the last suffix in it, so it can only
+# start at the head of a run; saying so keeps the search linear
+MENTION = r"(?iU)(?<![\w\s.-])" + FILE_MENTION
+
+
 def raw_mentions(answer: Column) -> Column:
-    return F.regexp_extract_all(answer, F.lit(FILE_MENTION), F.lit(1))
+    low = F.lower(answer)
+    maybe = F.contains(low, F.lit(".pdf")) | F.contains(low, F.lit(".doc"))
+    return F.when(maybe, F.regexp_extract_all(answer, F.lit(MENTION), F.lit(1)))
 
 
 def file_mentions(answers: DataFrame) -> DataFrame:
@@ -140,7 +138,7 @@ def link_files(answers: DataFrame, files: DataFrame) -> DataFrame:
     new = F.coalesce(F.concat(before, F.col("link")), F.col("raw"))
     per_answer = linked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", new.alias("new")))).alias("__new"))
     joined = answers.join(per_answer, "id", "left")
-    between = F.split("answer", FILE_MENTION, -1)
+    between = F.split("answer", MENTION, -1)
     woven = F.zip_with(between, "__new", lambda s, x: F.concat(s, F.coalesce(x["new"], F.lit(""))))
     return joined.withColumn(
         "answer", F.when(F.col("__new").isNull(), F.col("answer")).otherwise(F.array_join(woven, ""))

@@ -60,9 +60,8 @@ def with_regex_info(documents: DataFrame, source_text: str = "text", out: str =
 
 def resolved_answers(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Per document the fields of the first attempt that yields a usable object."""
-    usable = responses.where((F.col("attempt") <= max_attempts) & F.col("error").isNull()).select(
-        "doc_id", "attempt", answers.info_from_answer(F.col("response")).alias("info")
-    )
+    tried = responses.where((F.col("attempt") <= max_attempts) & F.col("error").isNull())
+    usable = answers.with_answer_info(tried, "response").select("doc_id", "attempt", "info")
     first = F.min(F.struct("attempt", "info")).alias("first")
     return (
         usable.where(F.col("info").isNotNull())

@@ -21,7 +21,8 @@ def top_sources(
 
     ``answer`` has one row with ``response``.
     """
-    chosen = answer.select(F.posexplode(answers.array_from_answer(F.col("response"))).alias("at", "source"))
+    listed = answers.with_answer_array(answer, "response", "listed")
+    chosen = listed.select(F.posexplode("listed").alias("at", "source"))
     chosen = chosen.select((F.col("at") + 1).cast("long").alias("place"), "source")
     first = _numbered(records.orderBy(*order).limit(n), order, "place")
     fallback = first.select("place", F.col(source).alias("source"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.fixed_values import LABELS, RECORD_FROM_INFO, WHITE_SPACE
+from docintake.fixed_values import EMAIL_HOST, EMAIL_LOCAL_SIGN, LABELS, RECORD_FROM_INFO, WHITE_SPACE
 from docintake.functions.text import label_pattern
 from docintake.plans.registry import Tables
 from docintake.session import spread
@@ -19,8 +19,7 @@ def sql_strip(c: str) -> str:
 
 def sql_field(field: str, text: str) -> str:
     if field == "email":
-        pattern = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
-        return f"regexp_extract({text}, '{pattern}', 0)"
+        return f"regexp_extract({text}, '{EMAIL_LOCAL_SIGN}+{EMAIL_HOST}', 0)"
     if field == "dien_thoai":
         return sql_strip(rf"regexp_extract({text}, '\+?\d[\d\-\s]{{7,}}\d', 0)")
     return sql_strip(f"regexp_extract({text}, '(?i){label_pattern(field)}', 1)")
@@ -103,7 +102,7 @@ def mailbox(pages: DataFrame) -> DataFrame:
     parts = F.transform(
         links,
         lambda h, i: F.struct(
-            (i + 1).alias("part_no"),
+            (i + 1).cast("long").alias("part_no"),
             F.concat(name(h), kind(name(h))).alias("filename"),
             F.encode(h, "UTF-8").alias("content"),
         ),

@@ -20,7 +20,7 @@ MESSAGES = T.StructType(
             T.ArrayType(
                 T.StructType(
                     [
-                        T.StructField("part_no", T.IntegerType()),
+                        T.StructField("part_no", T.LongType()),
                         T.StructField("filename", T.StringType()),
                         T.StructField("content", T.BinaryType()),
                     ]

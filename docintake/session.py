@@ -1,11 +1,18 @@
 """Session helpers: a local session for tests and the shared scratch folder."""
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def send_by_value(module: str) -> None:
+    """Let tasks get a module's functions with the plan, so executors need no installed package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cpus: int | str = "*", app: str = "docintake", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench."""
     settings = {

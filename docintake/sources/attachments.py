@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import DOCUMENT_SUFFIXES
 from docintake.functions import text
+from docintake.session import send_by_value
+
+send_by_value(__name__)
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -106,13 +109,17 @@ def with_text(files: DataFrame) -> DataFrame:
     )
 
 
-def html_text(html: "F.Column") -> "F.Column":
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles and tags out, basic entities in."""
-    c = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    c = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", " ")
+    c = F.regexp_replace(c, r"(?is)<style\b.*?</style\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for entity, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
+    for entity, sign in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    return text.strip(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 # --- landing area ------------------------------------------------------------

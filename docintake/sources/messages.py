@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from docintake.functions import times
 from docintake.schema import MESSAGES
+from docintake.session import send_by_value
+
+send_by_value(__name__)
+
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,9 @@ from docintake.fixed_values import BARE_OBJECT, FENCED_OBJECT, INFO_KEYS, MAX_AT
 from docintake.functions import text
 from docintake.operators.records import with_info, with_regex_info
 from docintake.schema import RESPONSES
+from docintake.session import send_by_value
+
+send_by_value(__name__)
 
 INSTRUCTION = (
     "Read the curriculum vitae below and answer with one JSON object and nothing else. "

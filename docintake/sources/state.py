@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sent_times_from_text(states: DataFrame) -> DataFrame:
+def sent_times_from_text(states: DataFrame, *carry: str) -> DataFrame:
     """JSON objects in ``value`` (name to ISO time) as rows; corrupt text gives no rows."""
     parsed = F.from_json("value", "map<string,string>")
-    return states.select(F.explode(parsed).alias("safe_name", "sent_iso")).withColumn(
+    return states.select(*carry, F.explode(parsed).alias("safe_name", "sent_iso")).withColumn(
         "sent_iso", F.coalesce("sent_iso", F.lit(""))
     )
 
