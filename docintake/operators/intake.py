@@ -124,8 +124,15 @@ def first_wins(rows: DataFrame, *carry: str) -> DataFrame:
 
 
 def not_landed(rows: DataFrame, landed: DataFrame) -> DataFrame:
-    """Rows whose name has not been landed by an earlier run."""
-    return rows.join(landed.select("safe_name"), "safe_name", "left_anti")
+    """Rows whose name has not been landed by an earlier run.
+
+    The landed table grows for ever while a run is small.  So the names of the
+    run go to the landed table, where Spark can broadcast them, and only the
+    names found there come back.
+    """
+    names = rows.select("safe_name").distinct()
+    known = landed.select("safe_name").join(names, "safe_name", "left_semi").distinct()
+    return rows.join(known, "safe_name", "left_anti")
 
 
 def to_land(rows: DataFrame, landed: DataFrame, *carry: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """State files and tables: sent times, high-water mark, processed ids."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ def read_mark(spark: SparkSession, path: str) -> int:
         row = spark.read.schema("mark string").parquet(path).agg(
             F.max(F.col("mark").try_cast("long")).alias("mark")
         ).first()
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return 0
     return row["mark"] or 0

@@ -1,33 +1,42 @@
 """Record tables and chat logs as files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docintake.schema import CHAT_LOG, RECORDS
 
-CSV = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
+CSV = {
+    "header": "true",
+    "multiLine": "true",
+    "escape": '"',
+    "encoding": "UTF-8",
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:
     """Replace the CSV output; texts with quotes and line breaks read back exactly."""
-    rows.write.mode("overwrite").options(**CSV, quoteAll="true", lineSep="\n").csv(folder)
+    rows.write.mode("overwrite").options(**CSV, quoteAll="true").csv(folder)
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType = RECORDS) -> DataFrame:
     """Texts as they are: ``NA`` stays a text and an empty cell is the empty text."""
-    rows = spark.read.options(
-        **CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", maxCharsPerColumn="-1", lineSep="\n"
-    ).schema(schema)
-    return rows.csv(folder).na.fill("")
+    return spark.read.options(**CSV, maxCharsPerColumn="-1").schema(schema).csv(folder).na.fill("")
 
 
-def save_records(records: DataFrame, folder: str) -> bool:
-    """Write the records as CSV, or nothing at all when there are none."""
+def save_records(records: DataFrame, folder: str) -> int:
+    """Write the records as CSV and give their number, counted while writing.
+
+    Without records nothing is written at all.
+    """
     if records.isEmpty():
-        return False
-    write_csv(records, folder)
-    return True
+        return 0
+    written = Observation("records")
+    write_csv(records.observe(written, F.count(F.lit(1)).alias("n")), folder)
+    return written.get["n"]
 
 
 def read_chat_log(spark: SparkSession, path: str) -> DataFrame:

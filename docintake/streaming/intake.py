@@ -8,6 +8,7 @@ when the round is repeated after a failure, so every name is landed once.
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +40,13 @@ class Rules:
 
 def read_rounds(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """All rows written by the rounds so far; none before the first round."""
-    empty = spark.createDataFrame([], schema).withColumn("round", F.lit(-1).cast("long"))
-    if not rounds_exist(spark, folder):
-        return empty
-    return spark.read.schema(T.StructType([*schema, T.StructField("round", T.LongType())])).parquet(folder)
-
-
-def rounds_exist(spark: SparkSession, folder: str) -> bool:
+    with_round = T.StructType([*schema, T.StructField("round", T.LongType())])
     try:
-        spark.read.format("binaryFile").load(folder + "/round=*").schema
-    except Exception as problem:
-        if "PATH_NOT_FOUND" in str(problem):
-            return False
-        raise
-    return True
+        return spark.read.schema(with_round).parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], with_round)
 
 
 def write_round(rows: DataFrame, folder: str, number: int) -> None:
@@ -60,15 +54,27 @@ def write_round(rows: DataFrame, folder: str, number: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/round={number}")
 
 
-def land_round(folder: str, rules: Rules) -> Callable[[DataFrame, int], None]:
-    """One round: judge, keep the best part per name, drop landed names, write."""
+def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
+    """One round: judge, keep the best part per name, drop landed names, write.
+
+    The narrow rows of the kept parts are used twice and kept meanwhile; the
+    messages with their payloads are not.  ``counters`` is a folder for one
+    row of counts per round.
+    """
 
     def run(messages: DataFrame, number: int) -> None:
         spark = messages.sparkSession
         landed = read_rounds(spark, folder, LANDED).where(F.col("round") < number)
         judged = intake.judged_parts(messages, rules.keywords, rules.suffixes, rules.words)
-        new = intake.to_land(intake.kept_parts(judged, "sent_iso"), landed, "sent_iso")
-        write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
+        kept = intake.kept_parts(judged, "sent_iso").persist()
+        try:
+            new = intake.to_land(kept, landed, "sent_iso")
+            write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
+        finally:
+            kept.unpersist()
+        if counters:
+            this_round = read_rounds(spark, folder, LANDED).where(F.col("round") == number)
+            write_round(intake.run_counters(judged, this_round), counters, number)
 
     return run
 
@@ -78,6 +84,7 @@ def intake_stream(
     landing: str,
     checkpoint: str,
     rules: Rules = Rules(),
+    counters: str | None = None,
     once: bool = False,
     seconds: int = POLL_SECONDS,
 ) -> StreamingQuery:
@@ -87,23 +94,13 @@ def intake_stream(
     """
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
     return (
-        messages.writeStream.foreachBatch(land_round(landing, rules))
+        messages.writeStream.foreachBatch(land_round(landing, rules, counters))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
-def with_counters(messages: DataFrame, name: str = "intake") -> DataFrame:
-    """Counts of a round as observed metrics of its progress; no second pass over the data."""
-    return messages.observe(
-        name,
-        F.count(F.lit(1)).alias("messages"),
-        F.count_if(F.size("parts") > 0).alias("with_parts"),
-        F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("parts"),
-    )
-
-
 def sent_time_round(folder: str) -> Callable[[DataFrame, int], None]:
     """Sent times as a log of writes per round; :func:`current_sent_times` reads the last ones."""
 
