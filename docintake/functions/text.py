@@ -103,8 +103,8 @@ def extract_field(text: Column, field: str, folded: Column | None = None) -> Col
     else:
         folded = fold_case(text) if folded is None else folded
         start = first_place(folded, [x.lower() for x in LABELS[field]])
-        rest = F.substr(text, start)
-        found = F.when(start.isNotNull(), F.regexp_extract(rest, f"(?iU){label_pattern(field)}", 1))
+        # no label, no start: the null passes through without running the regex
+        found = F.regexp_extract(F.substr(text, start), f"(?iU){label_pattern(field)}", 1)
     return F.coalesce(strip(found), F.lit(""))
 
 

@@ -127,6 +127,13 @@ def transcript_sections(conversations: DataFrame, title: str = "Lịch sử Chat
     return placed.select("conv_id", F.inline(both))
 
 
+def transcript_json(conversations: DataFrame, time: str | None = None) -> DataFrame:
+    """One JSON object per message: ``conv_id, no, line``."""
+    at = F.col(time).cast("string") if time else F.lit("")
+    message = F.struct("role", F.col("text").alias("content"), at.alias("timestamp"))
+    return numbered_turns(conversations).select("conv_id", "no", F.to_json(message).alias("line"))
+
+
 # --- log ---------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from docintake.fixed_values import (
     RECENT_MESSAGES,
 )
 from docintake.functions import text
-from docintake.operators.ordering import latest_per_key, running_total
+from docintake.operators.ordering import elements, latest_per_key, running_total
 
 # --- which messages ----------------------------------------------------------
 
@@ -105,7 +105,7 @@ def worth_processing() -> Column:
 
 def kept_parts(judged: DataFrame, *carry: str) -> DataFrame:
     """One row per kept part: ``uid, part_no, filename, safe_name, obvious, priority``."""
-    rows = judged.select("uid", *carry, F.posexplode("kept").alias("__i", "p"))
+    rows = judged.select("uid", *carry, F.posexplode(elements("kept")).alias("__i", "p"))
     return rows.select(
         "uid",
         *carry,
@@ -124,15 +124,19 @@ def first_wins(rows: DataFrame, *carry: str) -> DataFrame:
 
 
 def not_landed(rows: DataFrame, landed: DataFrame) -> DataFrame:
-    """Rows whose name has not been landed by an earlier run.
+    """Rows whose name has not been landed by an earlier run."""
+    return rows.join(landed.select("safe_name"), "safe_name", "left_anti")
 
-    The landed table grows for ever while a run is small.  So the names of the
-    run go to the landed table, where Spark can broadcast them, and only the
-    names found there come back.
+
+def known_names(rows: DataFrame, landed: DataFrame) -> DataFrame:
+    """The landed names among those of some rows.
+
+    The landed table grows for ever while a run is small.  The names of the
+    run go to the landed table, where Spark can broadcast them, so that the
+    table is only scanned and never shuffled for a small run.
     """
     names = rows.select("safe_name").distinct()
-    known = landed.select("safe_name").join(names, "safe_name", "left_semi").distinct()
-    return rows.join(known, "safe_name", "left_anti")
+    return landed.select("safe_name").join(names, "safe_name", "left_semi").distinct()
 
 
 def to_land(rows: DataFrame, landed: DataFrame, *carry: str) -> DataFrame:
@@ -146,7 +150,7 @@ def to_land(rows: DataFrame, landed: DataFrame, *carry: str) -> DataFrame:
 
 def with_content(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """Payloads of the rows to land; undecodable (null) payloads are dropped."""
-    payloads = messages.select("uid", F.inline("parts")).select("uid", "part_no", "content")
+    payloads = messages.select("uid", F.inline(elements("parts"))).select("uid", "part_no", "content")
     return rows.join(payloads, ["uid", "part_no"]).where(F.col("content").isNotNull())
 
 

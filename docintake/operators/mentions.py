@@ -11,14 +11,21 @@ EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}
 KEY_WORDS = 4
 
 
-def _word_runs(words: Column, longest: int) -> Column:
-    """The distinct runs of up to ``longest`` neighbouring words, as texts."""
-    runs, all_runs = words, [words]
+def _word_runs(rows: DataFrame, words: str, longest: int, out: str) -> DataFrame:
+    """The distinct runs of up to ``longest`` neighbouring words, one row each.
+
+    Each step puts the next word behind the runs of the step before, in a
+    column of its own, so that no step is computed twice.
+    """
+    steps = [words]
     for n in range(1, longest):
-        # pairs each run with the word behind it; runs at the end become null
-        runs = F.zip_with(runs, F.slice(words, n + 1, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-        all_runs.append(runs)
-    return F.array_compact(F.array_distinct(F.flatten(F.array(*all_runs))))
+        later = F.slice(words, n + 1, F.size(words))
+        # runs that would pass the end become null
+        longer = F.zip_with(steps[-1], later, lambda a, b: F.concat(a, F.lit(" "), b))
+        steps.append(f"__run{n}")
+        rows = rows.withColumn(steps[-1], longer)
+    runs = F.array_compact(F.array_distinct(F.flatten(F.array(*steps))))
+    return rows.withColumn(out, F.explode(runs)).drop(*steps)
 
 
 def words_of(c: Column) -> Column:
@@ -42,7 +49,7 @@ def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WOR
         .where(F.col("key") != "")
     )
     words = answers.select("id", words_of(F.col("answer")).alias("w"))
-    runs = words.select("id", F.explode(_word_runs(F.col("w"), key_words)).alias("key"))
+    runs = _word_runs(words, "w", key_words, "key")
     candidates = runs.join(keyed, "key").select("id", "name")
     verified = answers.select("id", "answer").join(candidates, "id")
     return verified.where(whole_word(F.col("answer"), F.col("name"))).select("id", "name")
@@ -69,7 +76,7 @@ def link_names(answers: DataFrame, names: DataFrame, files: DataFrame) -> DataFr
 
     ``answers(id, answer)``, ``names(pos, name, file)``, ``files(file, link)``.
     """
-    usable = names.select("pos", text.strip(F.col("name")).alias("name"), text.strip(F.col("file")).alias("file"))
+    usable = names.select(F.col("pos").cast("long").alias("pos"), text.strip(F.col("name")).alias("name"), text.strip(F.col("file")).alias("file"))
     usable = usable.where((F.col("name") != "") & (F.col("file") != ""))
     found = mention_pairs(answers, usable).join(link_or_name(usable, files), "name")
     per_answer = found.groupBy("id").agg(
@@ -77,7 +84,7 @@ def link_names(answers: DataFrame, names: DataFrame, files: DataFrame) -> DataFr
     )
     joined = answers.join(per_answer, "id", "left")
     folded = F.reduce(
-        F.coalesce("__links", F.array().cast("array<struct<pos:int,name:string,link:string>>")),
+        F.coalesce("__links", F.array().cast("array<struct<pos:bigint,name:string,link:string>>")),
         F.col("answer"),
         lambda acc, x: put_first(acc, x["name"], x["link"]),
     )

@@ -17,6 +17,15 @@ from docintake.session import checkpointed
 SEGMENT_BITS = 16
 
 
+def elements(array: str) -> Column:
+    """A computed array column as the input of explode.
+
+    Around a bare column the optimizer infers a size filter, pushes it below
+    the projection and so computes the array twice; around an expression not.
+    """
+    return F.array_compact(array)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on equally named keys that also pairs nulls; keys appear once."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -103,8 +112,14 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "rank") -
 
     A range-partitioned sort is written to the checkpoint folder once; row ids
     of the sorted partitions plus one offset per partition give the number.
+    The sort reads its input twice (to choose the ranges, then to shuffle), so
+    the input is kept until the checkpoint is written.
     """
-    parts = checkpointed(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    held = df.persist()
+    try:
+        parts = checkpointed(held.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    finally:
+        held.unpersist()
     parts = parts.withColumn("__part", F.shiftright("__id", 33))
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition

@@ -61,12 +61,13 @@ def with_regex_info(documents: DataFrame, source_text: str = "text", out: str =
 def resolved_answers(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Per document the fields of the first attempt that yields a usable object."""
     tried = responses.where((F.col("attempt") <= max_attempts) & F.col("error").isNull())
-    usable = answers.with_answer_info(tried, "response").select("doc_id", "attempt", "info")
-    first = F.min(F.struct("attempt", "info")).alias("first")
+    parsed = answers.with_answer_info(tried, "response")
+    # unusable answers are null and lose in the minimum; a filter would parse every answer twice
+    first = F.min(F.when(F.col("info").isNotNull(), F.struct("attempt", "info"))).alias("first")
     return (
-        usable.where(F.col("info").isNotNull())
-        .groupBy("doc_id")
+        parsed.groupBy("doc_id")
         .agg(first)
+        .where(F.col("first").isNotNull())
         .select("doc_id", F.col("first.info").alias("llm_info"), F.col("first.attempt").alias("attempt"))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docintake.fixed_values import COLUMN_WIDTH_MAX, COLUMN_WIDTH_PADDING, TOP_SOURCES
 from docintake.functions import answers
+from docintake.operators.ordering import elements
 
 
 def _numbered(few: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
@@ -22,7 +23,7 @@ def top_sources(
     ``answer`` has one row with ``response``.
     """
     listed = answers.with_answer_array(answer, "response", "listed")
-    chosen = listed.select(F.posexplode("listed").alias("at", "source"))
+    chosen = listed.select(F.posexplode(elements("listed")).alias("at", "source"))
     chosen = chosen.select((F.col("at") + 1).cast("long").alias("place"), "source")
     first = _numbered(records.orderBy(*order).limit(n), order, "place")
     fallback = first.select("place", F.col(source).alias("source"))

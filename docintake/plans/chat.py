@@ -158,6 +158,20 @@ def q_transcript_export(t: Tables):
     return chat.transcript_sections(_timed(t), time="at")
 
 
+@query(
+    "transcript_json",
+    sql="""
+    select conv_id, row_number() over (partition by conv_id order by turn) as no, role, md5(text) as content_md5
+    from conversations
+    """,
+)
+def q_transcript_json(t: Tables):
+    lines = chat.transcript_json(t.conversations)
+    parsed = F.from_json("line", "struct<role:string,content:string>")
+    rows = lines.select("conv_id", "no", parsed.alias("m"))
+    return rows.select("conv_id", "no", "m.role", F.md5("m.content").alias("content_md5"))
+
+
 def _timed(t: Tables):
     seconds = F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")
     return t.conversations.withColumn("at", F.timestamp_seconds(seconds))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from docintake.functions import text
 from docintake.operators import intake
+from docintake.operators.ordering import elements
 from docintake.plans.registry import Tables, query
 from docintake.plans.roles import PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS, SQL_PARTS, iso_text, mailbox
+from docintake.session import spread
 from docintake.sources import attachments, messages, state
 
 # --- events as a mailbox -----------------------------------------------------
@@ -115,7 +117,7 @@ def q_map_state_read(t: Tables):
 
 
 def judged(t: Tables):
-    return intake.judged_parts(mailbox(t.pages), PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS)
+    return intake.judged_parts(mailbox(spread(t.pages, "page_id")), PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS)
 
 
 @query(
@@ -259,7 +261,7 @@ def q_classify_prefix(t: Tables):
 # --- raw messages ------------------------------------------------------------
 
 
-def raw_messages(t: Tables):
+def raw_messages(pages):
     """Pages written out as multipart mail, byte for byte."""
     crlf = "\r\n"
 
@@ -285,7 +287,7 @@ def raw_messages(t: Tables):
         encoded(F.encode("url", "UTF-8")),
         F.lit(crlf + "--cut--" + crlf),
     )
-    return t.pages.select(
+    return pages.select(
         F.concat(F.lit("box/"), F.col("page_id").cast("string"), F.lit(".eml")).alias("path"),
         F.encode(F.concat(head, body, part), "UTF-8").alias("content"),
     )
@@ -300,8 +302,8 @@ def raw_messages(t: Tables):
     """,
 )
 def q_parse_messages(t: Tables):
-    parsed = messages.parse(raw_messages(t))
-    return parsed.select("uid", "subject", F.md5("body").alias("body_md5"), "sent_iso", F.inline("parts")).select(
+    parsed = messages.parse(raw_messages(spread(t.pages, "page_id")))
+    return parsed.select("uid", "subject", F.md5("body").alias("body_md5"), "sent_iso", F.inline(elements("parts"))).select(
         "uid", "subject", "body_md5", "filename", F.md5("content").alias("content_md5"), "sent_iso"
     )
 
@@ -319,4 +321,4 @@ for _entity, _sign in attachments.ENTITIES:
     sql=f"select page_id, trim(regexp_replace({HTML_STEPS}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from pages",
 )
 def q_extract_text_pages(t: Tables):
-    return t.pages.select("page_id", attachments.html_text(F.col("html")).alias("text"))
+    return spread(t.pages, "page_id").select("page_id", attachments.html_text(F.col("html")).alias("text"))

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docintake.fixed_values import DOCUMENT_SUFFIXES
 from docintake.functions import text
@@ -99,14 +100,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns=["content", "kind"]).assign(text=texts, error=errors)
 
 
-def with_text(files: DataFrame) -> DataFrame:
-    """``path, length, modificationTime, text, error`` of files with ``content``."""
-    narrow = files.select(
-        "path", "length", "modificationTime", text.suffix(F.col("path")).alias("kind"), "content"
-    )
-    return narrow.mapInPandas(
-        _texts, "path string, length long, modificationTime timestamp, text string, error string"
-    )
+def with_text(files: DataFrame, *carry: str) -> DataFrame:
+    """``path, length, modificationTime``, the carried columns, ``text`` and ``error``."""
+    kept = files.select("path", "length", "modificationTime", *carry)
+    found = T.StructType([*kept.schema, T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+    narrow = files.select(*kept.columns, text.suffix(F.col("path")).alias("kind"), "content")
+    return narrow.mapInPandas(_texts, found)
 
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]

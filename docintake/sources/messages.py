@@ -2,11 +2,11 @@
 
 import email
 from collections.abc import Iterator
-from email import policy
-from email.message import EmailMessage
+from email.header import decode_header, make_header
+from email.message import Message
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docintake.functions import times
@@ -23,12 +23,17 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content")
 
 
-def _header(message: EmailMessage, name: str) -> str | None:
-    value = message.get(name)
-    return None if value is None else str(value)
+def _decoded(value: str | None) -> str | None:
+    """A header text with its encoded words read; unreadable ones stay as they are."""
+    if value is None:
+        return None
+    try:
+        return str(make_header(decode_header(value)))
+    except (LookupError, ValueError):
+        return str(value)
 
 
-def _plain_text(message: EmailMessage) -> str:
+def _plain_text(message: Message) -> str:
     texts = []
     for part in message.walk():
         if part.get_content_type() != "text/plain" or part.get_filename():
@@ -42,10 +47,10 @@ def _plain_text(message: EmailMessage) -> str:
     return "".join(texts)
 
 
-def _parts(message: EmailMessage) -> list[dict]:
+def _parts(message: Message) -> list[dict]:
     found = []
     for number, part in enumerate(message.walk()):
-        name = part.get_filename()
+        name = _decoded(part.get_filename())
         if name:
             found.append({"part_no": number, "filename": name, "content": part.get_payload(decode=True)})
     return found
@@ -58,9 +63,9 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content, internal in zip(batch["path"], batch["content"], batch["internal_date"], strict=True):
             row = dict.fromkeys(columns) | {"path": path, "internal_date": internal, "parts": []}
             try:
-                message = email.message_from_bytes(content, policy=policy.default)
-                row["header_date"] = _header(message, "Date")
-                row["subject"] = _header(message, "Subject") or ""
+                message = email.message_from_bytes(content)
+                row["header_date"] = _decoded(message["Date"])
+                row["subject"] = _decoded(message["Subject"]) or ""
                 row["body"] = _plain_text(message)
                 row["parts"] = _parts(message)
             except Exception as problem:  # a bad message becomes a row with an error
@@ -69,16 +74,16 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """Raw messages (``uid, seen, internal_date, content`` or just ``path, content``) to ``messages``.
+def uid_of(path: Column) -> Column:
+    """The last run of digits in a file name is the id of its message."""
+    return F.regexp_extract(path, r"(\d+)[^/\d]*\z", 1).try_cast("long")
+
 
-    Without a ``uid`` column the digits of the file name are the id.
-    """
+def parse(raw: DataFrame) -> DataFrame:
+    """Raw messages (``path, content`` and maybe ``internal_date``) to ``messages``."""
     if "internal_date" not in raw.columns:
         raw = raw.withColumn("internal_date", F.lit(None).cast("string"))
-    narrow = raw.select("path", "content", "internal_date")
-    rows = narrow.mapInPandas(_parsed, MESSAGES)
-    uid = F.regexp_extract("path", r"(\d+)[^/]*\z", 1).try_cast("long")
-    return rows.withColumn("uid", uid).withColumn(
+    rows = raw.select("path", "content", "internal_date").mapInPandas(_parsed, MESSAGES)
+    return rows.withColumn("uid", uid_of(F.col("path"))).withColumn(
         "sent_iso", times.sent_iso(F.col("internal_date"), F.col("header_date"))
     )

@@ -18,8 +18,12 @@ CSV = {
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:
-    """Replace the CSV output; texts with quotes and line breaks read back exactly."""
-    rows.write.mode("overwrite").options(**CSV, quoteAll="true").csv(folder)
+    """Replace the CSV output; texts with quotes and line breaks read back exactly.
+
+    Files with line breaks inside cells are read by one task each, so they are
+    kept short.
+    """
+    rows.write.mode("overwrite").options(**CSV, quoteAll="true", maxRecordsPerFile="500000").csv(folder)
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType = RECORDS) -> DataFrame:

@@ -57,7 +57,7 @@ def write_round(rows: DataFrame, folder: str, number: int) -> None:
 def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
     """One round: judge, keep the best part per name, drop landed names, write.
 
-    The narrow rows of the kept parts are used twice and kept meanwhile; the
+    The narrow rows of the kept parts are used twice and held meanwhile; the
     messages with their payloads are not.  ``counters`` is a folder for one
     row of counts per round.
     """
@@ -68,7 +68,7 @@ def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callab
         judged = intake.judged_parts(messages, rules.keywords, rules.suffixes, rules.words)
         kept = intake.kept_parts(judged, "sent_iso").persist()
         try:
-            new = intake.to_land(kept, landed, "sent_iso")
+            new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
             write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
         finally:
             kept.unpersist()
