@@ -406,7 +406,25 @@ def q_mention_join(t: Tables):
     return mentions.mention_pairs(told, _names(t))
 
 
-@query("link_names")
+@query(
+    "link_names",
+    sql=f"""
+    with recursive {SQL_NAMES},
+    links as (
+        select p.id, n.name, case when l.doc_id is null then n.file else '<' || n.file || '>' end as link,
+               row_number() over (partition by p.id order by n.pos) as place
+        from pairs p join names n on n.name = p.name left join labels l on l.doc_id = n.pos
+    ),
+    step as (
+        select doc_id as id, 0::bigint as k, text as answer from documents
+        union all
+        select s.id, s.k + 1, regexp_replace(s.answer, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(l.name) || '($|[^\\p{{L}}\\p{{N}}_])',
+                                             '\\1' || l.name || ' (' || l.link || ')\\2')
+        from step s join links l on l.id = s.id and l.place = s.k + 1
+    )
+    select id, md5(arg_max(answer, k)) as answer_md5 from step group by id
+    """,
+)
 def q_link_names(t: Tables):
     told = texts(t).select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
     files = _names(t).join(t.labels, F.col("pos") == F.col("doc_id")).select(
