@@ -26,17 +26,6 @@ def elements(array: str) -> Column:
     return F.array_compact(array)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on equally named keys that also pairs nulls; keys appear once."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = None
-    for k in keys:
-        same = left[k].eqNullSafe(renamed[f"__{k}"])
-        on = same if on is None else on & same
-    joined = left.join(renamed, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
-
-
 def running_total(
     df: DataFrame,
     order: str,
@@ -53,31 +42,29 @@ def running_total(
     ``2**bits`` rows.  ``total`` names an optional column with the sum per key.
     """
     value = F.lit(1) if value is None else value
-    cut = df.withColumn("__seg", F.shiftright(F.col(order).cast("long"), bits)).withColumn(
-        "__value", value.cast("long")
-    )
     along = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    sums = cut.groupBy(*keys, "__seg").agg(F.sum("__value").alias("__sum"))
-    # one row per segment: 1/2**bits of the table
-    over_segments = Window.partitionBy(*keys).orderBy(along("__seg"))
-    offsets = sums.select(
-        *keys,
-        "__seg",
-        F.coalesce(
-            F.sum("__sum").over(over_segments.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__before"),
-        F.sum("__sum").over(Window.partitionBy(*keys)).alias("__total"),
-    )
-    within = (
-        Window.partitionBy(*keys, "__seg")
-        .orderBy(along(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = null_safe_join(cut, offsets, [*keys, "__seg"])
-    result = joined.withColumn(out, F.col("__before") + F.sum("__value").over(within))
+    # a struct, so that null keys match and join and window share one shuffle
+    segment = F.struct(*keys, F.shiftright(F.col(order).cast("long"), bits).alias("__n"))
+    cut = df.withColumn("__seg", segment)
+
+    sums = cut.groupBy("__seg").agg(F.sum(value.cast("long")).alias("__sum")).select("__sum", "__seg", "__seg.*")
+    one_key = Window.partitionBy(*keys)
+    before = one_key.orderBy(along("__n")).rowsBetween(Window.unboundedPreceding, -1)
+    # rows only for keys of several segments: at most 1/2**bits of a dense table
+    elsewhere = sums.select(
+        F.col("__seg").alias("__at"),
+        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
+        (F.sum("__sum").over(one_key) - F.col("__sum")).alias("__rest"),
+        F.count(F.lit(1)).over(one_key).alias("__segments"),
+    ).where(F.col("__segments") > 1)
+
+    joined = cut.join(elsewhere.hint("shuffle_hash"), F.col("__seg") == F.col("__at"), "left")
+    one_segment = Window.partitionBy("__seg")
+    up_to_here = one_segment.orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = {out: F.coalesce("__before", F.lit(0)) + F.sum(value.cast("long")).over(up_to_here)}
     if total:
-        result = result.withColumn(total, F.col("__total"))
-    return result.drop("__seg", "__value", "__before", "__total")
+        whole[total] = F.coalesce("__rest", F.lit(0)) + F.sum(value.cast("long")).over(one_segment)
+    return joined.withColumns(whole).drop("__seg", "__at", "__before", "__rest", "__segments")
 
 
 def previous_rows(
@@ -99,12 +86,10 @@ def previous_rows(
         raise ValueError("frame longer than a segment")
     home = F.shiftright(F.col(position).cast("long"), bits)
     at_end = F.pmod(F.col(position).cast("long"), F.lit(width)) >= width - n
-    copies = df.withColumn("__item", item).withColumn(
-        "__seg", F.explode(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
+    copies = df.withColumn("__seg", F.explode(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))))
     frame = Window.partitionBy(*keys, "__seg").orderBy(position).rowsBetween(-n, -1)
-    framed = copies.withColumn(out, F.collect_list("__item").over(frame))
-    return framed.where(F.col("__seg") == home).drop("__item", "__seg")
+    framed = copies.withColumn(out, F.collect_list(item).over(frame))
+    return framed.where(F.col("__seg") == home).drop("__seg")
 
 
 def global_position(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
