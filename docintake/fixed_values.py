@@ -88,7 +88,7 @@ TRUNCATION_MARK = "...[text truncated]"
 MAX_ATTEMPTS = 3
 QUOTA_WORDS = ["quota", "429", "resource_exhausted", "rate limit"]
 FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-BARE_OBJECT = r"(?s)\{.*\}"
+BARE_OBJECT = r"(?s)(\{.*\})"
 FENCED_ARRAY = r"(?s)```json\s*(.+?)\s*```"
 BARE_ARRAY = r"(?s)(\[\s*\{.+?\}\s*\])"
 TOP_SOURCES = 5

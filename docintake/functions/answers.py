@@ -22,10 +22,6 @@ from docintake.schema import INFO
 STRICT = {"allowSingleQuotes": "false"}
 
 
-def first_match(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def strict_json(rows: DataFrame, candidate: str, ddl: str, out: str) -> DataFrame:
     """Parse a whole text as one JSON value into ``out``, or null.
 
@@ -39,18 +35,24 @@ def strict_json(rows: DataFrame, candidate: str, ddl: str, out: str) -> DataFram
     return parsed.withColumn(out, F.when(F.col("__parsed.seal") == seal, F.col("__parsed.v"))).drop("__parsed")
 
 
-def json_object_text(answer: Column) -> Column:
-    """Fenced object, else the widest braces, else the whole answer."""
-    return F.coalesce(first_match(answer, FENCED_OBJECT, 1), first_match(answer, BARE_OBJECT, 0), strip(answer))
-
+def _first_of(rows: DataFrame, answer: str, fenced: str, bare: str, out: str) -> DataFrame:
+    """The fenced value, else the bare one, else the whole answer, trimmed.
 
-def json_array_text(answer: Column) -> Column:
-    return F.coalesce(first_match(answer, FENCED_ARRAY, 1), first_match(answer, BARE_ARRAY, 1), strip(answer))
+    One column per pattern, so that each runs once and only where it is needed.
+    """
+    rows = rows.withColumn("__fenced", F.regexp_extract(answer, fenced, 1))
+    rows = rows.withColumn("__bare", F.when(F.col("__fenced") == "", F.regexp_extract(answer, bare, 1)))
+    chosen = (
+        F.when(F.col("__fenced") != "", F.col("__fenced"))
+        .when(F.col("__bare") != "", F.col("__bare"))
+        .otherwise(strip(F.col(answer)))
+    )
+    return rows.withColumn(out, chosen).drop("__fenced", "__bare")
 
 
 def with_answer_info(rows: DataFrame, answer: str, out: str = "info") -> DataFrame:
     """The nine fields of an answer that is a non-empty JSON object, else null."""
-    found = rows.withColumn("__text", json_object_text(F.col(answer)))
+    found = _first_of(rows, answer, FENCED_OBJECT, BARE_OBJECT, "__text")
     usable = F.startswith("__text", F.lit("{")) & ~F.col("__text").rlike(r"^\{\s*\}$")
     found = found.withColumn("__text", F.when(usable, F.col("__text")))
     return strict_json(found, "__text", INFO.simpleString(), out).drop("__text")
@@ -58,7 +60,7 @@ def with_answer_info(rows: DataFrame, answer: str, out: str = "info") -> DataFra
 
 def with_answer_array(rows: DataFrame, answer: str, out: str) -> DataFrame:
     """The strings of a JSON array in an answer; null if there is no array."""
-    found = rows.withColumn("__text", json_array_text(F.col(answer)))
+    found = _first_of(rows, answer, FENCED_ARRAY, BARE_ARRAY, "__text")
     found = found.withColumn("__text", F.when(F.startswith("__text", F.lit("[")), F.col("__text")))
     parsed = strict_json(found, "__text", "array<string>", out).drop("__text")
     return parsed.withColumn(out, F.array_compact(out))

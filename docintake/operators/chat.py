@@ -58,8 +58,11 @@ def clock_answer(at: Column) -> Column:
 
 
 def numbered_turns(conversations: DataFrame, total: str | None = None) -> DataFrame:
-    """``no``: the place of each turn in its conversation, from 1."""
-    return running_total(conversations, "turn", ["conv_id"], out="no", total=total)
+    """``no``: the place of each turn in its conversation, from 1.
+
+    Turns count up without wide gaps, so one level of segments is enough.
+    """
+    return running_total(conversations, "turn", ["conv_id"], out="no", total=total, levels=1)
 
 
 def context_frame(conversations: DataFrame, window: int = CONTEXT_MESSAGES) -> DataFrame:
@@ -71,7 +74,7 @@ def context_frame(conversations: DataFrame, window: int = CONTEXT_MESSAGES) -> D
 def exchanges(conversations: DataFrame) -> DataFrame:
     """One row per user turn: its running number and the first answer after it."""
     asked = F.when(F.col("role") == "user", 1).otherwise(0)
-    counted = running_total(conversations, "turn", ["conv_id"], value=asked, out="exchange")
+    counted = running_total(conversations, "turn", ["conv_id"], value=asked, out="exchange", levels=1)
     told = counted.where((F.col("exchange") > 0) & F.col("role").isin("user", "assistant"))
     first_reply = F.min(F.when(F.col("role") == "assistant", F.struct("turn", "text")))["text"]
     return told.groupBy("conv_id", "exchange").agg(

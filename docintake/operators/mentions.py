@@ -12,20 +12,19 @@ KEY_WORDS = 4
 
 
 def _word_runs(rows: DataFrame, words: str, longest: int, out: str) -> DataFrame:
-    """The distinct runs of up to ``longest`` neighbouring words, one row each.
+    """The runs of up to ``longest`` neighbouring words, one row each.
 
     Each step puts the next word behind the runs of the step before, in a
-    column of its own, so that no step is computed twice.
+    column of its own, so that no step is computed twice.  Runs that would
+    pass the end are null and never join.
     """
     steps = [words]
     for n in range(1, longest):
         later = F.slice(words, n + 1, F.size(words))
-        # runs that would pass the end become null
         longer = F.zip_with(steps[-1], later, lambda a, b: F.concat(a, F.lit(" "), b))
         steps.append(f"__run{n}")
         rows = rows.withColumn(steps[-1], longer)
-    runs = F.array_compact(F.array_distinct(F.flatten(F.array(*steps))))
-    return rows.withColumn(out, F.explode(runs)).drop(*steps)
+    return rows.withColumn(out, F.explode(F.flatten(F.array(*steps)))).drop(*steps)
 
 
 def words_of(c: Column) -> Column:
@@ -50,7 +49,7 @@ def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WOR
     )
     words = answers.select("id", words_of(F.col("answer")).alias("w"))
     runs = _word_runs(words, "w", key_words, "key")
-    candidates = runs.join(keyed, "key").select("id", "name")
+    candidates = runs.join(keyed, "key").select("id", "name").distinct()
     verified = answers.select("id", "answer").join(candidates, "id")
     return verified.where(whole_word(F.col("answer"), F.col("name"))).select("id", "name")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docintake.session import checkpointed
 
 SEGMENT_BITS = 16
+SEGMENT_LEVELS = 2
 
 
 def elements(array: str) -> Column:
@@ -35,36 +36,42 @@ def running_total(
     total: str | None = None,
     descending: bool = False,
     bits: int = SEGMENT_BITS,
+    levels: int = SEGMENT_LEVELS,
 ) -> DataFrame:
     """Running sum of ``value`` (default 1: the position) along a unique integer column.
 
     ``order`` must be unique within ``keys`` so that a segment holds at most
     ``2**bits`` rows.  ``total`` names an optional column with the sum per key.
+    The segments are themselves totalled in segments, once per level, so that
+    ids with wide gaps do not leave a long segment table to one task.
     """
-    value = F.lit(1) if value is None else value
+    value = (F.lit(1) if value is None else value).cast("long")
     along = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if levels == 0:
+        one_key = Window.partitionBy(*keys)
+        up_to_here = one_key.orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = {out: F.sum(value).over(up_to_here)}
+        return df.withColumns(sums | ({total: F.sum(value).over(one_key)} if total else {}))
+
+    seg, number, part, at, before, rest = (f"__{n}{levels}" for n in ("seg", "number", "part", "at", "before", "rest"))
     # a struct, so that null keys match and join and window share one shuffle
-    segment = F.struct(*keys, F.shiftright(F.col(order).cast("long"), bits).alias("__n"))
-    cut = df.withColumn("__seg", segment)
-
-    sums = cut.groupBy("__seg").agg(F.sum(value.cast("long")).alias("__sum")).select("__sum", "__seg", "__seg.*")
-    one_key = Window.partitionBy(*keys)
-    before = one_key.orderBy(along("__n")).rowsBetween(Window.unboundedPreceding, -1)
-    # rows only for keys of several segments: at most 1/2**bits of a dense table
-    elsewhere = sums.select(
-        F.col("__seg").alias("__at"),
-        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
-        (F.sum("__sum").over(one_key) - F.col("__sum")).alias("__rest"),
-        F.count(F.lit(1)).over(one_key).alias("__segments"),
-    ).where(F.col("__segments") > 1)
-
-    joined = cut.join(elsewhere.hint("shuffle_hash"), F.col("__seg") == F.col("__at"), "left")
-    one_segment = Window.partitionBy("__seg")
+    segment = F.struct(*keys, F.shiftright(F.col(order).cast("long"), bits).alias(number))
+    cut = df.withColumn(seg, segment)
+    parts = cut.groupBy(seg).agg(F.sum(value).alias(part)).select(F.col(seg).alias(at), part, f"{seg}.*")
+    upto, whole = f"__upto{levels}", f"__whole{levels}"
+    placed = running_total(parts, number, keys, F.col(part), upto, whole, descending, bits, levels - 1)
+    # only segments with something before or behind them in their key: few rows
+    elsewhere = placed.select(
+        at, (F.col(upto) - F.col(part)).alias(before), (F.col(whole) - F.col(part)).alias(rest)
+    ).where((F.col(before) != 0) | (F.col(rest) != 0))
+
+    joined = cut.join(elsewhere.hint("shuffle_hash"), F.col(seg) == F.col(at), "left")
+    one_segment = Window.partitionBy(seg)
     up_to_here = one_segment.orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = {out: F.coalesce("__before", F.lit(0)) + F.sum(value.cast("long")).over(up_to_here)}
+    sums = {out: F.coalesce(before, F.lit(0)) + F.sum(value).over(up_to_here)}
     if total:
-        whole[total] = F.coalesce("__rest", F.lit(0)) + F.sum(value.cast("long")).over(one_segment)
-    return joined.withColumns(whole).drop("__seg", "__at", "__before", "__rest", "__segments")
+        sums[total] = F.coalesce(rest, F.lit(0)) + F.sum(value).over(one_segment)
+    return joined.withColumns(sums).drop(seg, at, before, rest)
 
 
 def previous_rows(

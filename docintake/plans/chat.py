@@ -6,6 +6,7 @@ from docintake.functions import answers, text
 from docintake.operators import chat, mentions
 from docintake.plans.registry import Tables, query
 from docintake.plans.roles import texts
+from docintake.session import spread
 
 CLASSES = [("article", ["the ", "des "]), ("particle", ["nicht", "sich"]), ("ending", ["TION", "ung"])]
 PHRASES = ["heon", "queon", "current time"]
@@ -344,7 +345,8 @@ def q_json_from_answer(t: Tables):
         .when(F.col("event_type") == "signup", F.concat(F.lit("["), k, F.lit("]")))
         .otherwise(F.concat(F.lit("{'ten': "), k, F.lit("}")))
     )
-    rows = answers.with_answer_info(t.events.select("event_id", answer.alias("answer")), "answer")
+    told = spread(t.events, "event_id").select("event_id", answer.alias("answer"))
+    rows = answers.with_answer_info(told, "answer")
     return rows.select("event_id", "info.ten", "info.tuoi")
 
 

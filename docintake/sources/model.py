@@ -30,7 +30,7 @@ class Client(Protocol):
 
 def _usable(answer: str | None) -> bool:
     """Whether asking again is pointless: the answer holds a non-empty JSON object."""
-    found = re.search(FENCED_OBJECT, answer or "") or re.search(f"{BARE_OBJECT[:4]}({BARE_OBJECT[4:]})", answer or "")
+    found = re.search(FENCED_OBJECT, answer or "") or re.search(BARE_OBJECT, answer or "")
     try:
         value = json.loads(found.group(1)) if found else None
     except ValueError:

@@ -153,6 +153,7 @@ def test_positions_and_frames_over_segments(spark, bits):
     """Gaps, a huge key and a null key: the same as a plain window."""
     rng = random.Random(bits)
     rows = [(k, t) for k, n in (("hot", 90), ("b", 3), (None, 7)) for t in rng.sample(range(-50, 400), n)]
+    rows += [("wide", rng.randrange(2**62)) for _ in range(20)]
     table = spark.createDataFrame(rows, "k string, t long")
     placed = ordering.running_total(table, "t", ["k"], out="pos", total="n", bits=bits)
     framed = ordering.previous_rows(placed, ["k"], "pos", 1, F.col("t"), "before", bits=bits)
