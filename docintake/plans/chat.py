@@ -412,7 +412,7 @@ def q_mention_join(t: Tables):
     "link_names",
     sql=f"""
     with recursive {SQL_NAMES},
-    links as (
+    links as materialized (
         select p.id, n.name, case when l.doc_id is null then n.file else '<' || n.file || '>' end as link,
                row_number() over (partition by p.id order by n.pos) as place
         from pairs p join names n on n.name = p.name left join labels l on l.doc_id = n.pos
