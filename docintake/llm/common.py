@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docintake.session import shared_folder
@@ -31,3 +31,19 @@ def groups_of(df: DataFrame, size: int) -> int:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once a row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def numbered(df: DataFrame, *order: Column, out: str) -> DataFrame:
+    """Number the rows of a written table from 1 along an order.
+
+    A range-partitioned sort is written once; a row's number is its place in
+    its partition plus one offset per partition.
+    """
+    parts = kept(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    parts = parts.withColumn("__part", F.shiftright("__id", 33))
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(offsets), "__part").withColumn(out, place).drop("__id", "__part", "__before")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docintake.llm import byte_bpe, exact_dedup, packing, simhash
+from docintake.llm import byte_bpe, exact_dedup, multiset_hash, packing, secrets, simhash
 
 QUERIES = {}
 ORACLE = {}
@@ -23,12 +23,22 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_sequences(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op8_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.edits(table(spark, folder, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"))
