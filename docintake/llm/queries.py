@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docintake.llm import byte_bpe, exact_dedup, multiset_hash, packing, secrets, simhash
+from docintake.llm import byte_bpe, exact_dedup, language, multiset_hash, packing, secrets, simhash, site_tree
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +23,16 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_sequences(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return site_tree.extracted(table(spark, folder, "pages"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scanned(table(spark, folder, "documents"))
