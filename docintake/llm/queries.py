@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docintake.llm import byte_bpe, exact_dedup, language, multiset_hash, packing, secrets, simhash, site_tree
+from docintake.llm import byte_bpe, exact_dedup, language, line_dedup, multiset_hash, packing, preference, secrets, simhash, site_tree
 
 QUERIES = {}
 ORACLE = {}
@@ -18,11 +18,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, folder, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_sequences(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op3_chat_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.preferences(table(spark, folder, "conversations"))
+
+
 @query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
@@ -67,3 +77,46 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
+
+ORACLE["op3_chat_preferences"] = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS digest
+  FROM conversations
+), firsts AS (
+  SELECT conv_id, role, digest FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, digest) = 1
+), lasts AS (
+  SELECT conv_id, turn, digest, text FROM turns WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, digest DESC) = 1
+), placed AS (
+  SELECT conv_id, role, digest, row_number() OVER (ORDER BY role, digest, conv_id) AS at, count(*) OVER () AS n FROM firsts
+), pairs AS (
+  SELECT a.conv_id AS pair, b.conv_id AS other, a.role = b.role AND a.digest = b.digest AND a.conv_id <> b.conv_id AS same
+  FROM placed a JOIN placed b ON b.at = a.at % a.n + 1
+), sides AS (
+  SELECT conv_id AS pair, 'chosen' AS side, turn, role, digest, text FROM turns
+  UNION ALL
+  SELECT pair, 'rejected', turn, role, digest, text FROM pairs JOIN turns ON conv_id = other WHERE same
+  UNION ALL
+  SELECT pair, 'rejected', t.turn, t.role, t.digest, t.text
+  FROM pairs JOIN turns t ON t.conv_id = pair LEFT JOIN lasts l ON l.conv_id = pair
+  WHERE NOT same AND (l.turn IS NULL OR (t.turn, t.role, t.digest) <> (l.turn, 'assistant', l.digest))
+  UNION ALL
+  SELECT pair, 'rejected', l.turn, 'assistant', o.digest, o.text
+  FROM pairs JOIN lasts l ON l.conv_id = pair JOIN lasts o ON o.conv_id = other WHERE NOT same
+), single AS (
+  SELECT pair, turn, role, digest FROM sides GROUP BY ALL HAVING count(DISTINCT side) = 1
+), split AS (
+  SELECT pair, turn, role, digest FROM single QUALIFY row_number() OVER (PARTITION BY pair ORDER BY turn, role, digest) = 1
+), cut AS (
+  SELECT s.*, p.pair IS NULL OR (s.turn, s.role, s.digest) < (p.turn, p.role, p.digest) AS shared
+  FROM sides s LEFT JOIN split p ON s.pair = p.pair
+), written AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS line,
+         NOT shared AND role = 'assistant' AS bears
+  FROM cut WHERE NOT shared OR side = 'chosen'
+)
+SELECT pair AS pair_id, CASE WHEN shared THEN 'prompt' ELSE side END AS section, turn, role, line AS text,
+       CASE WHEN bears THEN length('<|' || role || '|>' || chr(10)) ELSE 0 END AS loss_from,
+       CASE WHEN bears THEN length(line) ELSE 0 END AS loss_to
+FROM written
+"""
