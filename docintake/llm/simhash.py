@@ -213,7 +213,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns; rows of one id stay together."""
-    found = near_copies(docs, doc_id, text)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("__keep")), "left_semi")
+    """The first document of every component, with all its columns.
+
+    First is the smallest doc_id, null last, then a hash of the text; rows
+    that repeat id and text are one document and stay together.
+    """
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("hash"))
+    found = near_copies(docs.select(key.alias("id"), F.col(text).alias("text")), "id", "text")
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.withColumn("__id", key).join(first, F.col("__id") == F.col("__keep"), "left_semi").select(*docs.columns)
