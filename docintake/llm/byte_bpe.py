@@ -11,19 +11,25 @@ import base64
 import codecs
 import hashlib
 import re
-from array import array
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docintake.llm.chunk_ids import ChunkIds, blocks
+from docintake.llm.chunk_ids import ChunkIds, blocks, gathered, id_bytes, joined
 from docintake.llm.common import text_of
 from docintake.session import send_by_value
 
 send_by_value(__name__)
 send_by_value("docintake.llm.chunk_ids")
 
+#: Two white-space characters in a row, any but blank and line feed, or the sign that marks the cuts.
+ODD = r"[ \n][ \n]|[\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -60,40 +66,49 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class ByteCodec:
     """Encoder and decoder of one vocabulary, made once a task."""
 
-    doubled = re.compile(r"\s\s|[^\S \n]")
-
     def __init__(self, json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         of_char = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.table = [b""] * (max(vocab.values(), default=-1) + 1)
+        table = [b""] * (max(vocab.values(), default=-1) + 1)
         for written, token in vocab.items():
-            self.table[token] = bytes(of_char[c] for c in written)
-        self.cache = ChunkIds(self.many, lower=False)
+            table[token] = bytes(of_char[c] for c in written)
+        self.table = table
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ends = np.zeros(len(table) + 1, bool)
+        feed = vocab.get(byte_characters()[ord("\n")])
+        if feed is not None:
+            self.ends[feed] = True
+        self.cache = ChunkIds(self.many_bytes if feed is not None else lambda ts: list(map(id_bytes, self.many(ts))), lower=False)
 
     def many(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def id_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit.
+    def many_bytes(self, texts: list[str]) -> list[bytes]:
+        """Words are encoded in runs with line feeds between, which join with nothing."""
+        words = [t for t in texts if WORD.fullmatch(t)]
+        known = dict(zip(words, joined(self.tokenizer, words, "\n", self.ends, 0), strict=True))
+        rest = [t for t in texts if t not in known]
+        known.update(zip(rest, map(id_bytes, self.many(rest)), strict=True))
+        return [known[t] for t in texts]
+
+    def encode_rows(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text.
 
         A blank belongs to the word behind it and a line feed stands alone,
         so a text without two white-space characters in a row falls apart
         into chunks; any other text is encoded in one piece.
         """
-        cut, chunks = [], set()
-        for text in texts:
-            if self.doubled.search(text):
-                cut.append(None)
-                continue
-            words = chunked(text)
-            cut.append(words)
-            chunks.update(words)
-        known = self.cache.learn(chunks)
-        alone = array_bytes(self.many([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(alone) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        whole = pc.match_substring_regex(texts, ODD)
+        plain = texts.filter(pc.invert(whole))
+        chunked = pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n\x01")
+        rows = (ids[a:b] for ids, bounds in self.cache.encode(pc.split_pattern(chunked, "\x01")) for a, b in pairwise(bounds))
+        alone = iter(self.many(texts.filter(whole).to_pylist()))
+        return [np.array(next(alone), "<u4") if w else next(rows) for w in whole.to_pylist()]
 
     def ids_and_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the characters [start, end) each of them touches; one cut character belongs to all its tokens."""
@@ -102,7 +117,8 @@ class ByteCodec:
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; unknown ids are an error."""
-        return b"".join(map(self.table.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        return gathered(self.flat, self.sizes, self.starts, ids, np.array([0]))[0].tobytes()
 
     def decode_pieces(self, ids) -> list[str]:
         """The text each id completes; the first tokens of a split character give an empty text."""
@@ -113,26 +129,6 @@ class ByteCodec:
         return pieces
 
 
-def chunked(text: str) -> list[str]:
-    """Words with the blank before them, and line feeds."""
-    out: list[str] = []
-    for n, line in enumerate(text.split("\n")):
-        if n:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out.extend([" " + w for w in rest])
-    return out
-
-
-def array_bytes(lists):
-    """Id lists as little-endian bytes, one after the other."""
-    import numpy as np
-
-    return (np.array(ids, "<u4").tobytes() for ids in lists)
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, starts, ends of every text; start and end count characters of the text."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -163,10 +159,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
         codec = ByteCodec(json.value)
         for batch in batches:
             rows = []
-            for some in blocks(batch.column(1), lambda t: len(t.as_buffer())):
-                for ids in codec.id_bytes([t.as_py() for t in some]):
-                    decoded = codec.decode(array("I", ids))
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            for some in blocks(batch.column(1)):
+                for ids in codec.encode_rows(some):
+                    decoded = codec.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],

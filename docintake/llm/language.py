@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.llm.chunk_ids import blocks
 from docintake.llm.common import kept, text_of
 from docintake.session import send_by_value
 
@@ -38,6 +37,7 @@ EPOCHS = 4
 BATCH = 300
 RATE = 0.25
 WORDS_AT_ONCE = 200_000
+TEXTS_AT_ONCE = 1_000
 CACHED_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -289,7 +289,7 @@ def labeller_udf(model: Model | None, docs: DataFrame):
     def predict(batches: pd.Series) -> pd.DataFrame:
         rows = []
         labeller = Labeller(sent.value) if sent.value else None
-        for texts in blocks(batches, len):
+        for texts in (batches[at : at + TEXTS_AT_ONCE] for at in range(0, len(batches), TEXTS_AT_ONCE)):
             words = [WORD.findall(t.lower()) for t in texts]
             if labeller is None:
                 rows += [("und", 0.0, 0)] * len(texts)

@@ -9,15 +9,18 @@ group are at most half full; the one that may be goes on to a second packing
 with those of other groups.
 """
 
+import re
 import zlib
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docintake.llm.chunk_ids import ChunkIds, blocks
+from docintake.llm.chunk_ids import ChunkIds, blocks, id_bytes, joined
 from docintake.llm.common import groups_of, kept, text_of
 from docintake.session import send_by_value
 
@@ -27,14 +30,35 @@ send_by_value("docintake.llm.chunk_ids")
 LENGTH = 2048
 GROUP = 2048
 SECOND = 64
-END = np.array([0], "<u4").tobytes()
+END = id_bytes([0])
 
 
-def id_bytes(cache: ChunkIds, texts: list[str]) -> list[bytes]:
+WORD = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+class WordTokenizer:
+    """Ids of strings; words are encoded in runs, in which the ids that end a word show."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        words = [t for t in texts if WORD.fullmatch(t)]
+        known = dict(zip(words, joined(self.tokenizer, words, " ", self.ends, 1), strict=True))
+        rest = [t for t in texts if t not in known]
+        known.update((t, id_bytes(x.ids)) for t, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [known[t] for t in texts]
+
+
+def ids_of(cache: ChunkIds, texts: pa.Array) -> list[bytes]:
     """Ids of each text as bytes: the vocabulary drops white space and splits at it."""
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    known = cache.learn(c for words in cut for c in words)
-    return [b"".join(map(known.__getitem__, words)) for words in cut]
+    found = cache.encode(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+    return [ids[a:b].tobytes() for ids, bounds in found for a, b in pairwise(bounds)]
 
 
 def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -42,15 +66,12 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def tokenize(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        cache = ChunkIds(lambda ps: [x.ids for x in tokenizer.encode_batch_fast(ps, add_special_tokens=False)], lower=True)
+        cache = ChunkIds(WordTokenizer(path).many, lower=True)
         for batch in batches:
             row, rows = [], []
             at = 0
-            for some in blocks(batch.column(1), lambda t: len(t.as_buffer())):
-                for ids in id_bytes(cache, [t.as_py() for t in some]):
+            for some in blocks(batch.column(1)):
+                for ids in ids_of(cache, some):
                     whole = memoryview(ids + END)
                     for piece, start in enumerate(range(0, len(whole) // 4, length)):
                         part = whole[4 * start : 4 * (start + length)]
@@ -76,6 +97,7 @@ class Bins:
         self.lengths, self.limit = lengths, limit
         self.items: list[list[int]] = []
         self.free: list[int] = []
+        self.changes: list[int] = []
         self.at: dict[int, set[int]] = defaultdict(set)  # free space -> sequences
         self.spaces = 0  # bit f is set if some sequence has f free
 
@@ -83,6 +105,7 @@ class Bins:
         """Give a sequence these items."""
         self.leave(bin_)
         self.items[bin_] = items
+        self.changes[bin_] += 1
         self.free[bin_] = free = self.limit - sum(self.lengths[i] for i in items)
         if items:
             self.at[free].add(bin_)
@@ -96,6 +119,7 @@ class Bins:
 
     def open(self, items: list[int]) -> None:
         self.items.append([])
+        self.changes.append(0)
         self.free.append(self.limit)
         self.put(len(self.items) - 1, items)
 
@@ -110,6 +134,14 @@ class Bins:
             spaces &= spaces - 1
         return -1
 
+    def most_free(self, giver: int) -> int:
+        """The largest free space of the other sequences that are as full as this one or fuller."""
+        free = self.free[giver]
+        spaces = self.spaces & ((2 << free) - 1)
+        if len(self.at[free]) == 1:
+            spaces &= ~(1 << free)
+        return spaces.bit_length() - 1
+
     def best_fit(self) -> None:
         for i in sorted(range(len(self.lengths)), key=lambda i: -self.lengths[i]):
             bin_ = self.best(self.lengths[i])
@@ -124,12 +156,12 @@ class Swaps:
 
     One or two pieces of an underfull sequence, together ``give`` long, can go
     for a longer piece of up to ``give`` plus the sequence's free space.
-    Offers may be out of date; they are checked when used.
+    An offer holds until its sequence changes.
     """
 
     def __init__(self, bins: Bins):
         self.bins = bins
-        self.offers: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
+        self.offers: dict[int, list[tuple[int, int, int, tuple[int, ...]]]] = defaultdict(list)
         self.reaches = 0
 
     def offer(self, bin_: int) -> None:
@@ -149,7 +181,7 @@ class Swaps:
             gifts += [(a + b, (one[a], one[b])) for b in sizes[n + 1 :]]
         for give, items in gifts:
             if give + free <= bins.limit:
-                self.offers[give + free].append((bin_, items))
+                self.offers[give + free].append((bin_, bins.changes[bin_], give, items))
                 self.reaches |= 1 << (give + free)
 
     def find(self, size: int, giver: int, most: int):
@@ -157,16 +189,16 @@ class Swaps:
         bins = self.bins
         if size > bins.limit:
             return None
-        reaches = self.reaches >> size << size
+        # what gives less than it takes has at least the difference free
+        last = size + max(0, bins.most_free(giver))
+        reaches = self.reaches >> size << size & ((1 << last) - 1)
         while reaches:
             reach = (reaches & -reaches).bit_length() - 1
             stack = self.offers[reach]
             for k in range(len(stack) - 1, -1, -1):
-                bin_, items = stack[k]
-                held = bins.items[bin_]
-                give = sum(bins.lengths[i] for i in items)
-                if not set(items) <= set(held) or bins.free[bin_] + give != reach:
-                    stack.pop(k)  # out of date
+                bin_, change, give, items = stack[k]
+                if bins.changes[bin_] != change:
+                    stack.pop(k)
                 elif len(items) <= most and bin_ != giver and give < size and bins.free[bin_] <= bins.free[giver]:
                     return bin_, items
             if not stack:
