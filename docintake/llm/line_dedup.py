@@ -24,21 +24,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.llm.common import kept, let, text_of
+from docintake.llm.common import forget, kept, let, text_of, thinned
 
 BUCKETS = 1 << 16
-SEEDS = (11, 23, 37)
+SEEDS = (11, 23)
 LOW = 0x7FFFFFFF
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words between white space."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
+    """Lower-case words between white space, with empty ones."""
+    return F.split(F.lower(F.regexp_replace(text, r"[\t\x0b\f\r]", " ")), " ", -1)
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
     """The rarity class of every bucket as an array constant: three steps for each doubling of its count."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text)), r"\s+")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(words_of(F.replace(text_of(text), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
     classes = ["0"] * BUCKETS
     for r in counts:
@@ -48,16 +48,13 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
 
 def tokens(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs in order of rarity: class, then hash."""
+    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
 
-    def token(w: Column) -> Column:
-        return let(
-            F.xxhash64(w),
-            lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(
-                h.bitwiseAND(F.lit((1 << 56) - 1))
-            ),
-        )
+    def token(h: Column) -> Column:
+        known = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(known.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), token)))
+    return F.sort_array(F.transform(hashes, token))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,34 +72,38 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return kept(named, "lines")
 
 
-def address(s: str) -> Column:
-    return F.struct(F.struct(F.col(f"{s}.doc_id").alias("doc_id"), F.col(f"{s}.hash").alias("hash")).alias("id"), F.col(f"{s}.line").alias("line"))
-
-
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """(set, s): one row per set with its earliest line, which carries size and prefix."""
+    """One row per set, written: id, set, its number of lines, and its earliest line, with size and prefix."""
     earliest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "line", "check", "n", "prefix")
-    return lines.groupBy("set").agg(F.min(earliest).alias("s"))
+    sets = lines.groupBy("set").agg(F.min(earliest).alias("s"), F.count(F.lit(1)).alias("copies"))
+    return kept(sets.select(F.monotonically_increasing_id().alias("id"), "set", "copies", "s.*"), "line-sets")
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
     """(x, y): every set with the earliest of those that share two prefix words with it."""
 
     def key(seed: int) -> Column:
-        mixed = F.sort_array(F.transform("s.prefix", lambda t: F.xxhash64(t, F.lit(seed))))
+        mixed = F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(seed))))
         return F.xxhash64(mixed[0], mixed[1], F.lit(seed))
 
-    keyed = sets.where(F.size("s.prefix") >= 2).select("set", "s.no_id", "s.doc_id", F.explode(F.array(*map(key, SEEDS))).alias("key"))
-    earliest = F.min(F.struct("no_id", "doc_id", "set")).over(Window.partitionBy("key"))
-    led = keyed.withColumn("x", earliest["set"])
-    return led.where(F.col("x") != F.col("set")).select("x", F.col("set").alias("y")).distinct()
+    keyed = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.explode(F.array(*map(key, SEEDS))).alias("key"))
+    earliest = F.min(F.struct("no_id", "doc_id", "id")).over(Window.partitionBy("key"))
+    led = keyed.withColumn("x", earliest["id"])
+    return kept(led.where(F.col("x") != F.col("id")).select("x", F.col("id").alias("y")).distinct(), "leader-pairs")
+
+
+def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
+    """The sets with ``open``: not yet found similar to an earlier one."""
+    near = thinned(sets, F.col("id"), led, "later").join(led, F.col("id") == F.col("later"), "left")
+    near = near.withColumn("open", F.col("later").isNull()).drop("later")
+    return near.unionByName(thinned(sets, F.col("id"), led, "later", rest=True).withColumn("open", F.lit(True)))
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """(x, y): pairs that pass the prefix, length and positional filters and have an open member."""
-    rows = sets.where("s.n >= 4").select("set", F.col("s.n").alias("n"), "open", F.posexplode("s.prefix").alias("at", "word"))
+    rows = sets.where("n >= 4").select("id", "n", "open", F.posexplode("prefix").alias("at", "word"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    rows = rows.select("word", "set", packed.alias("p"))
+    rows = rows.select("word", "id", packed.alias("p"))
     x, y = rows.alias("x"), rows.alias("y")
 
     def parts(side: str) -> tuple[Column, Column, Column]:
@@ -113,57 +114,63 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     both = nx + ny
     fits = (
         (F.col("x.word") == F.col("y.word"))
-        & (F.col("x.set") < F.col("y.set"))
+        & (F.col("x.id") < F.col("y.id"))
         & (ox + oy > 0)
         & (4 * nx <= 5 * ny)
         & (4 * ny <= 5 * nx)
         & (9 * (nx - ix) >= 4 * both)
         & (9 * (ny - iy) >= 4 * both)
     )
-    return x.join(y, fits).select(F.col("x.set").alias("x"), F.col("y.set").alias("y")).distinct()
+    return kept(x.join(y, fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "prefix-pairs")
+
+
+def key_of(doc_id: str, text: Column) -> Column:
+    """What tells documents apart: the id, and a hash of the text for ids that repeat."""
+    return F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"))
 
 
 def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(set): the later set of each pair whose words have a Jaccard similarity of 4/5 or more."""
-    a = sets.select(F.col("set").alias("x"), F.col("s").alias("sx"))
-    b = sets.select(F.col("set").alias("y"), F.col("s").alias("sy"))
-    known = pairs.join(a, "x").join(b, "y")
-    order = [F.col("sx.no_id"), F.col("sx.doc_id"), F.col("sx.hash"), F.col("sx.line")]
-    other = [F.col("sy.no_id"), F.col("sy.doc_id"), F.col("sy.hash"), F.col("sy.line")]
-    later = F.when(F.struct(*order) < F.struct(*other), F.col("y")).otherwise(F.col("x"))
-    known = known.select(later.alias("set"), address("sx").alias("ax"), address("sy").alias("ay"))
+    """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, written."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("end"))
+    place = F.struct("no_id", "doc_id", "hash", "line")
+    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"))
+    known = pairs.join(placed.select(F.col("id").alias("x"), F.col("at").alias("ax")), "x")
+    known = known.join(placed.select(F.col("id").alias("y"), F.col("at").alias("ay")), "y")
 
     wanted = known.select(F.explode(F.array("ax", "ay")).alias("a")).distinct()
-    wanted = wanted.groupBy(F.col("a.id").alias("of")).agg(F.collect_list("a.line").alias("wanted"))
-    split = F.split("text", "\n", -1)
-    lines = texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("of"))
-    lines = lines.select("id", let(split, lambda ls: F.transform("wanted", lambda n: F.struct(n.alias("line"), ls[n].alias("text")))).alias("found"))
-    lines = lines.select("id", F.explode(F.array_compact("found")).alias("l"))
-    lines = lines.select(F.struct("id", F.col("l.line").alias("line")).alias("a"), F.array_distinct(words_of(F.col("l.text"))).alias("words"))
+    key = F.struct(F.col("a.doc_id").alias("doc_id"), F.col("a.hash").alias("hash"))
+    wanted = kept(wanted.groupBy(key.alias("of")).agg(F.collect_list("a").alias("wanted")), "wanted-lines")
+    found = thinned(texts, F.col("id"), wanted, "of").join(wanted, F.col("id") == F.col("of"))
+    split = let(F.split("text", "\n", -1), lambda ls: F.transform("wanted", lambda a: F.struct(a.alias("a"), ls[a["line"]].alias("text"))))
+    lines = found.dropDuplicates(["of"]).select(F.explode(F.array_compact(split)).alias("l"))
+    lines = lines.select("l.a", F.array_distinct(F.array_remove(words_of(F.col("l.text")), "")).alias("words"))
 
     wx = lines.select(F.col("a").alias("ax"), F.col("words").alias("wx"))
     wy = lines.select(F.col("a").alias("ay"), F.col("words").alias("wy"))
     checked = known.join(wx, "ax").join(wy, "ay")
     shared = F.size(F.array_intersect("wx", "wy"))
-    return checked.where(9 * shared >= 4 * (F.size("wx") + F.size("wy"))).select("set").distinct()
+    similar = checked.where(9 * shared >= 4 * (F.size("wx") + F.size("wy")))
+    return kept(similar.select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("later")).distinct(), "later-sets")
 
 
-def removed_lines(docs: DataFrame, texts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(of, gone): the numbers of the lines to remove, per document."""
+def removed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(of, gone): the numbers of the lines to remove, per document, written."""
+    texts = docs.select(key_of(doc_id, text_of(text)).alias("id"), text_of(text).alias("text"))
     lines = lines_of(docs, doc_id, text)
     sets = distinct_sets(lines)
-    led = later_of(leader_pairs(sets), sets, texts).select(F.col("set").alias("led"))
-    marked = sets.join(led, F.col("set") == F.col("led"), "left").select("set", "s", F.col("led").isNull().alias("open"))
-    joined = later_of(prefix_pairs(marked), sets, texts)
-    later = led.select(F.col("led").alias("set")).union(joined).distinct().select(F.col("set").alias("later"))
-    judged = sets.join(later, F.col("set") == F.col("later"), "left").select(
-        F.col("set").alias("of_set"), "s.doc_id", "s.hash", "s.line", "s.check", F.col("later").isNotNull().alias("similar")
-    )
+    first_pairs = leader_pairs(sets)
+    led = later_of(first_pairs, sets, texts)
+    pairs = prefix_pairs(opened(sets, led))
+    later = led.union(later_of(pairs, sets, texts)).distinct()
+
+    judged = opened(sets, later).where("copies > 1 or not open")
     l, j = lines.alias("l"), judged.alias("j")
     first = F.col("l.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("l.hash") == F.col("j.hash")) & (F.col("l.line") == F.col("j.line"))
-    met = l.join(j, (F.col("l.set") == F.col("j.of_set")) & (F.col("l.check") == F.col("j.check")) & (F.col("j.similar") | ~first))
+    met = l.join(j, (F.col("l.set") == F.col("j.set")) & (F.col("l.check") == F.col("j.check")) & (~F.col("j.open") | ~first))
     own = F.struct(F.col("l.doc_id").alias("doc_id"), F.col("l.hash").alias("hash")).alias("of")
-    return met.select(own, F.col("l.line").alias("line")).groupBy("of").agg(F.collect_set("line").alias("gone"))
+    gone = kept(met.select(own, F.col("l.line").alias("line")).groupBy("of").agg(F.collect_set("line").alias("gone")), "gone-lines")
+    forget(lines, sets, first_pairs, pairs)
+    return gone
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,38 +183,36 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     that repeat id and text are one document and get one result.  An empty
     table gives an empty result.
     """
-    key = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("hash"))
-    texts = docs.select(key.alias("id"), text_of(text).alias("text")).repartition("id")
-    gone = removed_lines(docs, texts, doc_id, text)
-    found = docs.withColumn("__id", key).repartition("__id").join(gone.hint("shuffle_hash"), F.col("__id") == F.col("of"), "left")
-
-    def rest(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-        return F.array_join(F.transform(stay, lambda n: lines[n]), "\n")
-
-    clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(let(F.split(text_of(text), "\n", -1), rest))
+    found = with_gone(docs, doc_id, text)
+    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest(text_of(text)))
     new = {text: clean}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(clean))
+        new["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(clean))
     return found.withColumns(new).select(*docs.columns)
 
 
+def with_gone(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents with ``__gone``: the numbers of the lines to remove, or null."""
+    gone = removed_lines(docs, doc_id, text).withColumnRenamed("gone", "__gone")
+    return docs.withColumn("__id", key_of(doc_id, text_of(text))).join(gone, F.col("__id") == F.col("of"), "left").drop("__id", "of")
+
+
+def rest(text: Column) -> Column:
+    """A text without the lines in ``__gone``."""
+
+    def joined(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(stay, lambda n: lines[n]), "\n")
+
+    return let(F.split(text, "\n", -1), joined)
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, its text without repeated lines, n_lines before, and n_removed."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
-    texts = rows.select(key.alias("id"), "text").repartition("id")
-    gone = removed_lines(docs, texts, doc_id, text)
-    found = texts.join(gone.hint("shuffle_hash"), F.col("id") == F.col("of"), "left")
-    lines = F.split("text", "\n", -1)
-
-    def rest(all_: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone"))
-        return F.array_join(F.transform(stay, lambda n: all_[n]), "\n")
-
-    return found.select(
-        F.col("id.doc_id").alias("doc_id"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    return with_gone(rows, "doc_id", "text").select(
+        "doc_id",
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest(F.col("text"))).alias("text"),
+        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -15,7 +15,7 @@ length, and so their likeness.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.llm.common import kept, let, numbered, text_of
+from docintake.llm.common import identity, kept, let, numbered, text_of
 
 WIDE, NARROW = 4, 64
 WIDE_MODULUS, NARROW_MODULUS = 1 << 32, 1 << 16
@@ -131,21 +131,22 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    rows = rows.withColumn("id", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    rows = rows.withColumn("id", identity("doc_id", F.col("text")))
 
-    sizes = kept(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")), "edit-ids")
-    placed = numbered(sizes, F.col("id.doc_id").desc_nulls_last(), F.col("id.hash"), out="at")
+    sizes = kept(rows.groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n")), "edit-ids")
+    placed = numbered(sizes, F.col("doc_id").desc_nulls_last(), F.col("id"), out="at")
     count = sizes.count()
     giving = placed.select(F.col("id").alias("giver"), F.when(F.col("at") > 1, F.col("at") - 1).otherwise(F.lit(count)).alias("before"))
-    taking = placed.select(F.col("id").alias("taker"), F.floor(F.col("n") / 3).cast("int").alias("need"), "at")
-    pairs = taking.join(giving, F.col("at") == F.col("before")).select("giver", "taker", "need")
+    taking = placed.select(F.col("id").alias("taker"), "doc_id", F.floor(F.col("n") / 3).cast("int").alias("need"), "at")
+    pairs = taking.join(giving, F.col("at") == F.col("before")).select("giver", "taker", "doc_id", "need")
 
-    # one shuffle of the texts serves both sides
+    # one shuffle of the texts serves both sides; vectors are made behind it
+    dealt = rows.select("id", "text").repartition("id")
     copies = Window.partitionBy("id").orderBy("id")
-    texts = rows.withColumn("vector", vector(F.col("text"))).withColumn("copy", F.row_number().over(copies))
+    texts = dealt.withColumn("copy", F.row_number().over(copies))
     given = texts.where("copy = 1").join(pairs, F.col("id") == F.col("giver"))
-    given = given.select("taker", F.col("text").substr(F.lit(1), F.col("need")).alias("head"), F.col("vector").alias("next"))
-    met = texts.join(given, F.col("id") == F.col("taker"), "left")
+    given = given.select("taker", "doc_id", F.col("text").substr(F.lit(1), F.col("need")).alias("head"), vector(F.col("text")).alias("next"))
+    met = texts.join(given, F.col("id") == F.col("taker")).withColumn("vector", vector(F.col("text")))
 
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
