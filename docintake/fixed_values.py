@@ -121,7 +121,7 @@ NEGATIVE_WORDS = ["không", "chưa", "thiếu"]
 POSITIVE_MARK = "✅ "
 NEGATIVE_MARK = "ℹ️ "
 MOOD_MIN_LENGTH = 50
-FACE_EMOJI = r"[\x{1F600}-\x{1F64F}]"
+FACE_EMOJI = "[😀-🙏]"
 BULLET = "• "
 FILE_MENTION = r"([\w\s.-]+\.(?:pdf|docx?))"
 
@@ -140,6 +140,13 @@ PREFIX_RULES = [
     ("google", ["AIza"]),
     ("vectorshift", ["vs-", "vectorshift"]),
 ]
+# provider, form of its keys, length they exceed
+KEY_RULES = [
+    ("google", "^AIza", 10),
+    ("openrouter", "^sk-or-", 20),
+    ("vectorshift", "(?i)^vs-|vectorshift", 10),
+]
+KEY_LENGTH = 10
 WARNING_SHARE = 0.8
 COLUMN_WIDTH_PADDING = 2
 COLUMN_WIDTH_MAX = 50

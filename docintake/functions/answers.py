@@ -27,12 +27,14 @@ def strict_json(rows: DataFrame, candidate: str, ddl: str, out: str) -> DataFram
 
     Spark's parser stops after the first value and would let trailing text
     pass.  So the text is wrapped together with its own hash: the hash only
-    comes back if the parser read the candidate to its end.
+    comes back if the parser read the candidate to its end, and the wrapper
+    only has its own two members if the candidate is one value.
     """
     seal = F.xxhash64(candidate).cast("string")
     wrapped = F.concat(F.lit('{"v":'), candidate, F.lit(',"seal":"'), seal, F.lit('"}'))
+    alone = F.json_object_keys(wrapped) == F.array(F.lit("v"), F.lit("seal"))
     parsed = rows.withColumn("__parsed", F.from_json(wrapped, f"struct<v:{ddl},seal:string>", STRICT))
-    return parsed.withColumn(out, F.when(F.col("__parsed.seal") == seal, F.col("__parsed.v"))).drop("__parsed")
+    return parsed.withColumn(out, F.when(alone & (F.col("__parsed.seal") == seal), F.col("__parsed.v"))).drop("__parsed")
 
 
 def _first_of(rows: DataFrame, answer: str, fenced: str, bare: str, out: str) -> DataFrame:

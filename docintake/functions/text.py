@@ -38,6 +38,11 @@ def truncate(c: Column, budget: int = TEXT_BUDGET, mark: str = TRUNCATION_MARK)
     return F.when(F.length(c) > budget, F.concat(F.substring(c, 1, budget), F.lit(mark))).otherwise(c)
 
 
+def blocks(c: Column, budget: int = TEXT_BUDGET) -> Column:
+    """A text as an array of consecutive blocks within the budget; together they are the text."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{budget}}}"), F.lit(0))
+
+
 def contains_any(c: Column, words: Sequence[str]) -> Column:
     """Plain substring test against a list of words, any case."""
     low = F.lower(c)
@@ -138,13 +143,21 @@ def stem(name: Column) -> Column:
     return F.substr(base, F.lit(1), F.length(base) - F.length(raw_suffix(name)))
 
 
+def without_suffix(name: Column) -> Column:
+    """The whole name up to its suffix, a folder part included."""
+    return F.substr(name, F.lit(1), F.length(name) - F.length(raw_suffix(name)))
+
+
 def sanitize_name(name: Column) -> Column:
-    """Stem with every other sign than letters, digits, ``_``, ``-`` and blank replaced."""
-    return F.concat(F.regexp_replace(stem(name), r"[^\p{L}\p{N}_\- ]", "_"), raw_suffix(name))
+    """Every other sign than letters, digits, ``_``, ``-`` and blank replaced in front of the suffix.
+
+    Slashes are such signs, so names that differ in a folder part stay apart.
+    """
+    return F.concat(F.regexp_replace(without_suffix(name), r"[^\p{L}\p{N}_\- ]", "_"), raw_suffix(name))
 
 
 def obvious_name(name: Column, words: Sequence[str] = OBVIOUS_NAME_WORDS) -> Column:
-    return stem(name).rlike(f"(?iu)({'|'.join(words)})")
+    return without_suffix(name).rlike(f"(?iu)({'|'.join(words)})")
 
 
 def size_text(length: Column) -> Column:

@@ -58,11 +58,12 @@ def clock_answer(at: Column) -> Column:
 
 
 def numbered_turns(conversations: DataFrame, total: str | None = None) -> DataFrame:
-    """``no``: the place of each turn in its conversation, from 1.
+    """``no``: the place of each turn in its conversation, from 1; turns that share a number go by role and text."""
+    return running_total(conversations, turn_order(), ["conv_id"], out="no", total=total)
 
-    Turns count up without wide gaps, so one level of segments is enough.
-    """
-    return running_total(conversations, "turn", ["conv_id"], out="no", total=total, levels=1)
+
+def turn_order() -> list[Column]:
+    return [F.col("turn"), F.col("role"), F.xxhash64("text")]
 
 
 def context_frame(conversations: DataFrame, window: int = CONTEXT_MESSAGES) -> DataFrame:
@@ -74,7 +75,7 @@ def context_frame(conversations: DataFrame, window: int = CONTEXT_MESSAGES) -> D
 def exchanges(conversations: DataFrame) -> DataFrame:
     """One row per user turn: its running number and the first answer after it."""
     asked = F.when(F.col("role") == "user", 1).otherwise(0)
-    counted = running_total(conversations, "turn", ["conv_id"], value=asked, out="exchange", levels=1)
+    counted = running_total(conversations, turn_order(), ["conv_id"], value=asked, out="exchange")
     told = counted.where((F.col("exchange") > 0) & F.col("role").isin("user", "assistant"))
     first_reply = F.min(F.when(F.col("role") == "assistant", F.struct("turn", "text")))["text"]
     return told.groupBy("conv_id", "exchange").agg(
@@ -167,9 +168,15 @@ def retained(
     is made without the newest row, which is then always added, as the session
     log does it.
     """
-    placed = running_total(log, order, keys, out="__pos", total="__n")
-    n = F.col("__n") - (1 if before_append else 0)
-    kept = low + (1 if before_append else 0)
+    extra = 1 if before_append else 0
+    kept = low + extra
+    if not keys:
+        # a count and a sort with a limit; nothing else is shuffled
+        count = log.agg(F.count(F.lit(1))).scalar() - extra
+        newest = log.orderBy(F.col(order).desc()).limit(kept)
+        return log.where(count <= high).unionByName(newest.where(count > high))
+    placed = running_total(log, [F.col(order)], keys, out="__pos", total="__n")
+    n = F.col("__n") - extra
     return placed.where((n <= high) | (F.col("__pos") > F.col("__n") - kept)).drop("__pos", "__n")
 
 

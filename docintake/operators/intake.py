@@ -18,7 +18,7 @@ from docintake.fixed_values import (
     RECENT_MESSAGES,
 )
 from docintake.functions import text
-from docintake.operators.ordering import elements, latest_per_key, running_total
+from docintake.operators.ordering import elements, global_position, latest_per_key
 
 # --- which messages ----------------------------------------------------------
 
@@ -58,7 +58,7 @@ def recent(messages: DataFrame, n: int = RECENT_MESSAGES) -> DataFrame:
 
 def numbered_batches(messages: DataFrame, size: int = FETCH_BATCH) -> DataFrame:
     """Newest first in batches of ``size``; ``batch`` counts from 0."""
-    placed = running_total(messages, "uid", out="__pos", descending=True)
+    placed = global_position(messages, [F.col("uid").desc()], out="__pos")
     return placed.withColumn("batch", F.floor((F.col("__pos") - 1) / F.lit(size)).cast("long")).drop("__pos")
 
 
@@ -81,7 +81,8 @@ def judged_parts(
 
     A part is kept if its name is obvious or its message has a keyword.  All
     of it happens inside the message row, so nothing is shuffled.  Obvious
-    names come first, then the order inside the message.
+    names come first, then the order inside the message.  Parts whose payload
+    could not be decoded are marked, not left out.
     """
     judged = messages.withColumn("kw", keyword_hit(F.col("subject"), F.col("body"), keywords))
 
@@ -90,6 +91,7 @@ def judged_parts(
             (~text.obvious_name(p["filename"], words)).alias("plain"),
             p["part_no"].alias("part_no"),
             p["filename"].alias("filename"),
+            p["content"].isNotNull().alias("readable"),
         )
 
     documents = F.filter("parts", lambda p: text.suffix(p["filename"]).isin(list(suffixes)))
@@ -104,9 +106,12 @@ def worth_processing() -> Column:
 
 
 def kept_parts(judged: DataFrame, *carry: str) -> DataFrame:
-    """One row per kept part: ``uid, part_no, filename, safe_name, obvious, priority``."""
+    """One row per kept part with a payload: ``uid, part_no, filename, safe_name, obvious, priority``.
+
+    A part without one must not win its name from an older readable copy.
+    """
     rows = judged.select("uid", *carry, F.posexplode(elements("kept")).alias("__i", "p"))
-    return rows.select(
+    return rows.where("p.readable").select(
         "uid",
         *carry,
         F.col("p.part_no").alias("part_no"),
@@ -149,7 +154,7 @@ def to_land(rows: DataFrame, landed: DataFrame, *carry: str) -> DataFrame:
 
 
 def with_content(rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """Payloads of the rows to land; undecodable (null) payloads are dropped."""
+    """Payloads of the rows to land."""
     payloads = messages.select("uid", F.inline(elements("parts"))).select("uid", "part_no", "content")
     return rows.join(payloads, ["uid", "part_no"]).where(F.col("content").isNotNull())
 
@@ -188,6 +193,17 @@ def run_counters(judged: DataFrame, landed_now: DataFrame) -> DataFrame:
     return per_message.select("*", per_file.scalar().alias("files_landed"))
 
 
+def failures(rows: DataFrame, error: str = "error") -> DataFrame:
+    """One row for a run: how many rows failed, and the last error by place ``uid`` or ``path``."""
+    place = "uid" if "uid" in rows.columns else "path"
+    failed = F.col(error).isNotNull()
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(failed).alias("failed"),
+        F.max(F.when(failed, F.struct(place, F.col(error).alias("error"))))["error"].alias("last_error"),
+    )
+
+
 def left_or_right(left: DataFrame, right: DataFrame) -> DataFrame:
     """The left table, or the right one when the left is empty, in one plan."""
     return left.unionByName(right.where(~left.exists()))

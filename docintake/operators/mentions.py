@@ -5,40 +5,32 @@ from pyspark.sql import functions as F
 
 from docintake.fixed_values import FILE_MENTION
 from docintake.functions import text
+from docintake.operators.ordering import elements
 
 WORDS = r"[\p{L}\p{N}_]+"
 EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 KEY_WORDS = 4
 
 
-def _word_runs(rows: DataFrame, words: str, longest: int, out: str) -> DataFrame:
-    """The runs of up to ``longest`` neighbouring words, one row each.
-
-    Each step puts the next word behind the runs of the step before, in a
-    column of its own, so that no step is computed twice.  Runs that would
-    pass the end are null and never join.
-    """
-    steps = [words]
-    for n in range(1, longest):
-        later = F.slice(words, n + 1, F.size(words))
-        longer = F.zip_with(steps[-1], later, lambda a, b: F.concat(a, F.lit(" "), b))
-        steps.append(f"__run{n}")
-        rows = rows.withColumn(steps[-1], longer)
-    return rows.withColumn(out, F.explode(F.flatten(F.array(*steps)))).drop(*steps)
-
-
 def words_of(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORDS})"), F.lit(1))
 
 
-def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
-    """Pairs ``(id, name)`` where the answer holds the name as whole words.
+def runs_of(words: Column, longest: int) -> Column:
+    """The distinct runs of up to ``longest`` neighbouring words."""
+    starts = F.sequence(F.lit(1), F.size(words))
+    runs = F.transform(
+        F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    )
+    return F.array_distinct(F.flatten(runs))
+
 
-    Each distinct name is keyed by its first words (up to ``key_words``), each
-    answer by its runs of so many words; an equi-join on the key finds the
-    candidates and the whole name is verified on them.  So an answer only
-    meets names it shares a word run with, never all names, and the long
-    answer texts stay out of the exploded rows.
+def candidates(answers: DataFrame, names: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
+    """Pairs ``(id, name)`` that share the first words (up to ``key_words``) of the name.
+
+    An equi-join on word runs; a run that an answer repeats counts once, and
+    only runs that some name starts with leave the join.  Neither answers nor
+    names are compared in pairs, and the long texts stay out of the rows.
     """
     keyed = (
         names.select(text.strip(F.col("name")).alias("name"))
@@ -47,11 +39,19 @@ def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WOR
         .select("name", F.array_join(F.slice(words_of(F.col("name")), 1, key_words), " ").alias("key"))
         .where(F.col("key") != "")
     )
-    words = answers.select("id", words_of(F.col("answer")).alias("w"))
-    runs = _word_runs(words, "w", key_words, "key")
-    candidates = runs.join(keyed, "key").select("id", "name").distinct()
-    verified = answers.select("id", "answer").join(candidates, "id")
-    return verified.where(whole_word(F.col("answer"), F.col("name"))).select("id", "name")
+    told = answers.select("id", words_of(F.col("answer")).alias("w")).where(F.size("w") > 0)
+    runs = told.select("id", F.explode(elements(runs_of(F.col("w"), key_words))).alias("key"))
+    return runs.join(keyed, "key").select("id", "name")
+
+
+def mention_pairs(answers: DataFrame, names: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
+    """Pairs ``(id, name)`` where the answer holds the name as whole words.
+
+    The candidates of an answer meet its text once, in one row.
+    """
+    wanted = candidates(answers, names, key_words).groupBy("id").agg(F.collect_set("name").alias("names"))
+    met = answers.select("id", "answer").join(wanted, "id")
+    return met.select("id", F.explode(elements(F.filter("names", lambda n: whole_word(F.col("answer"), n)))).alias("name"))
 
 
 def quoted(c: Column) -> Column:
@@ -74,18 +74,19 @@ def link_names(answers: DataFrame, names: DataFrame, files: DataFrame) -> DataFr
     """Answers with a link behind the first mention of each name, in table order.
 
     ``answers(id, answer)``, ``names(pos, name, file)``, ``files(file, link)``.
+    A name that stands for several rows links the file of the first one.
     """
     usable = names.select(F.col("pos").cast("long").alias("pos"), text.strip(F.col("name")).alias("name"), text.strip(F.col("file")).alias("file"))
     usable = usable.where((F.col("name") != "") & (F.col("file") != ""))
-    found = mention_pairs(answers, usable).join(link_or_name(usable, files), "name")
-    per_answer = found.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "name", "link"))).alias("__links")
-    )
+    usable = usable.groupBy("name").agg(F.min(F.struct("pos", "file")).alias("first")).select("name", "first.*")
+    found = candidates(answers, usable).join(link_or_name(usable, files), "name")
+    per_answer = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "link"))).alias("__links"))
     joined = answers.join(per_answer, "id", "left")
+    # a candidate that is no whole word of the answer changes nothing
     folded = F.reduce(
         F.coalesce("__links", F.array().cast("array<struct<pos:bigint,name:string,link:string>>")),
         F.col("answer"),
-        lambda acc, x: put_first(acc, x["name"], x["link"]),
+        lambda acc, x: F.when(F.contains(acc, x["name"]), put_first(acc, x["name"], x["link"])).otherwise(acc),
     )
     return joined.withColumn("answer", folded).drop("__links")
 
@@ -123,18 +124,20 @@ def resolved_mentions(answers: DataFrame, files: DataFrame) -> DataFrame:
     The mention pattern also swallows the words before a file name, so each
     tail that starts at a word is tried, by an equi-join on the file name.
     Tails longer than the longest file name cannot match and are not built.
+    The mentions go through the join with their tails, so the texts are read once.
     """
-    mentions = file_mentions(answers)
     longest = files.agg(F.coalesce(F.max(F.length("file")), F.lit(0)).alias("n")).scalar()
     pieces = F.split(F.right("mention", longest + 1), r"(?U)(?<=\s)(?=\S)")
     tails = F.transform(
         F.sequence(F.lit(1), F.size("__pieces")),
         lambda i: F.array_join(F.slice("__pieces", i, F.size("__pieces")), ""),
     )
-    tried = mentions.withColumn("__pieces", pieces).select("id", "no", F.explode(tails).alias("file"))
-    hits = tried.join(files.select("file").distinct(), "file", "left_semi")
-    best = hits.groupBy("id", "no").agg(F.max(F.struct(F.length("file").alias("n"), "file"))["file"].alias("file"))
-    return mentions.join(best, ["id", "no"], "left")
+    cut = file_mentions(answers).withColumn("__pieces", pieces)
+    tried = cut.select("id", "no", "raw", "mention", F.explode(tails).alias("file"))
+    known = files.select(F.col("file").alias("__file")).distinct()
+    hits = tried.join(known, F.col("file") == F.col("__file"), "left")
+    best = F.max(F.when(F.col("__file").isNotNull(), F.struct(F.length("file").alias("n"), "file")))["file"]
+    return hits.groupBy("id", "no", "raw", "mention").agg(best.alias("file"))
 
 
 def link_files(answers: DataFrame, files: DataFrame) -> DataFrame:

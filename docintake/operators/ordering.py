@@ -1,10 +1,10 @@
 """Order-dependent operators that stay spread out when one key is huge.
 
 A plain window sorts a whole key (or, without a key, the whole table) in one
-task.  Here the order column is cut into segments of at most ``2**bits``
-consecutive integers; counts per segment are summed with map-side combine,
-running totals over the short segment table give every segment its offset, and
-only one segment at a time is ever sorted.
+task.  Here the rows are sorted once into range partitions, which are written
+to the shared folder; a key may span as many of them as it needs.  Windows run
+inside one partition of one key, and the sums of whole partitions, at most one
+row per key and partition, give every partition its offset.
 """
 
 from collections.abc import Sequence
@@ -12,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docintake.session import checkpointed
+from docintake.session import written
 
 SEGMENT_BITS = 16
-SEGMENT_LEVELS = 2
 
 
 def elements(array: str) -> Column:
@@ -27,51 +26,43 @@ def elements(array: str) -> Column:
     return F.array_compact(array)
 
 
+def sorted_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows with ``__id``, which counts up along the order, and ``__part``, the range partition it lies in.
+
+    Rows are written to the shared folder before the sort, which reads its
+    input twice, and after it, which fixes the place of rows that tie.
+    """
+    placed = written(df, "unsorted").orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    return written(placed, "sorted").withColumn("__part", F.shiftright("__id", 33))
+
+
 def running_total(
     df: DataFrame,
-    order: str,
+    order: Sequence[Column],
     keys: Sequence[str] = (),
     value: Column | None = None,
     out: str = "running",
     total: str | None = None,
-    descending: bool = False,
-    bits: int = SEGMENT_BITS,
-    levels: int = SEGMENT_LEVELS,
 ) -> DataFrame:
-    """Running sum of ``value`` (default 1: the position) along a unique integer column.
+    """Running sum of ``value`` (default 1: the position) along an order within ``keys``.
 
-    ``order`` must be unique within ``keys`` so that a segment holds at most
-    ``2**bits`` rows.  ``total`` names an optional column with the sum per key.
-    The segments are themselves totalled in segments, once per level, so that
-    ids with wide gaps do not leave a long segment table to one task.
+    Any sortable columns will do: dense, sparse or hashed.  Rows that tie
+    follow each other in a fixed but arbitrary order; name a tie-breaker to
+    choose it.  ``total`` names an optional column with the sum per key.
     """
     value = (F.lit(1) if value is None else value).cast("long")
-    along = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if levels == 0:
-        one_key = Window.partitionBy(*keys)
-        up_to_here = one_key.orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = {out: F.sum(value).over(up_to_here)}
-        return df.withColumns(sums | ({total: F.sum(value).over(one_key)} if total else {}))
-
-    seg, number, part, at, before, rest = (f"__{n}{levels}" for n in ("seg", "number", "part", "at", "before", "rest"))
     # a struct, so that null keys match and join and window share one shuffle
-    segment = F.struct(*keys, F.shiftright(F.col(order).cast("long"), bits).alias(number))
-    cut = df.withColumn(seg, segment)
-    parts = cut.groupBy(seg).agg(F.sum(value).alias(part)).select(F.col(seg).alias(at), part, f"{seg}.*")
-    upto, whole = f"__upto{levels}", f"__whole{levels}"
-    placed = running_total(parts, number, keys, F.col(part), upto, whole, descending, bits, levels - 1)
-    # only segments with something before or behind them in their key: few rows
-    elsewhere = placed.select(
-        at, (F.col(upto) - F.col(part)).alias(before), (F.col(whole) - F.col(part)).alias(rest)
-    ).where((F.col(before) != 0) | (F.col(rest) != 0))
-
-    joined = cut.join(elsewhere.hint("shuffle_hash"), F.col(seg) == F.col(at), "left")
-    one_segment = Window.partitionBy(seg)
-    up_to_here = one_segment.orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {out: F.coalesce(before, F.lit(0)) + F.sum(value).over(up_to_here)}
-    if total:
-        sums[total] = F.coalesce(rest, F.lit(0)) + F.sum(value).over(one_segment)
-    return joined.withColumns(sums).drop(seg, at, before, rest)
+    cut = sorted_parts(df, [*map(F.col, keys), *order]).withColumn("__seg", F.struct(*keys, "__part"))
+    parts = cut.groupBy("__seg").agg(F.sum(value).alias("__sum")).select(F.col("__seg").alias("__at"), "__sum", "__seg.*")
+    # one row per key and partition
+    along = Window.partitionBy(*keys)
+    before = F.sum("__sum").over(along.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.select("__at", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__sum").over(along).alias("__all"))
+
+    joined = cut.join(placed, F.col("__seg") == F.col("__at"))
+    up_to_here = Window.partitionBy("__seg").orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {out: F.col("__before") + F.sum(value).over(up_to_here)} | ({total: F.col("__all")} if total else {})
+    return joined.withColumns(sums).drop("__id", "__part", "__seg", "__at", "__before", "__all")
 
 
 def previous_rows(
@@ -100,19 +91,8 @@ def previous_rows(
 
 
 def global_position(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """Number all rows from 1 along any order whose columns together are (nearly) unique.
-
-    A range-partitioned sort is written to the checkpoint folder once; row ids
-    of the sorted partitions plus one offset per partition give the number.
-    The sort reads its input twice (to choose the ranges, then to shuffle), so
-    the input is kept until the checkpoint is written.
-    """
-    held = df.persist()
-    try:
-        parts = checkpointed(held.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
-    finally:
-        held.unpersist()
-    parts = parts.withColumn("__part", F.shiftright("__id", 33))
+    """Number all rows from 1 along any order: the place in the partition plus one offset per partition."""
+    parts = sorted_parts(df, order)
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.fixed_values import WARNING_SHARE
+from docintake.fixed_values import KEY_LENGTH, KEY_RULES, WARNING_SHARE
 from docintake.functions import text
 
 # --- rules: a condition that is false (not null) for an absent value ---------
@@ -43,16 +43,15 @@ def connection_rules(host: Column, port: Column, user: Column, password: Column)
     }
 
 
-def key_rule(key: Column, provider: Column) -> Column:
-    """Form of an access key by provider; unknown providers only check the length."""
-    low = F.lower(text.strip(key))
-    loose = (F.contains(low, F.lit("vectorshift")) | F.startswith(low, F.lit("vs-"))) & (F.length(low) > 10)
-    return (
-        F.when(provider == "google", prefixed(key, "AIza", 10))
-        .when(provider == "openrouter", prefixed(key, "sk-or-", 20))
-        .when(provider == "vectorshift", sure(loose))
-        .otherwise(sure(F.length(low) > 10))
-    )
+def key_rule(
+    key: Column, provider: Column, rules: Sequence[tuple[str, str, int]] = KEY_RULES, longer: int = KEY_LENGTH
+) -> Column:
+    """Form and length of an access key by the rule of its provider; without a rule only the length."""
+    bare = text.strip(key)
+    checked = F
+    for name, form, length in rules:
+        checked = checked.when(provider == name, sure(F.rlike(bare, F.lit(form)) & (F.length(bare) > length)))
+    return checked.otherwise(sure(F.length(bare) > longer))
 
 
 def validated(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.fixed_values import COL_SENT, COL_SOURCE, MAX_ATTEMPTS, RECORD_COLUMNS, RECORD_FROM_INFO
+from docintake.fixed_values import COL_SENT, COL_SOURCE, INFO_KEYS, RECORD_COLUMNS, RECORD_FROM_INFO
 from docintake.functions import answers, text, times
 from docintake.operators.ordering import global_position
 
@@ -42,34 +42,46 @@ def with_sent_time(
 def in_time_range(
     files: DataFrame, sent_iso: str = "sent_iso", start: Column | None = None, end: Column | None = None
 ) -> DataFrame:
-    """Both ends included; rows without a readable time go only if a bound is given."""
+    """From ``start`` on and before ``end``, as ``times.day_bounds`` gives them.
+
+    Rows without a readable time go only if a bound is given.
+    """
     instant = times.parse_iso(F.col(sent_iso))
     if start is not None:
         files = files.where(instant >= start)
     if end is not None:
-        files = files.where(instant <= end)
+        files = files.where(instant < end)
     return files
 
 
 def with_regex_info(documents: DataFrame, source_text: str = "text", out: str = "info") -> DataFrame:
-    """Fields by regular expressions from the truncated text; blank text gives blank fields."""
-    cut = documents.withColumn("__cut", text.truncate(F.coalesce(F.col(source_text), F.lit(""))))
-    cut = cut.withColumn("__folded", text.fold_case(F.col("__cut")))
-    return cut.withColumn(out, text.extract_info(F.col("__cut"), F.col("__folded"))).drop("__cut", "__folded")
+    """Fields by regular expressions from the whole text; blank text gives blank fields."""
+    whole = documents.withColumn("__text", F.coalesce(F.col(source_text), F.lit("")))
+    whole = whole.withColumn("__folded", text.fold_case(F.col("__text")))
+    return whole.withColumn(out, text.extract_info(F.col("__text"), F.col("__folded"))).drop("__text", "__folded")
 
 
-def resolved_answers(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Per document the fields of the first attempt that yields a usable object."""
-    tried = responses.where((F.col("attempt") <= max_attempts) & F.col("error").isNull())
-    parsed = answers.with_answer_info(tried, "response")
+def resolved_answers(responses: DataFrame) -> DataFrame:
+    """Per document its fields from recorded answers, of which every attempt counts.
+
+    A block of a document is answered by its first attempt that yields a
+    usable object; a field is the first non-empty one over the blocks.
+    Without a column ``block`` a document is one block.
+    """
+    if "block" not in responses.columns:
+        responses = responses.withColumn("block", F.lit(0))
+    parsed = answers.with_answer_info(responses.where(F.col("error").isNull()), "response")
     # unusable answers are null and lose in the minimum; a filter would parse every answer twice
     first = F.min(F.when(F.col("info").isNotNull(), F.struct("attempt", "info"))).alias("first")
-    return (
-        parsed.groupBy("doc_id")
-        .agg(first)
-        .where(F.col("first").isNotNull())
-        .select("doc_id", F.col("first.info").alias("llm_info"), F.col("first.attempt").alias("attempt"))
-    )
+    blocks = parsed.groupBy("doc_id", "block").agg(first).where(F.col("first").isNotNull())
+    blocks = blocks.select("doc_id", "block", "first.attempt", "first.info.*")
+
+    def filled(key: str) -> Column:
+        return F.min(F.when(F.col(key) != "", F.struct("block", F.col(key).alias("value")))).alias(key)
+
+    found = blocks.groupBy("doc_id").agg(F.min("attempt").alias("attempt"), *map(filled, INFO_KEYS))
+    info = F.struct(*[F.coalesce(f"{k}.value", F.lit("")).alias(k) for k in INFO_KEYS])
+    return found.select("doc_id", info.alias("llm_info"), "attempt")
 
 
 def with_info(documents: DataFrame, responses: DataFrame, source_text: str = "text") -> DataFrame:

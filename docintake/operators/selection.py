@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import COLUMN_WIDTH_MAX, COLUMN_WIDTH_PADDING, TOP_SOURCES
-from docintake.functions import answers
+from docintake.functions import answers, text
 from docintake.operators.ordering import elements
 
 
@@ -99,6 +99,8 @@ def question_prompts(chunks: DataFrame, question: str, columns: Sequence[str], s
     return chunks.select("chunk", F.array(head, data, F.lit(question)).alias("prompt"))
 
 
-def extraction_prompt(text: Column, instruction: str) -> Column:
-    """Instruction and document text as the two parts of one call."""
-    return F.array(F.lit(instruction), text)
+def extraction_prompts(documents: DataFrame, instruction: str) -> DataFrame:
+    """``doc_id, block, prompt``: instruction and text as the parts of one call, for every block of every text."""
+    asked = documents.where(~text.is_blank(F.col("text")))
+    blocks = asked.select("doc_id", F.posexplode(text.blocks(F.col("text"))).alias("block", "text"))
+    return blocks.select("doc_id", "block", F.array(F.lit(instruction), F.col("text")).alias("prompt"))

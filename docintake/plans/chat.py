@@ -6,7 +6,6 @@ from docintake.functions import answers, text
 from docintake.operators import chat, mentions
 from docintake.plans.registry import Tables, query
 from docintake.plans.roles import texts
-from docintake.session import spread
 
 CLASSES = [("article", ["the ", "des "]), ("particle", ["nicht", "sich"]), ("ending", ["TION", "ung"])]
 PHRASES = ["heon", "queon", "current time"]
@@ -339,13 +338,17 @@ def q_clean_answer(t: Tables):
 def q_json_from_answer(t: Tables):
     k = F.get_json_object("props", "$.k")
     answer = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit('Sure {x\n```json\n{"ten": "N '), k, F.lit('", "tuoi": '), k, F.lit("}\n``` {}")))
+        F.when(
+            (F.col("event_type") == "error") & (F.col("event_id") % 2 == 1),
+            F.concat(F.lit('{"ten": "A"}, "notes": {"x": '), k, F.lit("}")),  # members of a wrapper, no JSON value
+        )
+        .when(F.col("event_type") == "click", F.concat(F.lit('Sure {x\n```json\n{"ten": "N '), k, F.lit('", "tuoi": '), k, F.lit("}\n``` {}")))
         .when(F.col("event_type") == "view", F.concat(F.lit('[{"ten": "V'), k, F.lit('", "tuoi": ["a","'), k, F.lit('"], "email": null}]')))
         .when(F.col("event_type") == "error", F.concat(F.lit('{"ten":1} and {"ten":'), k, F.lit("}")))
         .when(F.col("event_type") == "signup", F.concat(F.lit("["), k, F.lit("]")))
         .otherwise(F.concat(F.lit("{'ten': "), k, F.lit("}")))
     )
-    told = spread(t.events, "event_id").select("event_id", answer.alias("answer"))
+    told = t.events.select("event_id", answer.alias("answer"))
     rows = answers.with_answer_info(told, "answer")
     return rows.select("event_id", "info.ten", "info.tuoi")
 
@@ -383,17 +386,29 @@ def q_classify_error(t: Tables):
 
 
 def _names(t: Tables):
-    """First two words of the benchmark texts as names, each with a file."""
+    """Names, each with a file: whole benchmark texts, their first two words, and words that many texts hold."""
+    file = F.concat(F.lit("item $"), F.col("item_id").cast("string"), F.lit(".pdf"))
+    item = F.col("item_id").cast("int")
+    heads = F.regexp_extract("text", r"^[\p{L}]+ [\p{L}]+", 0)
+    common = F.element_at(F.array(F.lit("The"), F.lit("der"), F.lit("of the")), F.pmod(item, F.lit(3)) + 1)
+    kinds = [(0, F.rtrim(F.col("text"), F.lit("."))), (1, heads), (2, common)]
     return t.benchmark.select(
-        F.col("item_id").cast("int").alias("pos"),
-        F.regexp_extract("text", r"^[A-Za-z]+ [a-z]+", 0).alias("name"),
-        F.concat(F.lit("item $"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("file"),
+        F.inline(F.array(*[F.struct((item * 3 + n).alias("pos"), name.alias("name"), file.alias("file")) for n, name in kinds]))
     )
 
 
 SQL_NAMES = """
-    names as (select item_id as pos, regexp_extract(text, '^[A-Za-z]+ [a-z]+', 0) as name,
-                     'item $' || item_id || '.pdf' as file from benchmark),
+    kinds as (
+        select item_id * 3 as pos, rtrim(text, '.') as name, 'item $' || item_id || '.pdf' as file from benchmark
+        union all
+        select item_id * 3 + 1, regexp_extract(text, '^[\\p{L}]+ [\\p{L}]+', 0), 'item $' || item_id || '.pdf' from benchmark
+        union all
+        select item_id * 3 + 2, ['The', 'der', 'of the'][item_id % 3 + 1], 'item $' || item_id || '.pdf' from benchmark
+    ),
+    names as (
+        select min(pos) as pos, trim(name, ' ' || chr(10)) as name, arg_min(file, pos) as file from kinds
+        where trim(name, ' ' || chr(10)) <> '' group by 2
+    ),
     pairs as (
         select distinct doc_id as id, name
         from documents join names on contains(text, name)
@@ -411,27 +426,25 @@ def q_mention_join(t: Tables):
 @query(
     "link_names",
     sql=f"""
-    with recursive {SQL_NAMES},
-    links as materialized (
-        select p.id, n.name, case when l.doc_id is null then n.file else '<' || n.file || '>' end as link,
-               row_number() over (partition by p.id order by n.pos) as place
-        from pairs p join names n on n.name = p.name left join labels l on l.doc_id = n.pos
-    ),
-    step as (
-        select doc_id as id, 0::bigint as k, text as answer from documents
-        union all
-        select s.id, s.k + 1, regexp_replace(s.answer, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(l.name) || '($|[^\\p{{L}}\\p{{N}}_])',
-                                             '\\1' || l.name || ' (' || l.link || ')\\2')
-        from step s join links l on l.id = s.id and l.place = s.k + 1
+    with {SQL_NAMES},
+    steps as (
+        select p.id, list('(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(n.name) || '($|[^\\p{{L}}\\p{{N}}_])' || chr(1)
+                          || '\\1' || n.name || ' (' || case when l.doc_id is null then n.file else '<' || n.file || '>' end || ')\\2'
+                          order by n.pos) as links
+        from pairs p join names n on n.name = p.name left join labels l on l.doc_id = n.pos // 3
+        group by p.id
     )
-    select id, md5(arg_max(answer, k)) as answer_md5 from step group by id
+    select doc_id as id,
+           md5(list_reduce(list_prepend(text, coalesce(links, [])),
+                           lambda told, x: regexp_replace(told, split_part(x, chr(1), 1), split_part(x, chr(1), 2)))) as answer_md5
+    from documents left join steps on id = doc_id
     """,
 )
 def q_link_names(t: Tables):
     told = texts(t).select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    files = _names(t).join(t.labels, F.col("pos") == F.col("doc_id")).select(
-        "file", F.concat(F.lit("<"), "file", F.lit(">")).alias("link")
-    )
+    file = F.concat(F.lit("item $"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("file")
+    files = t.benchmark.join(t.labels, F.col("item_id") == F.col("doc_id")).select(file)
+    files = files.select("file", F.concat(F.lit("<"), "file", F.lit(">")).alias("link"))
     return mentions.link_names(told, _names(t), files).select("id", F.md5("answer").alias("answer_md5"))
 
 

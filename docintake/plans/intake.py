@@ -8,9 +8,20 @@ from docintake.functions import text
 from docintake.operators import intake
 from docintake.operators.ordering import elements
 from docintake.plans.registry import Tables, query
-from docintake.plans.roles import PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS, SQL_PARTS, iso_text, mailbox
-from docintake.session import spread
+from docintake.plans import jobs
+from docintake.plans.roles import (
+    PAGE_KEYWORDS,
+    PAGE_SUFFIXES,
+    PAGE_WORDS,
+    SQL_FIELDS,
+    SQL_PARTS,
+    iso_text,
+    mailbox,
+    sql_shown,
+)
+from docintake.session import shared_folder
 from docintake.sources import attachments, messages, state
+from docintake.streaming import intake as rounds
 
 # --- events as a mailbox -----------------------------------------------------
 
@@ -117,7 +128,7 @@ def q_map_state_read(t: Tables):
 
 
 def judged(t: Tables):
-    return intake.judged_parts(mailbox(spread(t.pages, "page_id")), PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS)
+    return intake.judged_parts(mailbox(t.pages), PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS)
 
 
 @query(
@@ -132,7 +143,9 @@ def q_keep_rule(t: Tables):
     "attachment_priority",
     sql=f"""
     with {SQL_PARTS}
-    select uid, part_no, row_number() over (partition by uid order by obvious desc, part_no) as priority from kept
+    select uid, part_no, priority
+    from (select *, row_number() over (partition by uid order by obvious desc, part_no) as priority from found)
+    where readable
     """,
 )
 def q_attachment_priority(t: Tables):
@@ -188,7 +201,7 @@ def q_land_new_attachments(t: Tables):
            count(distinct uid) as messages_with_attachments,
            count(*) as attachments_found,
            (select count(*) from new) as files_landed
-    from kept where not contains(url, '.org')
+    from found where not contains(url, '.org')
     """,
 )
 def q_run_counters(t: Tables):
@@ -199,7 +212,7 @@ def q_run_counters(t: Tables):
 
 @query(
     "mark_processed",
-    sql=f"with {SQL_PARTS} select uid, kw or uid in (select uid from kept) as kept from messages",
+    sql=f"with {SQL_PARTS} select uid, kw or uid in (select uid from found) as kept from messages",
 )
 def q_mark_processed(t: Tables):
     return intake.processed_rows(judged(t))
@@ -213,19 +226,27 @@ def q_scan_by_extension(t: Tables):
     return attachments.by_suffix(t.pages.select("page_id", "url"), "url", [".org", ".com", ".html"])
 
 
-@query("obvious_name", sql="select page_id, regexp_matches(regexp_extract(url, '([^/]*)$', 1), '(?i)(page|top|ref)') as obvious from pages")
+@query(
+    "obvious_name",
+    sql=r"""
+    select page_id, regexp_matches(regexp_replace(url, '([^./][^/]*)[.][^./]*$', '\1'), '(?i)(blog|top|ref)') as obvious
+    from pages
+    """,
+)
 def q_obvious_name(t: Tables):
-    return t.pages.select("page_id", text.obvious_name(F.col("url"), ["page", "top", "ref"]).alias("obvious"))
+    return t.pages.select("page_id", text.obvious_name(F.col("url"), ["blog", "top", "ref"]).alias("obvious"))
 
 
 @query(
     "sanitize_name",
-    sql="select page_id, regexp_replace(url, '[^\\p{L}\\p{N}_\\- ]', '_', 'g') || '.pdf' as safe_name from pages",
+    sql="""
+    select page_id, regexp_replace(url, '[^\\p{L}\\p{N}_\\- ]', '_', 'g')
+                    || case when url like '%/' then '_pdf' else '.pdf' end as safe_name
+    from pages
+    """,
 )
 def q_sanitize_name(t: Tables):
-    # the address is one name here, so its slashes are signs to replace
-    name = F.concat(F.replace("url", F.lit("/"), F.lit("?")), F.lit(".pdf"))
-    return t.pages.select("page_id", text.sanitize_name(name).alias("safe_name"))
+    return t.pages.select("page_id", text.sanitize_name(F.concat("url", F.lit(".pdf"))).alias("safe_name"))
 
 
 @query(
@@ -302,7 +323,7 @@ def raw_messages(pages):
     """,
 )
 def q_parse_messages(t: Tables):
-    parsed = messages.parse(raw_messages(spread(t.pages, "page_id")))
+    parsed = messages.parse(raw_messages(t.pages))
     return parsed.select("uid", "subject", F.md5("body").alias("body_md5"), "sent_iso", F.inline(elements("parts"))).select(
         "uid", "subject", "body_md5", "filename", F.md5("content").alias("content_md5"), "sent_iso"
     )
@@ -321,4 +342,107 @@ for _entity, _sign in attachments.ENTITIES:
     sql=f"select page_id, trim(regexp_replace({HTML_STEPS}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from pages",
 )
 def q_extract_text_pages(t: Tables):
-    return spread(t.pages, "page_id").select("page_id", attachments.html_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", attachments.html_text(F.col("html")).alias("text"))
+
+
+# --- state and landing area --------------------------------------------------
+
+
+@query(
+    "sent_time_rounds",
+    sql="""
+    with writes as (
+        select 'f' || user_id as safe_name, event_id, case when event_type = 'click' then 2 else 1 end as round,
+               strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' as sent_iso
+        from events where event_type in ('view', 'click')
+    )
+    select safe_name, arg_max(sent_iso, round * 1000000000 + event_id) as sent_iso from writes group by safe_name
+    """,
+)
+def q_sent_time_rounds(t: Tables):
+    folder = shared_folder(t.spark, "sent")
+    rows = t.events.select(
+        "event_type", F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("safe_name"), iso_text(F.col("ts")).alias("sent_iso"), F.col("event_id").alias("uid")
+    )
+    for number, kind in enumerate(("view", "click"), 1):
+        rounds.sent_time_round(folder)(rows.where(F.col("event_type") == kind), number)
+    return rounds.current_sent_times(t.spark, folder)
+
+
+@query("reset_mark", sql="select event_id as uid, (select max(event_id) from events) as before from events")
+def q_reset_mark(t: Tables):
+    folder = shared_folder(t.spark, "mark")
+    state.write_mark(intake.advance_mark(t.region.select(F.lit("0").alias("mark")), events_as_messages(t)), folder)
+    before = state.read_mark(t.spark, folder)
+    state.reset_mark(t.spark, folder)
+    rows = intake.after_mark(events_as_messages(t), state.read_mark(t.spark, folder))
+    return rows.select("uid", F.lit(before).cast("long").alias("before"))
+
+
+@query("purge_landing", sql="select count(*) as purged, 0 as left_over from pages")
+def q_purge_landing(t: Tables):
+    folder = shared_folder(t.spark, "purged")
+    attachments.land(t.pages.select(F.col("url").alias("safe_name"), F.encode("html", "UTF-8").alias("content")), folder)
+    purged = attachments.purge(t.spark, folder)
+    left = t.spark.read.parquet(folder).agg(F.count(F.lit(1)).cast("int").alias("left_over"))
+    return left.select(F.lit(purged).cast("long").alias("purged"), "left_over")
+
+
+@query(
+    "round_counters",
+    sql=f"""
+    with {SQL_PARTS}
+    select (select count(*) from messages) as messages_processed, count(distinct uid) as messages_with_attachments,
+           count(*) as attachments_found, (select count(distinct safe_name) from kept) as files_landed
+    from found
+    """,
+)
+def q_round_counters(t: Tables):
+    landing, counters = shared_folder(t.spark, "landing"), shared_folder(t.spark, "counters")
+    rules = rounds.Rules(PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS)
+    rounds.land_round(landing, rules, counters)(mailbox(t.pages).withColumn("sent_iso", F.lit("")), 1)
+    return t.spark.read.parquet(counters).drop("round")
+
+
+@query(
+    "run_failures",
+    sql="""
+    with files as (select page_id, 'f' || page_id || case page_id % 3 when 0 then '.docx' when 1 then '.pdf' else '.txt' end as path from pages)
+    select count(*) as rows, count(*) filter (where page_id % 3 <> 2) as failed,
+           arg_max(case page_id % 3 when 0 then 'BadZipFile: File is not a zip file' else 'no reader for .pdf' end, path)
+               filter (where page_id % 3 <> 2) as last_error
+    from files
+    """,
+)
+def q_run_failures(t: Tables):
+    kind = F.element_at(F.array(F.lit(".docx"), F.lit(".pdf"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int"))
+    files = t.pages.select(
+        F.concat(F.lit("f"), F.col("page_id").cast("string"), kind).alias("path"),
+        F.octet_length("html").alias("length"),
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+    readers = {**attachments.DOCX_ONLY, ".txt": lambda payload: payload.decode()}
+    return intake.failures(attachments.with_text(files, readers=readers))
+
+
+@query(
+    "fetch_to_records",
+    sql=f"""
+    with {SQL_PARTS},
+    first as (select *, 'Họ tên: ' || link as cut from kept qualify {SQL_FIRST})
+    select coalesce({sql_shown('ts')}, '') as "Thời gian nhận", safe_name as "Nguồn", {SQL_FIELDS}
+    from first left join events on event_id = uid
+    """,
+)
+def q_fetch_to_records(t: Tables):
+    landing = shared_folder(t.spark, "landing")
+    named = F.transform(
+        "parts",
+        lambda p: p.withField("content", F.encode(F.concat(F.lit("Họ tên: "), F.decode(p["content"], "UTF-8")), "UTF-8")),
+    )
+    sent = t.events.select(F.col("event_id").alias("uid"), iso_text(F.col("ts")).alias("sent_iso"))
+    mail = mailbox(t.pages).withColumn("parts", named).join(sent, "uid", "left")
+    rounds.land_round(landing, rounds.Rules(PAGE_KEYWORDS, PAGE_SUFFIXES, PAGE_WORDS))(mail, 1)
+    plain = lambda payload: payload.decode()
+    return jobs.process_landed(t.spark, landing, readers={".pdf": plain, ".docx": plain})

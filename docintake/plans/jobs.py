@@ -1,6 +1,6 @@
 """The three jobs end to end: fetch messages, process files, answer questions."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +9,37 @@ from pyspark.sql import functions as F
 from docintake.fixed_values import COL_SOURCE, DEFAULT_KEYWORDS, TIME_PHRASES
 from docintake.functions import answers, text, times
 from docintake.operators import chat, intake, mentions, records
+from docintake.operators.ordering import global_position
+from docintake.session import written
 from docintake.sources import attachments, messages, model, state
+from docintake.streaming import intake as rounds
+
+
+def no_times(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "safe_name string, sent_iso string")
+
+
+def records_of(
+    files: DataFrame,
+    stored: DataFrame,
+    fetched: DataFrame | None = None,
+    start: Column | None = None,
+    end: Column | None = None,
+    readers: Mapping[str, attachments.Reader] = attachments.DOCX_ONLY,
+    client_factory: Callable[[], model.Client] | None = None,
+    responses: str | None = None,
+) -> DataFrame:
+    """Records of files (``path, safe_name, length, modificationTime, content``), newest first.
+
+    Times are joined and filtered before any text is taken out of a file.
+    With a model client its answers are first written to ``responses``.
+    """
+    timed = records.with_sent_time(files, "safe_name", stored, fetched)
+    timed = records.in_time_range(timed, start=start, end=end)
+    texts = attachments.with_text(timed, "sent_iso", readers=readers).withColumn("doc_id", F.xxhash64("path"))
+    found = model.extract_with(texts, client_factory, responses)
+    named = records.to_records(found, "path", keep=["sent_iso"])
+    return named.orderBy(*records.newest_first(F.col("sent_iso"), F.col(COL_SOURCE))).drop("sent_iso")
 
 
 def process_folder(
@@ -18,37 +48,42 @@ def process_folder(
     sent_times: str | None = None,
     fetched: DataFrame | None = None,
     only: DataFrame | None = None,
-    start: Column | None = None,
-    end: Column | None = None,
-    client_factory: Callable[[], model.Client] | None = None,
-    responses: str | None = None,
+    **how,
 ) -> DataFrame:
-    """Records of the document files of a folder, newest first.
+    """Records of the document files of a folder.
 
     ``only`` limits the run to the file names of this fetch; when it is empty
-    all files are processed.  Times are joined and filtered before any text
-    is taken out of a file.  With a model client its answers are first written to
-    ``responses``.
+    all files are processed.  ``how`` are the parameters of :func:`records_of`.
     """
     files = attachments.scan(spark, folder).withColumn("safe_name", text.base_name(F.col("path")))
     if only is not None:
         files = intake.left_or_right(files.join(only.select("safe_name"), "safe_name", "left_semi"), files)
-    stored = (
-        state.read_sent_times(spark, sent_times)
-        if sent_times
-        else spark.createDataFrame([], "safe_name string, sent_iso string")
+    stored = state.import_sent_times(spark, sent_times) if sent_times else no_times(spark)
+    return records_of(files, stored, fetched, **how)
+
+
+def process_landed(spark: SparkSession, landing: str, sent: str | None = None, **how) -> DataFrame:
+    """Records straight from the landing table.
+
+    The time a file landed with goes before the kept rounds of sent times.
+    """
+    landed = rounds.read_rounds(spark, landing, rounds.LANDED)
+    files = landed.select(
+        F.col("safe_name").alias("path"),
+        "safe_name",
+        F.octet_length("content").cast("long").alias("length"),
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        "content",
     )
-    timed = records.with_sent_time(files, "safe_name", stored, fetched)
-    timed = records.in_time_range(timed, start=start, end=end)
-    texts = attachments.with_text(timed, "sent_iso").withColumn("doc_id", F.xxhash64("path"))
-    found = model.extract_with(texts, client_factory, responses)
-    named = records.to_records(found, "path", keep=["sent_iso"])
-    return named.orderBy(*records.newest_first(F.col("sent_iso"), F.col(COL_SOURCE))).drop("sent_iso")
+    stored = rounds.current_sent_times(spark, sent) if sent else no_times(spark)
+    return records_of(files, stored, landed.where(F.col("sent_iso") != ""), **how)
 
 
-def process_file(spark: SparkSession, path: str) -> DataFrame:
+def process_file(
+    spark: SparkSession, path: str, readers: Mapping[str, attachments.Reader] = attachments.DOCX_ONLY
+) -> DataFrame:
     """The nine fields of one file; no row when it has no text."""
-    one = attachments.with_text(spark.read.format("binaryFile").load(path))
+    one = attachments.with_text(spark.read.format("binaryFile").load(path), readers=readers)
     return records.with_regex_info(one.where(~text.is_blank(F.col("text")))).select("info.*")
 
 
@@ -61,27 +96,41 @@ def fetch_box(
     since: date | None = None,
     before: date | None = None,
     ignore_mark: bool = False,
+    processed: str | None = None,
+    sent: str | None = None,
 ) -> DataFrame:
     """One incremental fetch from a folder of message files; gives the rows just landed.
 
-    The rows land before the mark moves, so a run that dies in between is
-    repeated and lands nothing twice.
+    Every message is parsed once, into the shared folder.  ``processed`` is a
+    folder for the ids of handled messages, which are not fetched again;
+    ``sent`` one for the sent times of landed files.  The rows land before the
+    marks move, so a run that dies in between is repeated and lands nothing
+    twice.  The mark only passes messages that were fetched, and never goes
+    back.
     """
-    from docintake.streaming.intake import LANDED, read_rounds, write_round
-
-    last = 0 if ignore_mark else state.read_mark(spark, mark)
+    stored = state.read_mark(spark, mark)
     raw = messages.scan(spark, box).withColumn("uid", messages.uid_of(F.col("path")))
-    parsed = messages.parse(intake.after_mark(raw, last))
-    day = times.parse_iso(F.col("sent_iso"))
-    wanted = intake.in_window(parsed, day, since, before)
-    landed = read_rounds(spark, landing, LANDED)
+    parsed = written(messages.parse(intake.after_mark(raw, 0 if ignore_mark else stored)), "messages")
+    wanted = intake.in_window(parsed, times.parse_iso(F.col("sent_iso")), since, before)
+    if processed:
+        wanted = intake.unseen(wanted, rounds.read_rounds(spark, processed, rounds.PROCESSED))
+    landed = rounds.read_rounds(spark, landing, rounds.LANDED)
     number = (landed.agg(F.max("round")).first()[0] or 0) + 1
-    kept = intake.kept_parts(intake.judged_parts(wanted, list(keywords)), "sent_iso")
-    new = intake.to_land(kept, landed, "sent_iso")
-    write_round(intake.with_content(new, wanted).select(LANDED.fieldNames()), landing, number)
-    stored = spark.createDataFrame([(str(last),)], "mark string")
-    state.write_mark(intake.advance_mark(stored, raw), mark)
-    return read_rounds(spark, landing, LANDED).where(F.col("round") == number)
+    if processed:
+        handled = rounds.read_rounds(spark, processed, rounds.PROCESSED)
+        number = max(number, (handled.agg(F.max("round")).first()[0] or 0) + 1)
+    judged = intake.judged_parts(wanted, list(keywords))
+    kept = intake.kept_parts(judged, "sent_iso")
+    new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
+    rounds.write_round(intake.with_content(new, wanted).select(rounds.LANDED.fieldNames()), landing, number)
+    this_round = rounds.read_rounds(spark, landing, rounds.LANDED).where(F.col("round") == number)
+    if sent:
+        rounds.sent_time_round(sent)(this_round, number)
+    fetched = written(intake.processed_rows(judged), "handled")
+    if processed:
+        rounds.write_round(fetched, processed, number)
+    state.write_mark(intake.advance_mark(spark.createDataFrame([(str(stored),)], "mark string"), fetched), mark)
+    return this_round
 
 
 def routed_questions(
@@ -95,10 +144,9 @@ def routed_questions(
 def finished_answers(told: DataFrame, table: DataFrame, files: DataFrame) -> DataFrame:
     """Model answers (``id, answer``) cleaned, with file and name links.
 
-    ``table`` is the record table, ``files`` has ``file, link``.
+    ``table`` is the record table, ranked or not, ``files`` has ``file, link``.
     """
-    names = table.select(
-        F.monotonically_increasing_id().alias("pos"), F.col("Họ tên").alias("name"), F.col(COL_SOURCE).alias("file")
-    )
+    placed = table if "rank" in table.columns else global_position(table, [F.col(COL_SOURCE)])
+    names = placed.select(F.col("rank").alias("pos"), F.col("Họ tên").alias("name"), F.col(COL_SOURCE).alias("file"))
     clean = answers.clean_answers(told)
     return mentions.link_names(mentions.link_files(clean, files), names, files)

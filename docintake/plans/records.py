@@ -26,7 +26,7 @@ SQL_SENT = "select event_id, ts from events where event_type in ('click', 'signu
 
 SQL_RECORDS = f"""
     with profiles as ({SQL_PROFILE}),
-    cuts as (select *, {SQL_TRUNCATED} as cut from profiles),
+    cuts as (select *, text as cut from profiles),
     sent as ({SQL_SENT})
     select coalesce({sql_shown('ts')}, '') as "Thời gian nhận",
            lang || '-' || doc_id as "Nguồn",
@@ -65,7 +65,7 @@ def q_records_ranked(t: Tables):
 @query(
     "single_document",
     sql=f"""
-    with profiles as ({SQL_PROFILE}), cuts as (select *, {SQL_TRUNCATED} as cut from profiles where doc_id = 7)
+    with profiles as ({SQL_PROFILE}), cuts as (select *, text as cut from profiles where doc_id = 7)
     select doc_id, {SQL_FIELDS} from cuts
     """,
 )
@@ -132,7 +132,7 @@ def q_sent_time_join(t: Tables):
     select doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' as sent_iso
     from documents join sent on doc_id = event_id
     where date_trunc('second', ts) >= timestamp '2024-01-01 06:00:00'
-      and date_trunc('second', ts) <= timestamp '2024-01-02 18:00:00'
+      and date_trunc('second', ts) < timestamp '2024-01-02 18:00:00'
     """,
 )
 def q_time_range(t: Tables):
@@ -209,13 +209,13 @@ def _responses(t: Tables):
     "resolve_responses",
     sql=f"""
     with first as (
-        select conv_id, min(turn) as turn from conversations where role = 'assistant' and turn < 3 group by conv_id
+        select conv_id, min(turn) as turn from conversations where role = 'assistant' group by conv_id
     ),
     hits as (
         select c.conv_id, c.turn, 'N ' || c.conv_id || '.' || c.turn as ten, length(c.text) as chars
         from conversations c join first f on c.conv_id = f.conv_id and c.turn = f.turn
     ),
-    cuts as (select *, {SQL_TRUNCATED} as cut from ({SQL_PROFILE}))
+    cuts as (select *, text as cut from ({SQL_PROFILE}))
     select doc_id,
            coalesce(ten, {sql_field('ten', 'cut')}) as "Họ tên",
            coalesce(chars::varchar, {sql_field('tuoi', 'cut')}) as "Tuổi",
@@ -285,12 +285,53 @@ def q_prompt_rows(t: Tables):
 
 @query(
     "extraction_prompts",
-    sql=f"select doc_id, md5(cut) as text_md5 from (select doc_id, {SQL_TRUNCATED} as cut from documents) where {'length(cut) > 0'}",
+    sql="""
+    with cuts as (select doc_id, text, unnest(range(0, (length(text) + 7999) // 8000)) as block from documents)
+    select doc_id, block::integer as block, md5(substring(text, block * 8000 + 1, 8000)) as text_md5 from cuts
+    """,
 )
 def q_extraction_prompts(t: Tables):
-    asked = t.documents.where(~text.is_blank(F.col("text")))
-    prompt = selection.extraction_prompt(text.truncate(F.col("text")), model.INSTRUCTION)
-    return asked.select("doc_id", F.md5(F.get(prompt, F.lit(1))).alias("text_md5"))
+    asked = selection.extraction_prompts(t.documents, model.INSTRUCTION)
+    return asked.select("doc_id", "block", F.md5(F.get("prompt", F.lit(1))).alias("text_md5"))
+
+
+class LengthClient:
+    """A model that tells the length of what it was asked about, and fails on some lengths at first."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def generate_content(self, parts: list[str]) -> str:
+        length = len(parts[1])
+        self.asked[parts[1]] = self.asked.get(parts[1], 0) + 1
+        return "{broken" if length % 2 and self.asked[parts[1]] == 1 else f'Sure: {{"ten": "N{length}"}}'
+
+
+@query(
+    "model_answers",
+    sql="""
+    select doc_id, 'N' || least(length(text), 8000) as ten, '' as email
+    from documents where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0
+    """,
+)
+def q_model_answers(t: Tables):
+    told = t.documents.where(~text.is_blank(F.col("text")))
+    found = model.extract_with(told, LengthClient, shared_folder(t.spark, "responses"))
+    return found.select("doc_id", "info.ten", "info.email")
+
+
+@query("extract_without_model", sql=f"with cuts as (select doc_id, text as cut from ({SQL_PROFILE})) select doc_id, {SQL_FIELDS} from cuts")
+def q_extract_without_model(t: Tables):
+    found = model.extract_with(profile(t), None)
+    return found.select("doc_id", *records.record_columns(F.lit(""), F.lit(""))[2:])
+
+
+@query("save_records_count", sql="select count(*) as saved, count(*) as read_back from documents")
+def q_save_records_count(t: Tables):
+    folder = shared_folder(t.spark, "records")
+    rows = t.documents.select("doc_id", "source", "text")
+    saved = tables.save_records(rows, folder)
+    return tables.read_csv(t.spark, folder, rows.schema).agg(F.lit(saved).cast("long").alias("saved"), F.count(F.lit(1)).alias("read_back"))
 
 
 # --- top five ----------------------------------------------------------------
@@ -314,7 +355,8 @@ SQL_SCORED = """
     """,
 )
 def q_top5(t: Tables):
-    answer = t.benchmark.orderBy("item_id").limit(1).select(F.col("text").alias("response"))
+    # the whole benchmark as one answer, which holds no array
+    answer = t.benchmark.agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("response"))
     best = [F.col("quality").desc(), F.col("n_chars").desc(), F.col("doc_id").asc()]
     return selection.top_sources(answer, _scored(t), COL_SOURCE, best)
 

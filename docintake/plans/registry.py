@@ -25,7 +25,6 @@ def query(name: str, sql: str | None = None):
 
     def register(plan: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return plan(Tables(spark, folder))
 
         run.__doc__ = plan.__doc__

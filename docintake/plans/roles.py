@@ -3,10 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.fixed_values import EMAIL_HOST, EMAIL_LOCAL_SIGN, LABELS, RECORD_FROM_INFO, WHITE_SPACE
+from docintake.fixed_values import EMAIL_HOST, EMAIL_LOCAL_SIGN, LABELS, PHONE_PATTERN, RECORD_FROM_INFO, WHITE_SPACE
 from docintake.functions.text import label_pattern
 from docintake.plans.registry import Tables
-from docintake.session import spread
 
 # --- SQL fragments -----------------------------------------------------------
 
@@ -21,7 +20,7 @@ def sql_field(field: str, text: str) -> str:
     if field == "email":
         return f"regexp_extract({text}, '{EMAIL_LOCAL_SIGN}+{EMAIL_HOST}', 0)"
     if field == "dien_thoai":
-        return sql_strip(rf"regexp_extract({text}, '\+?\d[\d\-\s]{{7,}}\d', 0)")
+        return sql_strip(f"regexp_extract({text}, '{PHONE_PATTERN}', 0)")
     return sql_strip(f"regexp_extract({text}, '(?i){label_pattern(field)}', 1)")
 
 
@@ -37,8 +36,8 @@ def sql_shown(ts: str) -> str:
 
 
 def texts(t: Tables) -> DataFrame:
-    """Documents with a task per core for the work on their texts."""
-    return spread(t.documents, "doc_id")
+    """Documents."""
+    return t.documents
 
 
 def profile(t: Tables) -> DataFrame:
@@ -103,8 +102,9 @@ def mailbox(pages: DataFrame) -> DataFrame:
         links,
         lambda h, i: F.struct(
             (i + 1).cast("long").alias("part_no"),
-            F.concat(name(h), kind(name(h))).alias("filename"),
-            F.encode(h, "UTF-8").alias("content"),
+            F.concat(F.when(i % 3 == 2, F.lit("der/")).otherwise(F.lit("")), name(h), kind(name(h))).alias("filename"),
+            # links with this ending have a payload that could not be decoded
+            F.when(~h.rlike("n$"), F.encode(h, "UTF-8")).alias("content"),
         ),
     )
     return pages.select(
@@ -128,18 +128,20 @@ SQL_PARTS = """
         select uid, url, kw, unnest(links) as link, unnest(range(1, len(links) + 1)) as part_no from messages
     ),
     names as (
-        select uid, url, kw, part_no, link, regexp_extract(link, '([^/]*)$', 1) as stem,
+        select uid, url, kw, part_no, link, not regexp_matches(link, 'n$') as readable,
+               case when part_no % 3 = 0 then 'der/' else '' end || regexp_extract(link, '([^/]*)$', 1) as stem,
                case when regexp_matches(regexp_extract(link, '([^/]*)$', 1), '[aeiou]$') then '.pdf'
                     when regexp_matches(regexp_extract(link, '([^/]*)$', 1), '[a-z]$') then '.DOCX'
                     else '.txt' end as ext
         from links
     ),
     parts as (
-        select uid, url, kw, part_no, link, stem || ext as filename,
+        select uid, url, kw, part_no, link, readable, stem || ext as filename,
                regexp_replace(stem, '[^\\p{L}\\p{N}_\\- ]', '_', 'g') || ext as safe_name,
                regexp_matches(stem, '(?i)(the|der|ist)') as obvious
         from names
         where lower(ext) in ('.pdf', '.docx')
     ),
-    kept as (select * from parts where obvious or kw)
+    found as (select * from parts where obvious or kw),
+    kept as (select * from found where readable)
 """

@@ -45,6 +45,7 @@ CHAT_LOG = T.StructType(
 RESPONSES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("block", T.IntegerType()),
         T.StructField("attempt", T.IntegerType()),
         T.StructField("response", T.StringType()),
         T.StructField("error", T.StringType()),

@@ -1,7 +1,6 @@
 """Session helpers: a local session for tests and the shared scratch folder."""
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -21,6 +20,9 @@ def local_session(cpus: int | str = "*", app: str = "docintake", **conf: str) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.sql.streaming.metricsEnabled": "false",
+        # small files too make a task per core
+        "spark.sql.files.maxPartitionBytes": "4m",
+        "spark.sql.files.openCostInBytes": "64k",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -32,20 +34,15 @@ def local_session(cpus: int | str = "*", app: str = "docintake", **conf: str) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Where it is not set, a folder below the warehouse, which is shared as well.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if root:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(root)
-        return root
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="docintake-")
-    sc.setCheckpointDir(root)
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
 
 
@@ -54,18 +51,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give CPU-bound text work a task per core when a scan has fewer splits than that.
-
-    Only for plain scans.  A large table has splits enough and is left alone,
-    so nothing is shuffled at scale; a table of one small file is spread by key.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
-    return scan.repartition(cores, key) if splits < cores else scan
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back: cuts the lineage and is computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

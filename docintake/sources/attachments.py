@@ -2,7 +2,7 @@
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +19,9 @@ send_by_value(__name__)
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+Reader = Callable[[bytes], str]
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """Document files of one folder (not below it): ``path, modificationTime, length, content``.
 
@@ -56,56 +59,35 @@ def docx_text(payload: bytes) -> str:
     return "\n".join(lines)
 
 
-def pdf_reader() -> Callable[[bytes], str] | None:
-    """A reader from the first PDF library at hand, or none."""
-    try:
-        from pdfminer.high_level import extract_text
+DOCX_ONLY: Mapping[str, Reader] = {".docx": docx_text}
 
-        return lambda payload: extract_text(io.BytesIO(payload))
-    except ImportError:
-        pass
-    try:
-        from PyPDF2 import PdfReader
 
-        return lambda payload: "".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(payload)).pages)
-    except ImportError:
-        pass
-    try:
-        import fitz
-    except ImportError:
-        return None
-
-    def read(payload: bytes) -> str:
-        with fitz.open(stream=payload, filetype="pdf") as pages:
-            return "".join(page.get_text() for page in pages)
-
-    return read
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    readers = {".docx": docx_text, ".pdf": pdf_reader()}
-    for batch in batches:
-        texts, errors = [], []
-        for kind, payload in zip(batch["kind"], batch["content"], strict=True):
-            reader, found, error = readers.get(kind), "", None
-            if reader is None:
-                error = f"no reader for {kind or 'files without suffix'}"
-            else:
-                try:
-                    found = reader(payload)
-                except Exception as problem:  # a bad file gives empty text, not a failed job
-                    error = f"{type(problem).__name__}: {problem}"
-            texts.append(found)
-            errors.append(error)
-        yield batch.drop(columns=["content", "kind"]).assign(text=texts, error=errors)
-
-
-def with_text(files: DataFrame, *carry: str) -> DataFrame:
-    """``path, length, modificationTime``, the carried columns, ``text`` and ``error``."""
+def with_text(files: DataFrame, *carry: str, readers: Mapping[str, Reader] = DOCX_ONLY) -> DataFrame:
+    """``path, length, modificationTime``, the carried columns, ``text`` and ``error``.
+
+    ``readers`` takes the text out of a payload, by suffix.  A file without a
+    reader, or one that its reader fails on, has an empty text and an error.
+    """
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [read(readers, kind, payload) for kind, payload in zip(batch["kind"], batch["content"], strict=True)]
+            yield batch.drop(columns=["content", "kind"]).assign(text=[t for t, _ in found], error=[e for _, e in found])
+
     kept = files.select("path", "length", "modificationTime", *carry)
     found = T.StructType([*kept.schema, T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
     narrow = files.select(*kept.columns, text.suffix(F.col("path")).alias("kind"), "content")
-    return narrow.mapInPandas(_texts, found)
+    return narrow.mapInPandas(texts, found)
+
+
+def read(readers: Mapping[str, Reader], kind: str, payload: bytes) -> tuple[str, str | None]:
+    reader = readers.get(kind)
+    if reader is None:
+        return "", f"no reader for {kind or 'files without suffix'}"
+    try:
+        return reader(payload), None
+    except Exception as problem:  # a bad file gives empty text, not a failed job
+        return "", f"{type(problem).__name__}: {problem}"
 
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]

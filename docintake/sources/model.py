@@ -62,6 +62,9 @@ def ask(
 ) -> DataFrame:
     """``responses`` of a model for ``documents(doc_id, text)``; blank texts are not asked.
 
+    A text is asked about block by block, so all of it is read; ``attempts``
+    bounds the calls for a block.
+
     Write the result to a table before using it: a repeated task would
     otherwise repeat paid calls.
     """
@@ -70,15 +73,14 @@ def ask(
         client = client_factory()
         for batch in batches:
             rows = [
-                (doc_id, attempt, answer, error)
-                for doc_id, document in zip(batch["doc_id"], batch["text"], strict=True)
+                (doc_id, block, attempt, answer, error)
+                for doc_id, block, document in zip(batch["doc_id"], batch["block"], batch["text"], strict=True)
                 for attempt, answer, error in _attempts(client, instruction, document, attempts, wait)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "attempt", "response", "error"])
+            yield pd.DataFrame(rows, columns=["doc_id", "block", "attempt", "response", "error"])
 
-    asked = documents.where(~text.is_blank(F.col("text"))).select(
-        "doc_id", text.truncate(F.col("text")).alias("text")
-    )
+    asked = documents.where(~text.is_blank(F.col("text")))
+    asked = asked.select("doc_id", F.posexplode(text.blocks(F.col("text"))).alias("block", "text"))
     return asked.mapInPandas(run, RESPONSES)
 
 

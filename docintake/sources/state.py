@@ -13,7 +13,8 @@ def sent_times_from_text(states: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def read_sent_times(spark: SparkSession, path: str) -> DataFrame:
+def import_sent_times(spark: SparkSession, path: str) -> DataFrame:
+    """A foreign JSON file of sent times, which is one value; rounds of rows are the form to keep them in."""
     return sent_times_from_text(spark.read.text(path, wholetext=True))
 
 

@@ -1,10 +1,16 @@
 """Record tables and chat logs as files."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docintake.fixed_values import CHAT_LOG_HIGH, CHAT_LOG_LOW
+from docintake.operators.chat import retained
 from docintake.schema import CHAT_LOG, RECORDS
+from docintake.session import written
+
+CSV_ROWS = 20_000
 
 CSV = {
     "header": "true",
@@ -20,10 +26,10 @@ CSV = {
 def write_csv(rows: DataFrame, folder: str) -> None:
     """Replace the CSV output; texts with quotes and line breaks read back exactly.
 
-    Files with line breaks inside cells are read by one task each, so they are
-    kept short.
+    A file with line breaks inside cells is read by one task, so the files are
+    kept short by a number of rows.
     """
-    rows.write.mode("overwrite").options(**CSV, quoteAll="true", maxRecordsPerFile="500000").csv(folder)
+    rows.write.mode("overwrite").options(**CSV, quoteAll="true", maxRecordsPerFile=str(CSV_ROWS)).csv(folder)
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType = RECORDS) -> DataFrame:
@@ -36,15 +42,40 @@ def save_records(records: DataFrame, folder: str) -> int:
 
     Without records nothing is written at all.
     """
-    if records.isEmpty():
-        return 0
-    written = Observation("records")
-    write_csv(records.observe(written, F.count(F.lit(1)).alias("n")), folder)
-    return written.get["n"]
+    counted = Observation("records")
+    rows = written(records.observe(counted, F.count(F.lit(1)).alias("n")), "records")
+    if counted.get["n"]:
+        write_csv(rows, folder)
+    return counted.get["n"]
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log table, rows with ``pos``; empty before the first entry."""
+    schema = T.StructType([T.StructField("pos", T.LongType()), *CHAT_LOG])
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def read_chat_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON log entries with their place ``pos``; corrupt files give no rows."""
+def append_retained(entries: DataFrame, folder: str, high: int = CHAT_LOG_HIGH, low: int = CHAT_LOG_LOW) -> None:
+    """Add entries (with ``pos``) to the log and trim it, as one step.
+
+    The kept rows, ``high`` at most, are written elsewhere first, so that a
+    run that dies leaves the old log or the new one.
+    """
+    log = read_log(entries.sparkSession, folder)
+    both = log.unionByName(entries.select(log.columns))
+    written(retained(both, high=high, low=low), "log").write.mode("overwrite").parquet(folder)
+
+
+def import_chat_log(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a foreign JSON log file with their place ``pos``; corrupt files give no rows.
+
+    Such a file is one value; import it once and go on with the log table.
+    """
     raw = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", T.ArrayType(CHAT_LOG))
     return (
@@ -52,8 +83,3 @@ def read_chat_log(spark: SparkSession, path: str) -> DataFrame:
         .where(F.col("entry.question").isNotNull())
         .select(F.col("pos").cast("long").alias("pos"), "entry.*")
     )
-
-
-def append_log(entries: DataFrame, folder: str) -> None:
-    """Add entries as new files; nothing written before is read again."""
-    entries.write.mode("append").parquet(folder)

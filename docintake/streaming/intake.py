@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docintake.fixed_values import DEFAULT_KEYWORDS, DOCUMENT_SUFFIXES, OBVIOUS_NAME_WORDS, POLL_SECONDS
 from docintake.operators import intake
+from docintake.session import written
 
 LANDED = T.StructType(
     [
@@ -29,6 +30,9 @@ LANDED = T.StructType(
 )
 
 
+PROCESSED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("kept", T.BooleanType())])
+
+
 @dataclass(frozen=True)
 class Rules:
     """What a round keeps."""
@@ -57,21 +61,18 @@ def write_round(rows: DataFrame, folder: str, number: int) -> None:
 def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
     """One round: judge, keep the best part per name, drop landed names, write.
 
-    The narrow rows of the kept parts are used twice and held meanwhile; the
-    messages with their payloads are not.  ``counters`` is a folder for one
-    row of counts per round.
+    The narrow rows of the kept parts are used twice and written meanwhile;
+    the messages with their payloads are not.  ``counters`` is a folder for
+    one row of counts per round.
     """
 
     def run(messages: DataFrame, number: int) -> None:
         spark = messages.sparkSession
         landed = read_rounds(spark, folder, LANDED).where(F.col("round") < number)
         judged = intake.judged_parts(messages, rules.keywords, rules.suffixes, rules.words)
-        kept = intake.kept_parts(judged, "sent_iso").persist()
-        try:
-            new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
-            write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
-        finally:
-            kept.unpersist()
+        kept = written(intake.kept_parts(judged, "sent_iso"), "kept-parts")
+        new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
+        write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
         if counters:
             this_round = read_rounds(spark, folder, LANDED).where(F.col("round") == number)
             write_round(intake.run_counters(judged, this_round), counters, number)

@@ -31,10 +31,11 @@ def test_object_from_answer(spark):
             '{"ten": "A"},"seal":"1"} {"ten": "B"}',
             '{"other": 1}',
             '```\n{"ten": "fence without a name"}\n```',
+            'so {"ten": "A"}, "notes": {"x": 1}',
         ],
     )
     assert [g and g["ten"] for g in got] == [
-        "A", "B", None, None, None, None, None, None, None, None, None, None, None, None, "fence without a name",
+        "A", "B", None, None, None, None, None, None, None, None, None, None, None, None, "fence without a name", None,
     ]
     assert got[9]["tuoi"] == "30"
     assert got[9]["ky_nang"] == '["a","b"]'
@@ -45,10 +46,10 @@ def test_object_from_answer(spark):
 
 
 def test_array_from_answer(spark):
-    texts = ['```json\n["a", "b"]\n```', '["a", null]', "[]", "no json", '{"a": 1}', '["a"] tail']
+    texts = ['```json\n["a", "b"]\n```', '["a", null]', "[]", "no json", '{"a": 1}', '["a"] tail', '["a"], "x": ["b"]']
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, answer string")
     got = answers.with_answer_array(rows, "answer", "x").orderBy("i").collect()
-    assert [r["x"] for r in got] == [["a", "b"], ["a"], [], None, None, None]
+    assert [r["x"] for r in got] == [["a", "b"], ["a"], [], None, None, None, None]
 
 
 def python_layout(answer):
@@ -94,16 +95,16 @@ def linked(spark, told, names, files):
 def test_name_links(spark):
     got = linked(
         spark,
-        ["Alice là ứng viên tiềm năng.", "Alicexx, then Alice and Alice", "Bob", "nobody", "Nguyễn Văn An, Nguyễn Văn Anh"],
-        [("Alice", "alice.pdf"), (" ", "x.pdf"), ("Bob", "b$1\\.pdf"), ("Nguyễn Văn An", "an.pdf"), ("Văn", " ")],
-        ["alice.pdf"],
+        ["Miên biết lưu trữ.", "Miênxx, then Miên and Miên", "Brask", "nobody", "Đỗ Hà An, Đỗ Hà Anh"],
+        [("Miên", "mien.pdf"), (" ", "x.pdf"), ("Brask", "b$1\\.pdf"), ("Đỗ Hà An", "an.pdf"), ("Hà", " "), ("Miên", "later.pdf")],
+        ["mien.pdf"],
     )
     assert got == [
-        "Alice (<alice.pdf>) là ứng viên tiềm năng.",
-        "Alicexx, then Alice (<alice.pdf>) and Alice",
-        "Bob (b$1\\.pdf)",
+        "Miên (<mien.pdf>) biết lưu trữ.",
+        "Miênxx, then Miên (<mien.pdf>) and Miên",
+        "Brask (b$1\\.pdf)",
         "nobody",
-        "Nguyễn Văn An (an.pdf), Nguyễn Văn Anh",
+        "Đỗ Hà An (an.pdf), Đỗ Hà Anh",
     ]
 
 

@@ -83,14 +83,16 @@ def test_log_files(spark, tmp_path):
                     ' "answer_length": 1}, {"timestamp": "2024-01-02T00:00:00Z", "question": "r", "answer": "b",'
                     ' "question_length": 3, "answer_length": 2, "question_type": "search"}]')
     bad.write_text("corrupted")
-    rows = tables.read_chat_log(spark, str(good))
+    rows = tables.import_chat_log(spark, str(good))
     assert chat.chat_stats(rows).first()["question_types"] == {"general": 1, "search": 1}
-    empty = tables.read_chat_log(spark, str(bad))
+    empty = tables.import_chat_log(spark, str(bad))
     assert chat.chat_stats(empty).first()["total_chats"] == 0
     folder = str(tmp_path / "log")
-    tables.append_log(empty, folder)
-    tables.append_log(rows, folder)
-    assert spark.read.parquet(folder).count() == 2
+    tables.append_retained(empty, folder)
+    tables.append_retained(rows, folder)
+    assert tables.read_log(spark, folder).count() == 2
+    tables.append_retained(rows.withColumn("pos", F.col("pos") + 2), folder, high=3, low=2)
+    assert sorted(r["pos"] for r in tables.read_log(spark, folder).collect()) == [2, 3]
 
 
 def test_last_lines(spark):

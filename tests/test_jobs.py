@@ -3,7 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docintake.plans import jobs
-from docintake.streaming.intake import LANDED, read_rounds
+from docintake.sources import state
+from docintake.streaming.intake import LANDED, PROCESSED, read_rounds
 from tests.test_intake import docx
 
 MESSAGE = """From: a@b.c\r
@@ -36,8 +37,8 @@ def test_fetch_in_rounds(spark, tmp_path):
     box.mkdir()
     args = (spark, str(box), str(tmp_path / "landing"), str(tmp_path / "mark"))
     names = lambda rows: sorted((r["safe_name"], r["uid"]) for r in rows.collect())
-    put(box, 1, "CV Nguyen", "cv.pdf")
-    put(box, 2, "Profile", "profile.pdf")
+    put(box, 1, "my CV", "cv.pdf")
+    put(box, 2, "Lunch", "menu.pdf")
     first = jobs.fetch_box(*args)
     assert names(first) == [("cv.pdf", 1)]
     assert first.first()["sent_iso"] == "2023-09-20T10:15:00-04:00"
@@ -45,11 +46,40 @@ def test_fetch_in_rounds(spark, tmp_path):
     put(box, 4, "resume", "b?.pdf")
     put(box, 5, "resume", "late.pdf", day=25)
     assert names(jobs.fetch_box(*args, before=dt.date(2023, 9, 20))) == [("b_.pdf", 4)]
-    assert names(jobs.fetch_box(*args)) == []
-    assert names(jobs.fetch_box(*args, ignore_mark=True)) == [("late.pdf", 5)]
+    assert names(jobs.fetch_box(*args)) == [("late.pdf", 5)]
+    assert names(jobs.fetch_box(*args, ignore_mark=True)) == []
     assert read_rounds(spark, args[2], LANDED).count() == 3
 
 
+def test_mark_stays_when_it_is_ignored(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    args = (spark, str(box), str(tmp_path / "landing"), str(tmp_path / "mark"))
+    state.write_mark(spark.createDataFrame([(5,)], "mark long"), args[3])
+    put(box, 2, "CV", "old.pdf")
+    assert jobs.fetch_box(*args).count() == 0
+    assert jobs.fetch_box(*args, ignore_mark=True).count() == 1
+    assert state.read_mark(spark, args[3]) == 5
+
+
+def test_fetch_to_records(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    landing, sent, handled = (str(tmp_path / n) for n in ("landing", "sent", "handled"))
+    args = (spark, str(box), landing, str(tmp_path / "mark"))
+    put(box, 1, "CV", "one.pdf")
+    put(box, 2, "nothing", "two.pdf")
+    assert jobs.fetch_box(*args, processed=handled, sent=sent).count() == 1
+    put(box, 3, "CV", "three.pdf", day=21)
+    assert jobs.fetch_box(*args, processed=handled, sent=sent, ignore_mark=True).count() == 1
+    assert sorted((r["uid"], r["kept"]) for r in read_rounds(spark, handled, PROCESSED).collect()) == [(1, True), (2, False), (3, True)]
+    got = jobs.process_landed(spark, landing, sent, readers={".pdf": lambda payload: "Tên: " + payload.decode()}).collect()
+    assert [(r["Nguồn"], r["Họ tên"], r["Thời gian nhận"]) for r in got] == [
+        ("three.pdf", "%PDF", "2:15 pm 21/9/2023"),
+        ("one.pdf", "%PDF", "2:15 pm 20/9/2023"),
+    ]
+
+
 def test_process_folder(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()

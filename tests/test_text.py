@@ -13,32 +13,32 @@ from docintake.operators import chat
 
 C = F.col("c")
 
-VIETNAMESE = """Họ tên: Nguyen Van A
-Tuổi: 30
-Email: a@test.com
-Điện thoại: +84987654321
-Địa chỉ: 123 Street
-Vị trí: Developer
-Học vấn: University ABC
-Kinh nghiệm: 5 năm
-Kỹ năng: Python"""
-
-ENGLISH = """Họ tên: John Smith
-Age: 35
-Email: john@example.com
-Điện thoại: 555-123-4567
-Address: 1 Main St
-Position: Manager
-Education: BSc
-Experience: 3 years
-Skills: Java"""
+VIETNAMESE = """Họ tên: Lý Thu Miên
+Tuổi: 41
+Email: mien.ly@mail.invalid
+Điện thoại: +84 123 000 777
+Địa chỉ: 8 ngõ Trúc
+Vị trí: Thủ thư
+Học vấn: Trường Đêm
+Kinh nghiệm: 12 năm
+Kỹ năng: lưu trữ"""
+
+ENGLISH = """Họ tên: Ottoline Brask
+Age: 58
+Email: otto@brask.invalid
+Điện thoại: 0900-111-2223
+Address: 77 Quay Lane
+Position: Pilot
+Education: Night school
+Experience: two harbours
+Skills: knots"""
 
 
 def test_nine_fields(column):
     first, second = column([VIETNAMESE, ENGLISH], text.extract_info(C))
-    values = ["Nguyen Van A", "30", "a@test.com", "+84987654321", "Developer", "University ABC", "5 năm", "123 Street", "Python"]
+    values = ["Lý Thu Miên", "41", "mien.ly@mail.invalid", "+84 123 000 777", "Thủ thư", "Trường Đêm", "12 năm", "8 ngõ Trúc", "lưu trữ"]
     assert first.asDict() == dict(zip(INFO_KEYS, values, strict=True))
-    values = ["John Smith", "35", "john@example.com", "555-123-4567", "Manager", "BSc", "3 years", "1 Main St", "Java"]
+    values = ["Ottoline Brask", "58", "otto@brask.invalid", "0900-111-2223", "Pilot", "Night school", "two harbours", "77 Quay Lane", "knots"]
     assert second.asDict() == dict(zip(INFO_KEYS, values, strict=True))
 
 
