@@ -9,8 +9,10 @@ the word's count over the whole corpus, counted in ``BUCKETS`` hash buckets, so
 that the classes are a table of fixed size.  Two sets similar enough share a
 word among the first ``n - ceil(4n/5) + 1`` of each (prefix filter), have sizes
 within ``4/5`` of each other (length filter), and behind their first shared
-word enough words are left (positional filter).  The pairs that pass are
-verified on the words themselves.
+word enough words are left (positional filter).  A word also flips one bit of
+its set's 64-bit signature, so two signatures differ in at most as many bits as
+the sets in words, which must be a ninth of all or fewer.  The pairs that pass
+are verified on the words themselves.
 
 Equal sets become one before the join.  Variants of one line, which all match
 each other, would make pairs in the square of their number; so sets that share
@@ -58,7 +60,7 @@ def tokens(line: Column, classes: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, hash, line, set, check, n, prefix) of every line with words, written to the shared folder."""
+    """(doc_id, hash, line, set, check, n, bits, prefix) of every line with words, written to the shared folder."""
     classes = rarity(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     lines = rows.select("doc_id", "hash", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
@@ -66,15 +68,21 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     n = F.size("tokens")
     first = n - F.floor((4 * n + 4) / 5).cast("int") + 1
     prefix = F.transform(F.slice("tokens", 1, first), lambda t: t.bitwiseAND(F.lit(LOW)).cast("int"))
+    one = F.lit(1).cast("long")
+    flipped = F.aggregate(
+        "tokens",
+        F.lit(0).cast("long"),
+        lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))),
+    )
     named = found.where(n > 0).select(
-        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), prefix.alias("prefix")
+        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), flipped.alias("bits"), prefix.alias("prefix")
     )
     return kept(named, "lines")
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """One row per set, written: id, set, its number of lines, and its earliest line, with size and prefix."""
-    earliest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "line", "check", "n", "prefix")
+    earliest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "line", "check", "n", "bits", "prefix")
     sets = lines.groupBy("set").agg(F.min(earliest).alias("s"), F.count(F.lit(1)).alias("copies"))
     return kept(sets.select(F.monotonically_increasing_id().alias("id"), "set", "copies", "s.*"), "line-sets")
 
@@ -100,10 +108,10 @@ def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): pairs that pass the prefix, length and positional filters and have an open member."""
-    rows = sets.where("n >= 4").select("id", "n", "open", F.posexplode("prefix").alias("at", "word"))
+    """(x, y): pairs that pass all filters and have an open member."""
+    rows = sets.where("n >= 4").select("id", "n", "bits", "open", F.posexplode("prefix").alias("at", "word"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    rows = rows.select("word", "id", packed.alias("p"))
+    rows = rows.select("word", "id", "bits", packed.alias("p"))
     x, y = rows.alias("x"), rows.alias("y")
 
     def parts(side: str) -> tuple[Column, Column, Column]:
@@ -116,14 +124,18 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         (F.col("x.word") == F.col("y.word"))
         & (F.col("x.id") < F.col("y.id"))
         & (ox + oy > 0)
-        & (4 * nx <= 5 * ny)
-        & (4 * ny <= 5 * nx)
+        & near(nx, ny, F.col("x.bits"), F.col("y.bits"))
         & (9 * (nx - ix) >= 4 * both)
         & (9 * (ny - iy) >= 4 * both)
     )
     return kept(x.join(y, fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "prefix-pairs")
 
 
+def near(nx: Column, ny: Column, x: Column, y: Column) -> Column:
+    """The length filter and the signature filter."""
+    return (4 * nx <= 5 * ny) & (4 * ny <= 5 * nx) & (9 * F.bit_count(x.bitwiseXOR(y)) <= nx + ny)
+
+
 def key_of(doc_id: str, text: Column) -> Column:
     """What tells documents apart: the id, and a hash of the text for ids that repeat."""
     return F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"))
@@ -133,24 +145,28 @@ def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, written."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("end"))
     place = F.struct("no_id", "doc_id", "hash", "line")
-    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"))
-    known = pairs.join(placed.select(F.col("id").alias("x"), F.col("at").alias("ax")), "x")
-    known = known.join(placed.select(F.col("id").alias("y"), F.col("at").alias("ay")), "y")
-
-    wanted = known.select(F.explode(F.array("ax", "ay")).alias("a")).distinct()
-    key = F.struct(F.col("a.doc_id").alias("doc_id"), F.col("a.hash").alias("hash"))
-    wanted = kept(wanted.groupBy(key.alias("of")).agg(F.collect_list("a").alias("wanted")), "wanted-lines")
-    found = thinned(texts, F.col("id"), wanted, "of").join(wanted, F.col("id") == F.col("of"))
-    split = let(F.split("text", "\n", -1), lambda ls: F.transform("wanted", lambda a: F.struct(a.alias("a"), ls[a["line"]].alias("text"))))
-    lines = found.dropDuplicates(["of"]).select(F.explode(F.array_compact(split)).alias("l"))
-    lines = lines.select("l.a", F.array_distinct(F.array_remove(words_of(F.col("l.text")), "")).alias("words"))
+    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"), "n", "bits")
+    known = pairs
+    for end in ("x", "y"):
+        one = placed.select(F.col("id").alias(end), F.col("at").alias(f"a{end}"), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}"))
+        known = known.join(one, end)
+    known = known.where(near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y", "ax", "ay")
+    known = kept(known, "line-pairs")
+
+    wanted = known.select(F.explode(F.array("ax", "ay")).alias("wanted")).distinct()
+    at = F.struct(F.col("id.doc_id").isNull().alias("no_id"), "id.doc_id", "id.hash", "line")
+    lines = texts.select("id", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text")).select(at.alias("a"), "text")
+    lines = thinned(lines, F.col("a"), wanted, "wanted").join(wanted, F.col("a") == F.col("wanted"), "left_semi").dropDuplicates(["a"])
+    lines = lines.select("a", F.array_distinct(F.array_remove(words_of(F.col("text")), "")).alias("words"))
 
     wx = lines.select(F.col("a").alias("ax"), F.col("words").alias("wx"))
     wy = lines.select(F.col("a").alias("ay"), F.col("words").alias("wy"))
     checked = known.join(wx, "ax").join(wy, "ay")
     shared = F.size(F.array_intersect("wx", "wy"))
     similar = checked.where(9 * shared >= 4 * (F.size("wx") + F.size("wy")))
-    return kept(similar.select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("later")).distinct(), "later-sets")
+    later = kept(similar.select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("later")).distinct(), "later-sets")
+    forget(known)
+    return later
 
 
 def removed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.llm.common import text_of
+from docintake.llm.common import kept, text_of
 from docintake.llm.html_blocks import Page, Parser
 from docintake.session import send_by_value
 
@@ -31,6 +31,7 @@ LEAST = 0.3
 CONTENT = 0.9
 PAGES = 4
 SHARE = 0.01
+SALTS = 64
 PRESENTATION, TEXT = 0, 1
 
 
@@ -126,8 +127,12 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
     own; an empty table gives an empty result; other columns are ignored.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(markup).alias("html"))
-    template = template_nodes(importances(rows, host_of(), F.col("html")), rows, host_of())
-    template = template.select(F.col("host").alias("of"), "template")
-    hosted = rows.withColumn("host", host_of()).join(template, F.col("host") == F.col("of"), "left")
+    merged = kept(importances(rows, host_of(), F.col("html")), "site-tree")
+    template = template_nodes(merged, rows, host_of())
+    # a host with most of the pages is spread over copies of its one row
+    template = template.select(F.col("host").alias("of"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_of"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    hosted = rows.withColumn("host", host_of()).withColumn("salt", salt)
+    hosted = hosted.join(template, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("salt_of")), "left")
     done = hosted.select("page_id", "url", F.pandas_udf(main_text, "string")("html", "template").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
