@@ -363,20 +363,14 @@ def q_top5(t: Tables):
 
 @query(
     "top5_from_answer",
-    sql=f"""
-    select row_number() over (order by doc_id desc) as place, src as source
-    from ({SQL_SCORED}) order by place limit 3
-    """,
+    sql="select row_number() over (order by item_id) as place, 'item ' || item_id as source from benchmark",
 )
 def q_top5_from_answer(t: Tables):
-    scored = _scored(t)
-    picked = scored.orderBy(F.col("doc_id").desc()).limit(3).agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", COL_SOURCE)), asc=False).alias("r")
-    )
-    listed = F.to_json(F.transform("r", lambda x: x[COL_SOURCE]))
-    answer = picked.select(F.concat(F.lit("Here:\n```json\n"), listed, F.lit("\n```")).alias("response"))
+    listed = t.benchmark.agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    names = F.to_json(F.transform("items", lambda i: F.concat(F.lit("item "), i.cast("string"))))
+    answer = listed.select(F.concat(F.lit("Here:\n```json\n"), names, F.lit("\n```")).alias("response"))
     best = [F.col("quality").desc(), F.col("n_chars").desc(), F.col("doc_id").asc()]
-    return selection.top_sources(answer, scored, COL_SOURCE, best)
+    return selection.top_sources(answer, _scored(t), COL_SOURCE, best)
 
 
 @query(
