@@ -209,8 +209,8 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 def with_gone(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The documents with ``__gone``: the numbers of the lines to remove, or null."""
-    gone = removed_lines(docs, doc_id, text).withColumnRenamed("gone", "__gone")
-    return docs.withColumn("__id", key_of(doc_id, text_of(text))).join(gone, F.col("__id") == F.col("of"), "left").drop("__id", "of")
+    gone = removed_lines(docs, doc_id, text).select(F.col("of").alias("__of"), F.col("gone").alias("__gone"))
+    return docs.withColumn("__id", key_of(doc_id, text_of(text))).join(gone, F.col("__id") == F.col("__of"), "left").drop("__id", "__of")
 
 
 def rest(text: Column) -> Column:

@@ -8,8 +8,8 @@ whose children are keyed by their Hamming distance to the parent; a query goes
 down the edges within the radius of its own distance only.  Trees meet their
 queries by shard key: all trees together grow with the corpus, so they are not
 sent to every executor.  A shard of more than ``TREE`` fingerprints is cut into
-trees of about that size, each in a task of its own, and every fingerprint asks
-the trees of the later cuts.  A task hands on a spanning forest of the links it
+trees of about that size, and every pair of cuts is a group of its own, in which
+one cut asks the other's tree; so no group is larger than two cuts.  A group hands on a spanning forest of the links it
 finds, not the links, so a group of copies costs one row a member.
 """
 
@@ -111,10 +111,10 @@ class Forest:
 
 
 def forest_links(nodes: list[int], asking: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the nodes and between them and those that only ask."""
+    """A spanning forest of the links among the nodes, or, if others ask, of those between them and the nodes."""
     tree, forest = BKTree(), Forest()
     for value in nodes:
-        for near in tree.within(value, radius):
+        for near in () if asking else tree.within(value, radius):
             forest.join(near, value)
         tree.add(value)
     for value in asking:
@@ -141,14 +141,18 @@ def shard_keys(value: str = "print") -> Column:
 
 
 def sharded(prints: DataFrame, tree: int = TREE) -> DataFrame:
-    """(key, cut, print, asks): a row for the fingerprint's own tree, and one to ask each later cut of a large shard."""
+    """(key, low, high, print, asks): a row for the fingerprint's own cut, and one for each other cut of a large shard.
+
+    Of the cuts ``low`` and ``high`` the lower one asks the tree of the higher.
+    """
     rows = prints.select(F.explode(shard_keys()).alias("key"), "print")
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree)
     large = large.select(F.col("key").alias("at"), F.ceil(F.col("n") / tree).cast("int").alias("cuts"))
     cut = rows.join(large, F.col("key") == F.col("at"), "left").select("key", "print", F.coalesce("cuts", F.lit(1)).alias("cuts"))
-    own = F.pmod(F.xxhash64("print"), F.col("cuts")).cast("int")
-    to = F.explode(F.sequence(own, F.col("cuts") - 1))
-    return cut.withColumn("own", own).select("key", to.alias("cut"), "print", "own").withColumn("asks", F.col("cut") != F.col("own")).drop("own")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("print"), F.col("cuts")).cast("int"))
+    met = cut.select("key", "print", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return met.select("key", low.alias("low"), high.alias("high"), "print", (F.col("own") < F.col("other")).alias("asks"))
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -166,15 +170,15 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Dat
 
         for batch in batches:
             out = []
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
-            prints_ = batch.column(2).to_numpy().view(np.uint64)
-            asking = batch.column(3).to_numpy(zero_copy_only=False)
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            prints_ = batch.column(3).to_numpy().view(np.uint64)
+            asking = batch.column(4).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if batch.num_rows else np.array([], int)
             ends = np.r_[starts[1:], batch.num_rows]
             # a shard of one row in the middle of a batch has nobody to meet
             some = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == batch.num_rows))
             for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-                key = (int(keys[0, s]), int(keys[1, s]))
+                key = tuple(keys[:, s].tolist())
                 if key != held:
                     out += links()
                     held, values, asks = key, [], []
@@ -185,7 +189,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Dat
         if out := links():
             yield edge_batch(out)
 
-    rows = sharded(prints, tree).repartition("key", "cut").sortWithinPartitions("key", "cut", "print")
+    rows = sharded(prints, tree).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "print")
     return rows.mapInArrow(search, "a long, b long")
 
 

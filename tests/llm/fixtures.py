@@ -15,6 +15,9 @@ DOCUMENTS = T.StructType(
         T.StructField("print", T.StringType()),
         T.StructField("key", T.StringType()),
         T.StructField("n", T.StringType()),
+        T.StructField("of", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("line", T.StringType()),
     ]
 )
 
@@ -46,7 +49,7 @@ TEXTS = [
 
 
 def documents(spark, rows=TEXTS):
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "y", "z", "k", "n") for i, t in rows], DOCUMENTS)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "y", "z", "k", "n", "o", "i", "l") for i, t in rows], DOCUMENTS)
 
 
 def given(folder="/root/testdata/sf0.001"):
