@@ -22,6 +22,8 @@ stand as witnesses for sets that are still open.
 """
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,27 +37,27 @@ LOW = 0x7FFFFFFF
 
 def words_of(text: Column) -> Column:
     """Lower-case words between white space, with empty ones."""
-    return F.split(F.lower(F.regexp_replace(text, r"[\t\x0b\f\r]", " ")), " ", -1)
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in "\t\x0b\f\r"])
+    plain = F.when(odd, F.regexp_replace(text, r"[\t\x0b\f\r]", " ")).otherwise(text)
+    return F.split(F.lower(plain), " ", -1)
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """The rarity class of every bucket as an array constant: three steps for each doubling of its count."""
+    """The rarity class of every bucket, in the top byte, as an array constant: three steps for each doubling of its count."""
     words = docs.select(F.explode(words_of(F.replace(text_of(text), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
     classes = ["0"] * BUCKETS
     for r in counts:
-        classes[r.b] = str(min(127, int(3 * math.log2(r["count"]))))
-    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
+        classes[r.b] = str(min(127, int(3 * math.log2(r["count"]))) << 56)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
 def tokens(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs in order of rarity: class, then hash."""
-    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
-
-    def token(h: Column) -> Column:
-        known = F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(known.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
+    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
+    low, rest = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
+    token = lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(h.bitwiseAND(rest))
     return F.sort_array(F.transform(hashes, token))
 
 
@@ -150,25 +152,36 @@ def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     for end in ("x", "y"):
         one = placed.select(F.col("id").alias(end), F.col("at").alias(f"a{end}"), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}"))
         known = known.join(one, end)
-    known = known.where(near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by"))).select("x", "y", "ax", "ay")
-    known = kept(known, "line-pairs")
-
-    wanted = known.select(F.explode(F.array("ax", "ay")).alias("wanted")).distinct()
-    at = F.struct(F.col("id.doc_id").isNull().alias("no_id"), "id.doc_id", "id.hash", "line")
-    lines = texts.select("id", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text")).select(at.alias("a"), "text")
-    lines = thinned(lines, F.col("a"), wanted, "wanted").join(wanted, F.col("a") == F.col("wanted"), "left_semi").dropDuplicates(["a"])
-    lines = lines.select("a", F.array_distinct(F.array_remove(words_of(F.col("text")), "")).alias("words"))
-
-    wx = lines.select(F.col("a").alias("ax"), F.col("words").alias("wx"))
-    wy = lines.select(F.col("a").alias("ay"), F.col("words").alias("wy"))
-    checked = known.join(wx, "ax").join(wy, "ay")
-    shared = F.size(F.array_intersect("wx", "wy"))
-    similar = checked.where(9 * shared >= 4 * (F.size("wx") + F.size("wy")))
-    later = kept(similar.select(F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x")).alias("later")).distinct(), "later-sets")
-    forget(known)
+    known = known.where(near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by")))
+    second = F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x"))
+    known = kept(known.select(second.alias("later"), address("ax").alias("kx"), address("ay").alias("ky")), "line-pairs")
+
+    wanted = known.select(F.explode(F.array("kx", "ky")).alias("wanted")).distinct()
+    lines = texts.select(F.col("id").alias("a"), F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
+    lines = lines.select(address().alias("k"), "text")
+    lines = thinned(lines, F.col("k"), wanted, "wanted").join(wanted, F.col("k") == F.col("wanted"), "left_semi")
+    # texts travel, words are made behind the joins
+    lines = kept(lines.dropDuplicates(["k"]), "line-texts")
+    checked = known
+    for end in ("x", "y"):
+        checked = checked.join(lines.select(F.col("k").alias(f"k{end}"), F.col("text").alias(f"t{end}")), f"k{end}")
+    wx, wy = (F.array_distinct(F.array_remove(words_of(F.col(t)), "")) for t in ("tx", "ty"))
+
+    def alike(w: Column) -> Column:
+        return 9 * F.size(F.array_intersect(w["x"], w["y"])) >= 4 * (F.size(w["x"]) + F.size(w["y"]))
+
+    checked = checked.where(let(F.struct(wx.alias("x"), wy.alias("y")), alike))
+    later = kept(checked.select("later").distinct(), "later-sets")
+    forget(known, lines)
     return later
 
 
+def address(at: str | None = None) -> Column:
+    """A line's document and number as one string."""
+    doc_id, hash_, line = (F.col(f"{at}.{c}") for c in ("doc_id", "hash", "line")) if at else (F.col("a.doc_id"), F.col("a.hash"), F.col("line"))
+    return F.concat_ws("|", F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-")), F.hex(hash_), line.cast("string"))
+
+
 def removed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(of, gone): the numbers of the lines to remove, per document, written."""
     texts = docs.select(key_of(doc_id, text_of(text)).alias("id"), text_of(text).alias("text"))
