@@ -412,7 +412,7 @@ SQL_NAMES = """
     pairs as (
         select distinct doc_id as id, name
         from documents join names on contains(text, name)
-        where name <> '' and regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(name) || '($|[^\\p{L}\\p{N}_])')
+        where name <> '' and regexp_matches(text, '(^|[^0-9A-Za-z_À-ɏ])' || regexp_escape(name) || '($|[^0-9A-Za-z_À-ɏ])')
     )
 """
 
@@ -428,7 +428,7 @@ def q_mention_join(t: Tables):
     sql=f"""
     with {SQL_NAMES},
     steps as (
-        select p.id, list('(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(n.name) || '($|[^\\p{{L}}\\p{{N}}_])' || chr(1)
+        select p.id, list('(^|[^0-9A-Za-z_À-ɏ])' || regexp_escape(n.name) || '($|[^0-9A-Za-z_À-ɏ])' || chr(1)
                           || '\\1' || n.name || ' (' || case when l.doc_id is null then n.file else '<' || n.file || '>' end || ')\\2'
                           order by n.pos) as links
         from pairs p join names n on n.name = p.name left join labels l on l.doc_id = n.pos // 3
