@@ -10,9 +10,10 @@ that the classes are a table of fixed size.  Two sets similar enough share a
 word among the first ``n - ceil(4n/5) + 1`` of each (prefix filter), have sizes
 within ``4/5`` of each other (length filter), and behind their first shared
 word enough words are left (positional filter).  A word also flips one bit of
-its set's 64-bit signature, so two signatures differ in at most as many bits as
-the sets in words, which must be a ninth of all or fewer.  The pairs that pass
-are verified on the words themselves.
+its set's 128-bit signature, so two signatures differ in at most as many bits as
+the sets in words, which must be a ninth of all or fewer; the join compares the
+signatures folded to 64 bits.  The pairs that pass are verified on the words
+themselves.
 
 Equal sets become one before the join.  Variants of one line, which all match
 each other, would make pairs in the square of their number; so sets that share
@@ -23,7 +24,7 @@ stand as witnesses for sets that are still open.
 
 import math
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,6 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
 
 def tokens(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs in order of rarity: class, then hash."""
-
     hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
     low, rest = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
     token = lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(h.bitwiseAND(rest))
@@ -62,7 +62,7 @@ def tokens(line: Column, classes: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, hash, line, set, check, n, bits, prefix) of every line with words, written to the shared folder."""
+    """(doc_id, hash, line, set, check, n, bits, more, prefix) of every line with words, written to the shared folder."""
     classes = rarity(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     lines = rows.select("doc_id", "hash", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
@@ -71,20 +71,21 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     first = n - F.floor((4 * n + 4) / 5).cast("int") + 1
     prefix = F.transform(F.slice("tokens", 1, first), lambda t: t.bitwiseAND(F.lit(LOW)).cast("int"))
     one = F.lit(1).cast("long")
-    flipped = F.aggregate(
-        "tokens",
-        F.lit(0).cast("long"),
-        lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))),
-    )
+
+    def flipped(half: int) -> Column:
+        own = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * half)
+        flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate(own, F.lit(0).cast("long"), flip)
+
     named = found.where(n > 0).select(
-        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), flipped.alias("bits"), prefix.alias("prefix")
+        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), flipped(0).alias("bits"), flipped(1).alias("more"), prefix.alias("prefix")
     )
     return kept(named, "lines")
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """One row per set, written: id, set, its number of lines, and its earliest line, with size and prefix."""
-    earliest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "line", "check", "n", "bits", "prefix")
+    earliest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "line", "check", "n", "bits", "more", "prefix")
     sets = lines.groupBy("set").agg(F.min(earliest).alias("s"), F.count(F.lit(1)).alias("copies"))
     return kept(sets.select(F.monotonically_increasing_id().alias("id"), "set", "copies", "s.*"), "line-sets")
 
@@ -111,9 +112,9 @@ def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """(x, y): pairs that pass all filters and have an open member."""
-    rows = sets.where("n >= 4").select("id", "n", "bits", "open", F.posexplode("prefix").alias("at", "word"))
+    rows = sets.where("n >= 4").select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    rows = rows.select("word", "id", "bits", packed.alias("p"))
+    rows = rows.select("word", "id", F.col("bits").bitwiseXOR(F.col("more")).alias("bits"), packed.alias("p"))
     x, y = rows.alias("x"), rows.alias("y")
 
     def parts(side: str) -> tuple[Column, Column, Column]:
@@ -126,16 +127,17 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         (F.col("x.word") == F.col("y.word"))
         & (F.col("x.id") < F.col("y.id"))
         & (ox + oy > 0)
-        & near(nx, ny, F.col("x.bits"), F.col("y.bits"))
+        & near(nx, ny, [("x.bits", "y.bits")])
         & (9 * (nx - ix) >= 4 * both)
         & (9 * (ny - iy) >= 4 * both)
     )
     return kept(x.join(y, fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "prefix-pairs")
 
 
-def near(nx: Column, ny: Column, x: Column, y: Column) -> Column:
+def near(nx: Column, ny: Column, signatures: list[tuple[str, str]]) -> Column:
     """The length filter and the signature filter."""
-    return (4 * nx <= 5 * ny) & (4 * ny <= 5 * nx) & (9 * F.bit_count(x.bitwiseXOR(y)) <= nx + ny)
+    apart = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in signatures])
+    return (4 * nx <= 5 * ny) & (4 * ny <= 5 * nx) & (9 * apart <= nx + ny)
 
 
 def key_of(doc_id: str, text: Column) -> Column:
@@ -147,14 +149,14 @@ def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, written."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("end"))
     place = F.struct("no_id", "doc_id", "hash", "line")
-    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"), "n", "bits")
+    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"), "n", "bits", "more")
     known = pairs
     for end in ("x", "y"):
-        one = placed.select(F.col("id").alias(end), F.col("at").alias(f"a{end}"), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"b{end}"))
+        one = placed.select(F.col("id").alias(end), *[F.col(c).alias(c + end) for c in ("at", "n", "bits", "more")])
         known = known.join(one, end)
-    known = known.where(near(F.col("nx"), F.col("ny"), F.col("bx"), F.col("by")))
-    second = F.when(F.col("ax") < F.col("ay"), F.col("y")).otherwise(F.col("x"))
-    known = kept(known.select(second.alias("later"), address("ax").alias("kx"), address("ay").alias("ky")), "line-pairs")
+    known = known.where(near(F.col("nx"), F.col("ny"), [("bitsx", "bitsy"), ("morex", "morey")]))
+    second = F.when(F.col("atx") < F.col("aty"), F.col("y")).otherwise(F.col("x"))
+    known = kept(known.select(second.alias("later"), address("atx").alias("kx"), address("aty").alias("ky")), "line-pairs")
 
     wanted = known.select(F.explode(F.array("kx", "ky")).alias("wanted")).distinct()
     lines = texts.select(F.col("id").alias("a"), F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
