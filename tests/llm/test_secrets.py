@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from docintake.llm.secrets import RULES, Rule, scanned, without_secrets
+from docintake.llm.secrets import Rule, scanned, without_secrets
 
 from tests.llm.fixtures import TEXTS, documents, given
 
