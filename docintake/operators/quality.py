@@ -29,10 +29,6 @@ def longer_than(c: Column, n: int) -> Column:
     return sure(F.length(c) > n)
 
 
-def prefixed(c: Column, prefix: str, longer: int) -> Column:
-    return sure(F.startswith(text.strip(c), F.lit(prefix)) & (F.length(text.strip(c)) > longer))
-
-
 def connection_rules(host: Column, port: Column, user: Column, password: Column) -> dict[str, Column]:
     """The four checks of a mail connection row."""
     return {

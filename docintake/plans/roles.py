@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.fixed_values import EMAIL_HOST, EMAIL_LOCAL_SIGN, LABELS, PHONE_PATTERN, RECORD_FROM_INFO, WHITE_SPACE
+from docintake.fixed_values import EMAIL_HOST, EMAIL_LOCAL_SIGN, PHONE_PATTERN, RECORD_FROM_INFO, WHITE_SPACE
 from docintake.functions.text import label_pattern
 from docintake.plans.registry import Tables
 

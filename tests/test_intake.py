@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docintake.operators import chat, intake, ordering, records
+from docintake.operators import intake, ordering, records
 from docintake.sources import attachments, messages, state
 from docintake.streaming import intake as stream
 
