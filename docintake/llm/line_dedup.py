@@ -11,15 +11,14 @@ word among the first ``n - ceil(4n/5) + 1`` of each (prefix filter), have sizes
 within ``4/5`` of each other (length filter), and behind their first shared
 word enough words are left (positional filter).  A word also flips one bit of
 its set's 128-bit signature, so two signatures differ in at most as many bits as
-the sets in words, which must be a ninth of all or fewer; the join compares the
-signatures folded to 64 bits.  The pairs that pass are verified on the words
-themselves.
+the sets in words, which must be a ninth of all or fewer.  The pairs that pass
+are verified on the words themselves.
 
 Equal sets become one before the join.  Variants of one line, which all match
 each other, would make pairs in the square of their number; so sets that share
-two prefix words chosen by hash first meet the earliest of their group alone,
-and those found similar to it need no other witness: in the join they only
-stand as witnesses for sets that are still open.
+two prefix words chosen by hash first meet the earliest of their group and the
+few before them alone, and those found similar to one need no other witness: in
+the join they only stand as witnesses for later sets that are still open.
 """
 
 import math
@@ -33,6 +32,7 @@ from docintake.llm.common import forget, kept, let, text_of, thinned
 
 BUCKETS = 1 << 16
 SEEDS = (11, 23)
+BEFORE = 3
 LOW = 0x7FFFFFFF
 
 
@@ -91,16 +91,18 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): every set with the earliest of those that share two prefix words with it."""
+    """(x, y): every set with the earliest of those that share two prefix words with it, and with the few before it."""
 
     def key(seed: int) -> Column:
         mixed = F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(seed))))
         return F.xxhash64(mixed[0], mixed[1], F.lit(seed))
 
     keyed = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.explode(F.array(*map(key, SEEDS))).alias("key"))
-    earliest = F.min(F.struct("no_id", "doc_id", "id")).over(Window.partitionBy("key"))
-    led = keyed.withColumn("x", earliest["id"])
-    return kept(led.where(F.col("x") != F.col("id")).select("x", F.col("id").alias("y")).distinct(), "leader-pairs")
+    along = Window.partitionBy("key").orderBy("no_id", "doc_id", "id")
+    before = [F.first("id").over(along), *(F.lag("id", n).over(along) for n in range(1, BEFORE + 1))]
+    led = keyed.select(F.col("id").alias("y"), F.array(*before).alias("before"))
+    led = led.select("y", F.explode(F.array_distinct(F.array_compact("before"))).alias("x"))
+    return kept(led.where("x <> y").select("x", "y").distinct(), "leader-pairs")
 
 
 def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
@@ -111,10 +113,10 @@ def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): pairs that pass all filters and have an open member."""
-    rows = sets.where("n >= 4").select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
+    """(x, y): pairs that pass all filters and whose later member is open."""
+    rows = sets.where("n >= 4").select("id", "doc_id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    rows = rows.select("word", "id", F.col("bits").bitwiseXOR(F.col("more")).alias("bits"), packed.alias("p"))
+    rows = rows.select("word", "id", "doc_id", "bits", "more", packed.alias("p"))
     x, y = rows.alias("x"), rows.alias("y")
 
     def parts(side: str) -> tuple[Column, Column, Column]:
@@ -123,11 +125,14 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 
     (nx, ix, ox), (ny, iy, oy) = parts("x"), parts("y")
     both = nx + ny
+    x_first, y_first = F.col("x.doc_id") < F.col("y.doc_id"), F.col("x.doc_id") > F.col("y.doc_id")
+    # within a document, and without ids, either may be the later one
+    later_open = F.when(x_first, oy).when(y_first, ox).otherwise(ox + oy)
     fits = (
         (F.col("x.word") == F.col("y.word"))
         & (F.col("x.id") < F.col("y.id"))
-        & (ox + oy > 0)
-        & near(nx, ny, [("x.bits", "y.bits")])
+        & (later_open > 0)
+        & near(nx, ny, [("x.bits", "y.bits"), ("x.more", "y.more")])
         & (9 * (nx - ix) >= 4 * both)
         & (9 * (ny - iy) >= 4 * both)
     )
