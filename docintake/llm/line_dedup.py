@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from docintake.llm.common import forget, kept, let, text_of, thinned
 
 BUCKETS = 1 << 16
-SEEDS = (11, 23)
-BEFORE = 3
+SEEDS = (11, 23, 37, 53)
+BEFORE = 4
 LOW = 0x7FFFFFFF
 
 
