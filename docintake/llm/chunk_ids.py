@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_ENTRIES = 400_000
-TEXT_AT_ONCE = 24_000_000
-CHUNKS_AT_ONCE = 400_000
+CACHE_ENTRIES = 300_000
+TEXT_AT_ONCE = 20_000_000
+CHUNKS_AT_ONCE = 200_000
 #: Punctuation that never takes part in a contraction rule.
 TAIL = ".,;:!?%&$#*|"
 
