@@ -37,15 +37,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 ASIDE = frozenset("head nav footer aside form button select option menu dialog search input label fieldset canvas audio video object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words in class and id that name such a branch.
+#: Classes and ids that name such a branch.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
     " notice notices popup modal overlay newsletter subscribe subscription signup login paywall social share sharing sidebar"
     " menu nav navbar navigation breadcrumb breadcrumbs footer comments comment disqus replies reply respond related"
     " recommended recommendations widget toolbar pagination pager".split()
 )
+#: Of these, what a box of the article's own text may be called as well.
+WARNINGS = frozenset("notice notices".split())
 REMARKS = frozenset("ad ads advert comment comments promo related reply replies respond sponsored".split())
 PAGE = frozenset("html body main article".split())
+LINES = HEADINGS | {"p"}
 
 
 @dataclass
@@ -59,9 +62,20 @@ class Block:
     boxed: bool  # below the article inside an element with a class or id of its own
 
 
+@dataclass
+class Branch:
+    """A branch with a name of ``NAMES``: left out, unless an article or main element is found in it."""
+
+    up: "Branch | None"
+    remark: bool  # an article in it is a remark too
+    weak: bool  # named by a part of its id, which counts only beside an article or main element
+    holds: bool = False
+
+
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
+    named: list[Block] = field(default_factory=list)  # what the names of branches leave out
     children: dict[int, list[str]] = field(default_factory=dict)  # path -> tags of the children, in page order
 
 
@@ -70,19 +84,35 @@ class Element:
     tag: str
     path: int
     dropped: bool
+    branch: Branch | None  # the innermost named one
+    article: bool
     main: bool
     boxed: bool
     title: bool  # in the header of an article, of which only headings stay
 
 
-def names_of(text: str) -> tuple[frozenset[str], str, dict[str, str]]:
-    """Words of class and id, the signature they give an element, and the other attributes."""
+def names_of(text: str) -> tuple[str, dict[str, str]]:
+    """The signature that the words of class and id give an element, and the attributes."""
     if not text or text.isspace():
-        return frozenset(), "", {}
+        return "", {}
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)}
     named = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = LETTERS.findall(named)
-    return frozenset(words), ".".join(words), found
+    return ".".join(LETTERS.findall(named)), found
+
+
+def named_branch(tag: str, found: dict[str, str], up: Element, core: bool, article: bool) -> Branch | None:
+    """The branch that an element opens by its name; of classes only whole ones count, and of ids none in an article."""
+    classes = set(found.get("class", "").lower().split())
+    own = found.get("id", "").lower().strip()
+    core = core or tag in PAGE
+    if core:
+        names = classes & REMARKS if article else set()
+    elif up.article:
+        names = classes & (NAMES - WARNINGS) if tag not in LINES else set()
+    else:
+        names = (classes | {own} if tag not in LINES else classes) & NAMES
+    weak = not names and not up.main and not core and tag not in LINES and not NAMES.isdisjoint(LETTERS.findall(own))
+    return Branch(up.branch, bool(names & REMARKS), weak) if names or weak else None
 
 
 class Parser:
@@ -100,22 +130,30 @@ class Parser:
         return found
 
     def opened(self, tag: str, attributes: str, up: Element) -> Element:
-        words, signature, found = names_of(attributes)
+        signature, found = names_of(attributes)
         role = found.get("role", "").lower()
         path = self.path(up.path, f"{tag}.{signature}" if signature else tag)
-        main = up.main or tag in ("article", "main") or role in ("main", "article")
+        article = tag == "article" or role == "article"
+        core = article or tag == "main" or role == "main"
+        main = up.main or core
         dropped = up.dropped or tag in ASIDE or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        if tag in PAGE:
-            dropped = dropped or (tag == "article" and bool(words & REMARKS))
-        elif not dropped:
-            dropped = bool(words & NAMES) or (tag == "header" and not up.main)
+        dropped = dropped or (tag == "header" and not up.main)
+        branch = up.branch
+        if found and not dropped:
+            branch = named_branch(tag, found, up, core, article) or branch
+        if core and not dropped and branch is up.branch:
+            over = branch
+            while over and not over.holds and not (article and over.remark):
+                over.holds = True
+                over = over.up
         title = up.title or (tag == "header" and up.main)
-        boxed = up.boxed or (up.main and bool(words) and tag not in PAGE)
-        return Element(tag, path, dropped, main, boxed, title)
+        boxed = up.boxed or (up.main and bool(signature) and tag not in PAGE)
+        return Element(tag, path, dropped, branch, up.article or article, main, boxed, title)
 
     def read(self, text: str) -> Page:
         page = Page()
-        stack = [Element("", 0, False, False, False, False)]
+        stack = [Element("", 0, False, None, False, False, False, False)]
+        placed: list[tuple[Block, Branch | None]] = []
         held: list[str] = []
         low = None
 
@@ -128,7 +166,7 @@ class Parser:
                     inner = stack[-1]
                     if not inner.dropped and (not inner.title or any(e.tag in HEADINGS for e in stack)):
                         parent = stack[max(0, stack.index(top) - 1)].path
-                        page.blocks.append(Block(top.path, parent, words, top.main, top.boxed))
+                        placed.append((Block(top.path, parent, words, top.main, top.boxed), inner.branch))
 
         def close(keep: int) -> None:
             flush()
@@ -173,6 +211,11 @@ class Parser:
             if tag not in VOID and not (found[0].endswith("/>") and tag not in BLOCK):
                 stack.append(element)
         flush()
+        core = any(b.main and (branch is None or branch.holds) for b, branch in placed)
+        for block, branch in placed:
+            while branch and not branch.holds and branch.weak and not core:
+                branch = branch.up
+            (page.blocks if branch is None or branch.holds else page.named).append(block)
         return page
 
     @staticmethod

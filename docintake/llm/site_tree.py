@@ -109,7 +109,8 @@ def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
     parser = Parser()
     out = []
     for page, template in zip(pages, templates, strict=True):
-        blocks = parser.read(page).blocks
+        read = parser.read(page)
+        blocks = read.blocks or read.named
         inside = [b for b in blocks if b.main] or blocks
         if template is not None and len(template):
             low = set(np.asarray(template).tolist())

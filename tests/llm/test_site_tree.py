@@ -1,8 +1,10 @@
 import html
 import re
 
+import pandas as pd
+
 from docintake.llm.html_blocks import Parser
-from docintake.llm.site_tree import extracted
+from docintake.llm.site_tree import extracted, main_text
 
 KIND = "page_id long, url string, html string, host string, path string, text string"
 
@@ -89,3 +91,21 @@ def test_hard_rows(spark):
     got = extracted(rows(spark, pages)).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("2", 0), ("2", 0), ("3", 999_999), ("None", 1)]
     assert extracted(rows(spark, [])).collect() == []
+
+
+def alone(body):
+    """The text of the one page of a host, without a session."""
+    return main_text(pd.Series([f"<html><body>{body}</body></html>"]), pd.Series([None]))[0]
+
+
+def test_names_of_wrappers_and_of_text_in_articles():
+    story = "<article><h1>Head</h1><p>Story</p></article>"
+    for wrapper in ('class="content-sidebar-wrap"', 'id="page" class="no-sidebar"', 'class="sidebar"', 'id="main-nav-wrap"'):
+        assert alone(f"<div {wrapper}>{story}</div>") == "Head\nStory"
+        assert alone(f"<div {wrapper}><main><p>Story</p></main></div>") == "Story"
+    inside = '<h2 id="related-work">Related</h2><section id="social-effects"><p>Effects</p></section><p class="notice">Mind this</p>'
+    assert alone(f"<article><p>Story</p>{inside}</article>") == "Story\nRelated\nEffects\nMind this"
+    assert alone(f'<div class="post"><p>Story</p>{inside}</div>') == "Story\nRelated\nEffects"
+    assert alone('<article class="post category-promo"><p>Story</p></article>') == "Story"
+    assert alone(f'{story}<div class="comments"><article><p>Nice</p></article></div><div id="cookie-notice">Cookies</div>') == "Head\nStory"
+    assert alone(f'<div class="sidebar"><p>Lead</p><div class="widget">Links</div>{story}</div>').endswith("Head\nStory")
