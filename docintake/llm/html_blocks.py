@@ -60,6 +60,7 @@ class Block:
     text: str
     main: bool  # inside an article or the main element
     boxed: bool  # below the article inside an element with a class or id of its own
+    prose: bool = False  # a paragraph or heading
 
 
 @dataclass
@@ -166,7 +167,7 @@ class Parser:
                     inner = stack[-1]
                     if not inner.dropped and (not inner.title or any(e.tag in HEADINGS for e in stack)):
                         parent = stack[max(0, stack.index(top) - 1)].path
-                        placed.append((Block(top.path, parent, words, top.main, top.boxed), inner.branch))
+                        placed.append((Block(top.path, parent, words, top.main, top.boxed, top.tag in LINES), inner.branch))
 
         def close(keep: int) -> None:
             flush()

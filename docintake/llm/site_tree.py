@@ -6,7 +6,9 @@ entropies over the m pages that hold it.  Presentation: how evenly its child
 sequences spread over the pages, ``-sum p log_m p``.  Content: 1 less the mean
 of ``log_m c`` over the texts found there, where a text is on c pages; a text
 on every page counts 0 and one on a single page counts 1.  Both are weighted
-into one number per node, and nodes below ``LEAST`` are template.
+into one number per node, and nodes below ``LEAST`` are template.  Pages of a
+host with equal main content count once, and of a template node only the texts
+that repeat on pages of different main content go.
 
 A page's text is that of its article, or of its main element, or else of its
 body, without the elements and roles that never hold main text and without the
@@ -14,14 +16,13 @@ site's template nodes.  Plain paragraphs of an article are never template: an
 article that a site prints on many pages is still an article.
 """
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docintake.llm.common import kept, text_of
-from docintake.llm.html_blocks import Page, Parser
+from docintake.llm.common import identity, kept, text_of
+from docintake.llm.html_blocks import Block, Page, Parser
 from docintake.session import send_by_value
 
 send_by_value(__name__)
@@ -31,7 +32,7 @@ LEAST = 0.3
 CONTENT = 0.9
 PAGES = 4
 SHARE = 0.01
-SALTS = 64
+SALTS = 16
 PRESENTATION, TEXT = 0, 1
 
 
@@ -46,7 +47,13 @@ def node_rows(page: Page) -> list[tuple[int, int, int, int]]:
     rows = {(p, parents.get(p, 0), PRESENTATION, value(",".join(runs(tags)))) for p, tags in page.children.items()}
     rows |= {(p, up, PRESENTATION, 0) for p, up in parents.items() if p not in page.children}
     rows |= {(b.path, b.parent, TEXT, value(b.text)) for b in page.blocks}
-    return list(rows)
+    return sorted(rows)
+
+
+def core_of(blocks: list[Block]) -> list[Block]:
+    """The blocks in article and main elements, if they make up half of the page's text or more."""
+    core = [b for b in blocks if b.main]
+    return core if 2 * sum(len(b.text) for b in core) >= sum(len(b.text) for b in blocks) else []
 
 
 def runs(tags: list[str]) -> list[str]:
@@ -57,17 +64,36 @@ def value(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def nodes(pages: pd.Series) -> pd.Series:
+def nodes(pages: pd.Series) -> pd.DataFrame:
+    """The node rows of each page, and a hash of its main content, which copies share."""
     parser = Parser()
     kinds = ("path", "parent", "kind", "value")
-    return pd.Series([[dict(zip(kinds, r, strict=True)) for r in node_rows(parser.read(p))] for p in pages], dtype=object)
+    rows, contents = [], []
+    for markup in pages:
+        page = parser.read(markup)
+        rows.append([dict(zip(kinds, r, strict=True)) for r in node_rows(page)])
+        contents.append(value("\n".join(b.text for b in core_of(page.blocks) or page.blocks)))
+    return pd.DataFrame({"nodes": pd.Series(rows, dtype=object), "content": pd.Series(contents, dtype="int64")})
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(key, host, nodes, content) of the pages; rows that are equal in all columns have one key."""
+    found = F.pandas_udf(nodes, "nodes array<struct<path:long,parent:long,kind:int,value:long>>, content long")
+    return rows.select("key", "host", found("html").alias("x")).select("key", "host", "x.*")
+
 
+def counted(pages: DataFrame) -> DataFrame:
+    """(host, path, parent, kind, value, c): on how many pages of different main content a value is found.
 
-def importances(pages: DataFrame, host: Column, markup: Column) -> DataFrame:
-    """(host, path, parent, pages, presentation, content) of the merged nodes."""
-    found = F.pandas_udf(nodes, "array<struct<path:long,parent:long,kind:int,value:long>>")
-    rows = pages.select(host.alias("host"), F.explode(F.array_compact(found(markup))).alias("x")).select("host", "x.*")
-    values = rows.groupBy("host", "path", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+    Of the pages of a host with equal main content one stands for all.
+    """
+    once = pages.groupBy("host", "content").agg(F.min_by("nodes", "key").alias("nodes"))
+    rows = once.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+    return rows.groupBy("host", "path", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def importances(values: DataFrame) -> DataFrame:
+    """(host, path, parent, pages, presentation, content, leaf) of the merged nodes."""
     own = F.col("kind") == PRESENTATION
     c = F.col("c").cast("double")
     sums = values.groupBy("host", "path").agg(
@@ -90,19 +116,37 @@ def importances(pages: DataFrame, host: Column, markup: Column) -> DataFrame:
     )
 
 
-def template_nodes(merged: DataFrame, pages: DataFrame, host: Column) -> DataFrame:
-    """(host, template): the paths of a host's blocks whose importance is below ``LEAST``.
-
-    Only nodes on at least ``PAGES`` pages and ``SHARE`` of the host's pages
-    count, so a host has at most the blocks of a page over ``SHARE`` of them.
-    """
+def template_nodes(merged: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, path) of the blocks whose importance is below ``LEAST``, on at least ``PAGES`` pages and ``SHARE`` of the host's pages."""
     up = merged.select(F.col("host").alias("of"), F.col("path").alias("at"), F.col("presentation").alias("above"))
-    sizes = pages.groupBy(host.alias("on")).agg(F.count(F.lit(1)).alias("all"))
+    sizes = pages.groupBy("host").agg(F.count_distinct("content").alias("all"))
     weight = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("above", F.lit(1.0))
     low = merged.where((F.col("leaf")) & (F.col("pages") >= PAGES) & (CONTENT * F.col("content") < LEAST))
     low = low.join(up, (F.col("host") == F.col("of")) & (F.col("parent") == F.col("at")), "left").where(weight < LEAST)
-    low = low.join(sizes, F.col("host") == F.col("on")).where(F.col("pages") >= SHARE * F.col("all"))
-    return low.groupBy("host").agg(F.collect_list("path").alias("template"))
+    return low.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all")).select("host", "path")
+
+
+def template_texts(values: DataFrame, low: DataFrame) -> DataFrame:
+    """(host, path, value) of the texts at low paths that repeat on pages of different main content."""
+    texts = values.where((F.col("kind") == TEXT) & (F.col("c") > 1)).withColumn("salt", salt("value"))
+    return texts.join(copied(low), ["host", "path", "salt"]).select("host", "path", "value")
+
+
+def templates(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, template): the template texts of each page that has any."""
+    rows = pages.select("key", "host", salt("key").alias("salt"), F.explode("nodes").alias("x")).where(F.col("x.kind") == TEXT)
+    rows = rows.select("key", "host", "salt", "x.path", "x.value")
+    found = rows.join(copied(texts), ["host", "path", "value", "salt"])
+    return found.groupBy("key").agg(F.collect_set(F.struct("path", "value")).alias("template"))
+
+
+def salt(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """A copy of each row for every salt, to meet the many rows of one host or text in as many tasks."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
@@ -113,9 +157,9 @@ def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
         blocks = read.blocks or read.named
         inside = [b for b in blocks if b.main] or blocks
         if template is not None and len(template):
-            low = set(np.asarray(template).tolist())
+            low = {(t["path"], t["value"]) for t in template}
             # a page keeps its text if all of it is the site's
-            inside = [b for b in inside if b.path not in low or (b.main and not b.boxed)] or inside
+            inside = [b for b in inside if (b.path, value(b.text)) not in low or (b.main and not b.boxed)] or inside
         out.append("\n".join(b.text for b in inside))
     return pd.Series(out, dtype=object)
 
@@ -128,12 +172,11 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
     own; an empty table gives an empty result; other columns are ignored.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(markup).alias("html"))
-    merged = kept(importances(rows, host_of(), F.col("html")), "site-tree")
-    template = template_nodes(merged, rows, host_of())
-    # a host with most of the pages is spread over copies of its one row
-    template = template.select(F.col("host").alias("of"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_of"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    hosted = rows.withColumn("host", host_of()).withColumn("salt", salt)
-    hosted = hosted.join(template, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("salt_of")), "left")
+    rows = rows.withColumn("key", identity("page_id", F.struct("url", "html"))).withColumn("host", host_of())
+    read = kept(parsed(rows), "site-pages")
+    values = kept(counted(read), "site-tree")
+    low = template_nodes(importances(values), read)
+    template = templates(read, template_texts(values, low))
+    hosted = rows.join(template, "key", "left")
     done = hosted.select("page_id", "url", F.pandas_udf(main_text, "string")("html", "template").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))

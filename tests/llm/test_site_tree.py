@@ -109,3 +109,20 @@ def test_names_of_wrappers_and_of_text_in_articles():
     assert alone('<article class="post category-promo"><p>Story</p></article>') == "Story"
     assert alone(f'{story}<div class="comments"><article><p>Nice</p></article></div><div id="cookie-notice">Cookies</div>') == "Head\nStory"
     assert alone(f'<div class="sidebar"><p>Lead</p><div class="widget">Links</div>{story}</div>').endswith("Head\nStory")
+
+
+def article(n):
+    lines = "".join(f"<p>Line {k} of story {n} is told here</p><ul><li>Point {k} of story {n}</ul>" for k in range(3))
+    text = "\n".join(f"Line {k} of story {n} is told here\nPoint {k} of story {n}" for k in range(3))
+    return f"<article><h1>Story {n}</h1><div class=entry-content>{lines}</div></article>", f"Story {n}\n{text}"
+
+
+def test_copies_of_articles_are_no_template(spark):
+    # 80 of 100 pages; 5 articles of 20 copies each; 4 equal pages on a small host; a box beside them that changes
+    numbers = {"a": [max(0, i - 79) for i in range(100)], "b": [i % 5 for i in range(100)], "c": [0] * 4}
+    pages = [(f"{host}{i}", f"http://{host}.example/", f"<body>{article(n)[0]}<div class=now>Now {i}</div></body>") for host, all in numbers.items() for i, n in enumerate(all)]
+    frame = spark.createDataFrame(pages, "page_id string, url string, html string")
+    got = {r.page_id: r.text for r in extracted(frame).collect()}
+    for host, all in numbers.items():
+        for i, n in enumerate(all):
+            assert got[f"{host}{i}"].startswith(article(n)[1])
