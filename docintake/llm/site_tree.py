@@ -31,7 +31,6 @@ send_by_value("docintake.llm.html_blocks")
 LEAST = 0.3
 CONTENT = 0.9
 PAGES = 4
-SHARE = 0.01
 SALTS = 16
 PRESENTATION, TEXT = 0, 1
 
@@ -116,14 +115,13 @@ def importances(values: DataFrame) -> DataFrame:
     )
 
 
-def template_nodes(merged: DataFrame, pages: DataFrame) -> DataFrame:
-    """(host, path) of the blocks whose importance is below ``LEAST``, on at least ``PAGES`` pages and ``SHARE`` of the host's pages."""
+def template_nodes(merged: DataFrame) -> DataFrame:
+    """(host, path) of the blocks whose importance is below ``LEAST``, on at least ``PAGES`` pages."""
     up = merged.select(F.col("host").alias("of"), F.col("path").alias("at"), F.col("presentation").alias("above"))
-    sizes = pages.groupBy("host").agg(F.count_distinct("content").alias("all"))
     weight = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("above", F.lit(1.0))
     low = merged.where((F.col("leaf")) & (F.col("pages") >= PAGES) & (CONTENT * F.col("content") < LEAST))
-    low = low.join(up, (F.col("host") == F.col("of")) & (F.col("parent") == F.col("at")), "left").where(weight < LEAST)
-    return low.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all")).select("host", "path")
+    low = low.join(up, (F.col("host") == F.col("of")) & (F.col("parent") == F.col("at")), "left")
+    return low.where(weight < LEAST).select("host", "path")
 
 
 def template_texts(values: DataFrame, low: DataFrame) -> DataFrame:
@@ -175,7 +173,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
     rows = rows.withColumn("key", identity("page_id", F.struct("url", "html"))).withColumn("host", host_of())
     read = kept(parsed(rows), "site-pages")
     values = kept(counted(read), "site-tree")
-    low = template_nodes(importances(values), read)
+    low = template_nodes(importances(values))
     template = templates(read, template_texts(values, low))
     hosted = rows.join(template, "key", "left")
     done = hosted.select("page_id", "url", F.pandas_udf(main_text, "string")("html", "template").alias("text"))

@@ -126,3 +126,9 @@ def test_copies_of_articles_are_no_template(spark):
     for host, all in numbers.items():
         for i, n in enumerate(all):
             assert got[f"{host}{i}"].startswith(article(n)[1])
+
+
+def test_box_on_few_pages_of_a_large_host(spark):
+    box = "<div class=more>Written by our own correspondents</div>"
+    got = texts(spark, [(i, "http://s.example/", f"<article><p>Story {i}</p>{box if i < 5 else ''}</article>") for i in range(800)])
+    assert got == {i: f"Story {i}" for i in range(800)}
