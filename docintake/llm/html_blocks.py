@@ -59,8 +59,7 @@ class Block:
     parent: int
     text: str
     main: bool  # inside an article or the main element
-    boxed: bool  # below the article inside an element with a class or id of its own
-    prose: bool = False  # a paragraph or heading
+    prose: bool  # a paragraph or heading
 
 
 @dataclass
@@ -88,7 +87,6 @@ class Element:
     branch: Branch | None  # the innermost named one
     article: bool
     main: bool
-    boxed: bool
     title: bool  # in the header of an article, of which only headings stay
 
 
@@ -148,12 +146,11 @@ class Parser:
                 over.holds = True
                 over = over.up
         title = up.title or (tag == "header" and up.main)
-        boxed = up.boxed or (up.main and bool(signature) and tag not in PAGE)
-        return Element(tag, path, dropped, branch, up.article or article, main, boxed, title)
+        return Element(tag, path, dropped, branch, up.article or article, main, title)
 
     def read(self, text: str) -> Page:
         page = Page()
-        stack = [Element("", 0, False, None, False, False, False, False)]
+        stack = [Element("", 0, False, None, False, False, False)]
         placed: list[tuple[Block, Branch | None]] = []
         held: list[str] = []
         low = None
@@ -167,7 +164,7 @@ class Parser:
                     inner = stack[-1]
                     if not inner.dropped and (not inner.title or any(e.tag in HEADINGS for e in stack)):
                         parent = stack[max(0, stack.index(top) - 1)].path
-                        placed.append((Block(top.path, parent, words, top.main, top.boxed, top.tag in LINES), inner.branch))
+                        placed.append((Block(top.path, parent, words, top.main, top.tag in LINES), inner.branch))
 
         def close(keep: int) -> None:
             flush()

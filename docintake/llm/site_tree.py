@@ -10,10 +10,11 @@ into one number per node, and nodes below ``LEAST`` are template.  Pages of a
 host with equal main content count once, and of a template node only the texts
 that repeat on pages of different main content go.
 
-A page's text is that of its article, or of its main element, or else of its
-body, without the elements and roles that never hold main text and without the
-site's template nodes.  Plain paragraphs of an article are never template: an
-article that a site prints on many pages is still an article.
+A page's text is all of its blocks but the site's template texts.  Being in an
+article or main element is one more sign: beside one, nodes below ``BESIDE``
+are template too.  Still decided by tag, role and name are the elements that
+never hold main text.  The paragraphs and headings of an article come back if
+more than ``MOST`` of them would go, as with near copies.
 """
 
 import pandas as pd
@@ -29,6 +30,8 @@ send_by_value(__name__)
 send_by_value("docintake.llm.html_blocks")
 
 LEAST = 0.3
+BESIDE = 0.5
+MOST = 0.8
 CONTENT = 0.9
 PAGES = 4
 SALTS = 16
@@ -116,18 +119,18 @@ def importances(values: DataFrame) -> DataFrame:
 
 
 def template_nodes(merged: DataFrame) -> DataFrame:
-    """(host, path) of the blocks whose importance is below ``LEAST``, on at least ``PAGES`` pages."""
+    """(host, path, sure) of the blocks whose importance is below ``BESIDE``, on at least ``PAGES`` pages; sure below ``LEAST``."""
     up = merged.select(F.col("host").alias("of"), F.col("path").alias("at"), F.col("presentation").alias("above"))
     weight = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("above", F.lit(1.0))
-    low = merged.where((F.col("leaf")) & (F.col("pages") >= PAGES) & (CONTENT * F.col("content") < LEAST))
+    low = merged.where((F.col("leaf")) & (F.col("pages") >= PAGES) & (CONTENT * F.col("content") < BESIDE))
     low = low.join(up, (F.col("host") == F.col("of")) & (F.col("parent") == F.col("at")), "left")
-    return low.where(weight < LEAST).select("host", "path")
+    return low.where(weight < BESIDE).select("host", "path", (weight < LEAST).alias("sure"))
 
 
 def template_texts(values: DataFrame, low: DataFrame) -> DataFrame:
-    """(host, path, value) of the texts at low paths that repeat on pages of different main content."""
+    """(host, path, value, sure) of the texts at low paths that repeat on pages of different main content."""
     texts = values.where((F.col("kind") == TEXT) & (F.col("c") > 1)).withColumn("salt", salt("value"))
-    return texts.join(copied(low), ["host", "path", "salt"]).select("host", "path", "value")
+    return texts.join(copied(low), ["host", "path", "salt"]).select("host", "path", "value", "sure")
 
 
 def templates(pages: DataFrame, texts: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def templates(pages: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pages.select("key", "host", salt("key").alias("salt"), F.explode("nodes").alias("x")).where(F.col("x.kind") == TEXT)
     rows = rows.select("key", "host", "salt", "x.path", "x.value")
     found = rows.join(copied(texts), ["host", "path", "value", "salt"])
-    return found.groupBy("key").agg(F.collect_set(F.struct("path", "value")).alias("template"))
+    return found.groupBy("key").agg(F.collect_set(F.struct("path", "value", "sure")).alias("template"))
 
 
 def salt(name: str) -> Column:
@@ -147,18 +150,31 @@ def copied(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def own_blocks(page: Page, low: dict[tuple[int, int], bool]) -> list[Block]:
+    """The blocks of a page without the site's."""
+    blocks = page.blocks or page.named
+    core = core_of(blocks)
+    inside = any(b.main for b in blocks)
+
+    def gone(b: Block) -> bool:
+        sure = low.get((b.path, value(b.text)))
+        return sure is not None and (sure or (inside and not b.main))
+
+    out = [gone(b) for b in blocks]
+    prose = sum(len(b.text) for b in core if b.prose)
+    # near copies of an article repeat it beside a little that differs
+    back = sum(len(b.text) for b, x in zip(blocks, out, strict=True) if x and core and b.main and b.prose) > MOST * prose
+    left = [b for b, x in zip(blocks, out, strict=True) if not x or (back and b.main and b.prose)]
+    # a page keeps its text if all of it is the site's
+    return left or core or blocks
+
+
 def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
     parser = Parser()
     out = []
     for page, template in zip(pages, templates, strict=True):
-        read = parser.read(page)
-        blocks = read.blocks or read.named
-        inside = [b for b in blocks if b.main] or blocks
-        if template is not None and len(template):
-            low = {(t["path"], t["value"]) for t in template}
-            # a page keeps its text if all of it is the site's
-            inside = [b for b in inside if (b.path, value(b.text)) not in low or (b.main and not b.boxed)] or inside
-        out.append("\n".join(b.text for b in inside))
+        low = {} if template is None else {(t["path"], t["value"]): t["sure"] for t in template}
+        out.append("\n".join(b.text for b in own_blocks(parser.read(page), low)))
     return pd.Series(out, dtype=object)
 
 

@@ -132,3 +132,28 @@ def test_box_on_few_pages_of_a_large_host(spark):
     box = "<div class=more>Written by our own correspondents</div>"
     got = texts(spark, [(i, "http://s.example/", f"<article><p>Story {i}</p>{box if i < 5 else ''}</article>") for i in range(800)])
     assert got == {i: f"Story {i}" for i in range(800)}
+
+
+def test_the_tree_decides_inside_and_beside_articles(spark):
+    pages = [
+        (
+            i,
+            "http://s.example/",
+            f"<div class=story><h2>Story {i}</h2><p>What was told of story {i} that day</p></div>"
+            f"<article class=card><p>{['A teaser', 'A second one'][i % 2]}</p></article><div class=site-info>Of the site</div>",
+        )
+        for i in range(12)
+    ]
+    got = texts(spark, pages)
+    assert got == {i: f"Story {i}\nWhat was told of story {i} that day" for i in range(12)}
+    pages = [(i, "http://s.example/", f"<article><p>Story {i} of this site</p><ul><li>Read our paper</ul></article>") for i in range(8)]
+    assert texts(spark, pages) == {i: f"Story {i} of this site" for i in range(8)}
+    assert alone("<div class=story><p>The whole story</p></div><article class=card><p>A teaser</p></article>") == "The whole story\nA teaser"
+
+
+def test_near_copies_of_an_article_stay(spark):
+    def lines(i):
+        return [f"Seen {i}" if i < 95 else f"Other {i}"] + [f"Line {k} of story {0 if i < 95 else i} is told here" for k in range(5)]
+
+    pages = [(i, "http://s.example/", f"<article><div class=entry>{''.join(f'<p>{x}</p>' for x in lines(i))}</div></article>") for i in range(100)]
+    assert texts(spark, pages) == {i: "\n".join(lines(i)) for i in range(100)}
