@@ -1,6 +1,6 @@
 """Documents to packed training sequences.
 
-1. ``language_id`` keeps documents in one of the learned languages.
+1. ``language_id`` keeps documents with words of any learned languages.
 2. ``line_dedup`` takes out lines that repeat an earlier line; every document stays.
 3. ``simhash_near_dedup`` keeps one document of each group of near copies.
 4. ``secret_scan`` replaces secrets in the texts; every document stays.

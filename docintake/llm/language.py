@@ -8,7 +8,8 @@ document's language is the one with the largest mean marginal.
 
 The weights are learned from a bounded sample of labelled documents: at most
 ``BLOCKS`` blocks of ``BLOCK`` words, from about ``DOCUMENTS`` documents a
-language.  A document's words carry its label; every second training sequence
+language; of more than ``LABELS`` languages only the most frequent are learned.
+A document's words carry its label; every second training sequence
 is spliced from two documents, which is what the transitions learn switches
 from.  Prediction reads every word of every text, in chains of ``CHAIN`` words.
 """
@@ -281,28 +282,32 @@ class Labeller:
         return np.split(flat, np.cumsum([len(x) for x in numbers])[:-1]) if numbers else []
 
 
-def labeller_udf(model: Model | None, docs: DataFrame):
-    """text -> (lang_pred, score, switches); ``und`` without letters or without anything learned."""
+def labeller_udf(model: Model | None, docs: DataFrame, least: float = 0.5):
+    """text -> (lang_pred, score, switches, clear); ``und`` without letters or without anything learned.
+
+    Clear is a text with a word that has a marginal of at least ``least``, or,
+    without anything learned, one with letters.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, switches long")
+    @F.pandas_udf("lang_pred string, score double, switches long, clear boolean")
     def predict(batches: pd.Series) -> pd.DataFrame:
         rows = []
         labeller = Labeller(sent.value) if sent.value else None
         for texts in (batches[at : at + TEXTS_AT_ONCE] for at in range(0, len(batches), TEXTS_AT_ONCE)):
             words = [WORD.findall(t.lower()) for t in texts]
             if labeller is None:
-                rows += [("und", 0.0, 0)] * len(texts)
+                rows += [("und", 0.0, 0, any(c.isalpha() for w in found for c in w)) for found in words]
                 continue
             for gamma, found in zip(labeller.marginals(words), words, strict=True):
                 if not any(c.isalpha() for w in found for c in w):
-                    rows.append(("und", 0.0, 0))
+                    rows.append(("und", 0.0, 0, False))
                     continue
                 mean = gamma.mean(axis=0)
                 best = int(mean.argmax())
                 named = gamma.argmax(axis=1)
-                rows.append((labeller.model.labels[best], min(1.0, float(mean[best])), int((named[1:] != named[:-1]).sum())))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "switches"])
+                rows.append((labeller.model.labels[best], min(1.0, float(mean[best])), int((named[1:] != named[:-1]).sum()), bool(gamma.max() >= least)))
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "switches", "clear"])
 
     return predict
 
@@ -335,11 +340,16 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """
     predict = labeller_udf(learned(docs, doc_id, text, lang), docs)
     found = docs.select(F.col(doc_id).alias("doc_id"), predict(text_of(text)).alias("found"))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.*")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.switches")
 
 
 def with_language(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents, all columns kept, that are in one language: named, with a mean marginal of at least ``least``."""
-    predict = labeller_udf(learned(docs, doc_id, text, lang), docs)
+    """The documents, all columns kept, with evidence for a learned language.
+
+    A text stays if any of its words has a marginal of at least ``least``, in
+    however many languages it is written.  Those without letters go; if no
+    document is labelled, only those.
+    """
+    predict = labeller_udf(learned(docs, doc_id, text, lang), docs, least)
     found = docs.withColumn("__found", predict(text_of(text)))
-    return found.where((F.col("__found.lang_pred") != "und") & (F.col("__found.score") >= least)).select(*docs.columns)
+    return found.where("__found.clear").select(*docs.columns)

@@ -82,3 +82,12 @@ def test_stage_keeps_clean_documents(spark, corpus):
     assert left.columns == corpus.columns
     assert left.count() > 0.99 * corpus.count()
     assert with_language(documents(spark, [(1, "the and of"), (2, "..."), (3, None)])).count() == 1
+
+
+def test_stage_keeps_texts_of_several_languages(spark, corpus):
+    rows = corpus.where("n_chars > 800").orderBy("doc_id").collect()
+    texts = [next(r.text for r in rows if r.lang == lang)[:400] for lang in ("en", "de", "fr")]
+    mixed = corpus.limit(0).unionByName(spark.createDataFrame([(-1, " ".join(texts), None)], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    assert [r.doc_id for r in with_language(corpus.unionByName(mixed)).where("doc_id < 0").collect()] == [-1]
+    bare = spark.createDataFrame([(1, "some words", None), (2, "12 ...", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in with_language(bare).collect()] == [1]
