@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from docintake.llm import QUERIES
+from docintake.llm import ORACLE, QUERIES
 from docintake.llm.byte_bpe import read_ranks
 from tests.llm.fixtures import given
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -33,6 +33,11 @@ COLUMNS = {
     },
     "op9_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op11_importance_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op12_centroid_clustering": {
+        "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string",
+    },
+    "op13_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
 }
 
 
@@ -54,7 +59,7 @@ def test_columns_and_rows(results, name):
     kinds, rows = results(name)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     if name not in ("op2_best_fit_packing", "op3_chat_preferences"):
-        key = "page_id" if name.startswith("op5") else "doc_id"
+        key = next(c for c in COLUMNS[name] if c.endswith("_id"))
         ids = [r[key] for r in rows]
         assert len(ids) == len(set(ids)) >= 50
         if key == "doc_id":
@@ -108,3 +113,28 @@ def test_simhash(results):
     for i, p in prints.items():
         least[classes[p]] = min(i, least.get(classes[p], i))
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(i, f"{p:016x}", least[classes[p]]) for i, p in prints.items()}
+
+
+def test_token_counts(results):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    _, rows = results("op13_token_counts")
+    texts = dict(given())
+    for r in rows:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_centroid_clustering"])
+def test_sql(results, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS FROM '{FOLDER}/{table}.parquet'")
+    columns = ", ".join(COLUMNS[name])
+    want = con.sql(f"SELECT {columns} FROM ({ORACLE[name]})").fetchall()
+    _, rows = results(name)
+    assert sorted((tuple(r[c] for c in COLUMNS[name]) for r in rows), key=str) == sorted(want, key=str)
