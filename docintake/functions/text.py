@@ -1,6 +1,6 @@
 """Text columns: trimming, truncation, field extraction, names, ordered rules."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -24,6 +24,11 @@ from docintake.fixed_values import (
 )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(c, F.lit(WHITE_SPACE))

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import MAIL_ZONES
+from docintake.functions.text import once
 
 # the extended ISO forms a sent time is stored in
 ISO_TEXT = (
@@ -34,33 +35,32 @@ def format_sent_time(ts: Column) -> Column:
 
 
 def mail_date_iso(text: Column) -> Column:
-    """A mail date as ISO text that keeps its own offset; null if unparsable."""
+    """A mail date as ISO text that keeps its own offset; null if unparsable.
+
+    One regex pass gives "day|month|year|hour|minute|second|zone".  A text that
+    is no mail date comes back as it was, and no mail date can, as its comment
+    is left out and bars stand between its fields.
+    """
     known = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
-    # one regex pass to "day|month|year|hour|minute|second|zone", then split
-    fields = F.split(F.regexp_replace(text, MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
-    day, month, year, hour, minute, second, zone = (F.get(fields, F.lit(i)) for i in range(7))
-    offset = F.when(zone.rlike(r"^[+-]\d{4}$"), zone).otherwise(F.try_element_at(known, F.upper(zone)))
-    # position of the month name in the run of names gives its number
     names = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
-    at = F.instr(names, F.lower(month))
-    iso = F.concat(
-        year,
-        F.lit("-"),
-        F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"),
-        F.lit("-"),
-        F.lpad(day, 2, "0"),
-        F.lit("T"),
-        F.lpad(hour, 2, "0"),
-        F.lit(":"),
-        minute,
-        F.lit(":"),
-        F.when(second == "", F.lit("00")).otherwise(second),
-        F.substring(offset, 1, 3),
-        F.lit(":"),
-        F.substring(offset, 4, 2),
-    )
-    usable = text.rlike(MAIL_DATE) & (at % 3 == 1) & parse_iso(iso).isNotNull()
-    return F.when(usable, iso)
+
+    def iso(told: Column) -> Column:
+        read = F.regexp_replace(told, MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7")
+        return once(read, lambda read: F.when(read != told, once(F.split(read, r"\|"), laid_out)))
+
+    def laid_out(fields: Column) -> Column:
+        day, month, year, hour, minute, second, zone = (fields[i] for i in range(7))
+        # position of the month name in the run of names gives its number
+        at = F.instr(names, F.lower(month))
+        number = F.when(at % 3 == 1, F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
+        offset = F.when(F.substring(zone, 1, 1).isin("+", "-"), zone).otherwise(F.try_element_at(known, F.upper(zone)))
+        clock = F.concat_ws(":", F.lpad(hour, 2, "0"), minute, F.when(second == "", F.lit("00")).otherwise(second))
+        shown = F.concat(year, F.lit("-"), number, F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), clock)
+        shown = F.concat(shown, F.substring(offset, 1, 3), F.lit(":"), F.substring(offset, 4, 2))
+        # the shape is right by now, the numbers need not be
+        return once(shown, lambda iso: F.when(iso.try_cast("timestamp").isNotNull(), iso))
+
+    return once(text, iso)
 
 
 def sent_iso(internal_date: Column, header_date: Column) -> Column:

@@ -1,9 +1,11 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docintake.functions import answers
-from docintake.operators import mentions
+from docintake.operators import automaton, mentions
 
 
 def infos(spark, texts):
@@ -124,8 +126,57 @@ def test_mention_pairs_equal_brute_force(spark):
     assert got == brute and len(brute) > 50
 
 
+def told_and_names():
+    r = random.Random(8)
+    words = ["an", "bo", "cy", "Bo", "été", "x_1", "漢字", "7"]
+    names = {" ".join(r.choice(words) for _ in range(r.randint(1, 6))) for _ in range(60)} | {"an-bo", "(cy)", "cy.", "...", "", " an "}
+    told = ["".join(r.choice([*words, " ", " ", " ", "-", ". ", "(cy)"]) + " " * r.randint(0, 1) for _ in range(25)) for _ in range(120)]
+    return told + [None, "", "an"], sorted(names)
+
+
+@pytest.mark.parametrize("shard_chars", [1_000_000, 600, 1])
+def test_automaton_shards_and_join_equal_brute_force(spark, shard_chars):
+    told, names = told_and_names()
+    answers_ = spark.createDataFrame(list(enumerate(told)), "id int, answer string")
+    names_ = spark.createDataFrame([(n,) for n in names], "name string")
+    shards = automaton.shards_for(mentions.named(names_), shard_chars)
+    assert shards == 1 if shard_chars > 600 else shards is None if shard_chars == 1 else 1 < shards <= automaton.MOST_SHARDS
+    got = sorted(map(tuple, mentions.mention_pairs(answers_, names_, shard_chars=shard_chars).collect()))
+    usable = {n.strip() for n in names if re.search(r"\w", n)}
+    assert got == sorted((i, n) for i, t in enumerate(told) for n in usable if t and re.search(rf"\b{re.escape(n)}\b", t))
+
+
+@pytest.mark.parametrize("shard_chars", [1_000_000, 1])
+def test_name_links_equal_brute_force(spark, shard_chars):
+    told, names = told_and_names()
+    rows = [(n, name, f"f{n}.pdf") for n, name in enumerate(names)]
+    files_ = spark.createDataFrame([(f"f{n}.pdf", f"<an {n}>") for n in range(0, 40, 3)], "file string, link string")
+    answers_ = spark.createDataFrame(list(enumerate(told)), "id int, answer string")
+    names_ = spark.createDataFrame(rows, NAMES)
+    got = {r["id"]: r["answer"] for r in mentions.link_names(answers_, names_, files_, shard_chars=shard_chars).collect()}
+    first = {}
+    for n, name, file in rows:
+        if re.search(r"\w", name):
+            first.setdefault(name.strip(), f"<an {n}>" if n < 40 and n % 3 == 0 else file)
+    for i, t in enumerate(told):
+        want = t
+        for name, link in first.items():
+            pattern = rf"\b{re.escape(name)}\b"
+            if t and re.search(pattern, t):
+                want = re.sub(pattern, lambda m, link=link: f"{m[0]} ({link})", want, count=1)
+        assert got[i] == want
+
+
+def test_common_words_are_dealt(spark):
+    answers_ = spark.range(300).select("id", F.lit("the an of the").alias("answer"))
+    names_ = spark.createDataFrame([("the",), ("of the",), ("an of x",)], "name string")
+    got = mentions.candidates(answers_, names_, key_rows=7)
+    assert sorted(map(tuple, got.collect())) == sorted((i, n) for i in range(300) for n in ("the", "of the"))
+    assert mentions.candidates(answers_, names_.limit(0)).collect() == []
+
+
 def test_file_links(spark):
-    told = ["see the cv 1.pdf, b  c.DOCX, and x.pdf y.pdf", "cv 1.pdfx", "none", "é.pdf\ncv 1.pdf"]
+    told = ["see the cv 1.pdf, b  c.DOCX, and x.pdf y.pdf", "cv 1.pdfx", "none", "é.pdf\ncv 1.pdf", "of 1.pdf z.pdf, 1.pdf"]
     answers_ = spark.createDataFrame(list(enumerate(told)), "id int, answer string")
     files = spark.createDataFrame(
         [("1.pdf", "<1>"), ("cv 1.pdf", "<cv 1>"), ("b  c.DOCX", "<bc>"), ("y.pdf", "<y>")], "file string, link string"
@@ -136,4 +187,5 @@ def test_file_links(spark):
         "<cv 1>x",
         "none",
         "é.pdf\n<cv 1>",
+        "of 1.pdf z.pdf, <1>",
     ]
