@@ -191,6 +191,19 @@ def chat_stats_by_type(log: DataFrame) -> DataFrame:
     return log.groupBy(kind).agg(F.count(F.lit(1)).alias("chats"))
 
 
+def chat_stats_by_log(logs: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for every log, with zeros for those without entries (missing, empty or corrupt)."""
+    sums = entries.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_chats"),
+        F.round(F.avg("question_length"), 1).alias("average_question"),
+        F.round(F.avg("answer_length"), 1).alias("average_answer"),
+        F.max("timestamp").alias("last_chat"),
+    )
+    found = logs.select(*keys).join(sums, list(keys), "left")
+    zeros = {n: F.coalesce(n, F.lit(0)) for n in ("total_chats", "average_question", "average_answer")}
+    return found.withColumns(zeros)
+
+
 def chat_stats(log: DataFrame) -> DataFrame:
     """One row; an empty log gives zeros and an empty map.
 

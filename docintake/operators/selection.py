@@ -2,32 +2,38 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import COLUMN_WIDTH_MAX, COLUMN_WIDTH_PADDING, TOP_SOURCES
 from docintake.functions import answers, text
-from docintake.operators.ordering import elements
-
-
-def _numbered(few: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    """Number a handful of rows that a limit has already cut out."""
-    return few.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+from docintake.operators.ordering import elements, global_position
 
 
 def top_sources(
-    answer: DataFrame, records: DataFrame, source: str, order: Sequence[Column], n: int = TOP_SOURCES
+    told: DataFrame, records: DataFrame, source: str, order: Sequence[Column], n: int = TOP_SOURCES, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """``place, source``: the array of the model's answer, or the first ``n`` records.
+    """``place, source`` and the columns of the named record: the array of a model's answer, or the first ``n`` records.
 
-    ``answer`` has one row with ``response``.
+    ``told`` has answers in ``response``, one row for each of ``keys``, or one
+    row without keys.  Names keep their place in the array; names that no
+    record has, which the model made up, stay with empty columns.  A source
+    that several records share stands for the first of them.  Answers without
+    a list share the first records, which are ``n`` rows cut out once.
     """
-    listed = answers.with_answer_array(answer, "response", "listed")
-    chosen = listed.select(F.posexplode(elements("listed")).alias("at", "source"))
-    chosen = chosen.select((F.col("at") + 1).cast("long").alias("place"), "source")
-    first = _numbered(records.orderBy(*order).limit(n), order, "place")
-    fallback = first.select("place", F.col(source).alias("source"))
-    return chosen.unionByName(fallback.where(~chosen.exists()))
+    kind = [c for c in records.columns if c not in (source, "source", "place", *keys)]
+    listed = answers.with_answer_array(told.select(*keys, "response"), "response", "listed")
+    listed = listed.withColumn("listed", F.when(F.size("listed") > 0, F.col("listed")))
+    chosen = listed.where(F.col("listed").isNotNull()).select(*keys, F.posexplode(elements("listed")).alias("at", "source"))
+    placed = global_position(records, order, "__no").select("__no", F.col(source).alias("source"), F.struct(*kind).alias("record"))
+    one = placed.groupBy("source").agg(F.min(F.struct("__no", "record"))["record"].alias("record"))
+    named = chosen.join(one, "source", "left").select(*keys, (F.col("at") + 1).cast("long").alias("place"), "source", "record.*")
+    fallback = placed.where(F.col("__no") <= n).select(F.col("__no").alias("place"), "source", "record.*")
+    unlisted = listed.where(F.col("listed").isNull()).select(*keys)
+    few = F.array_sort(F.collect_list(F.struct(*fallback.columns)))
+    shared = fallback.agg(few.alias("few"))  # n rows
+    found = unlisted.withColumn("few", shared.scalar()).select(*keys, F.inline("few"))
+    return named.unionByName(found.select(*named.columns))
 
 
 def preview(rows: DataFrame, order: Sequence[Column], n: int = 10) -> DataFrame:

@@ -6,6 +6,8 @@ from docintake.functions import answers, text
 from docintake.operators import chat, mentions
 from docintake.plans.registry import Tables, query
 from docintake.plans.roles import texts
+from docintake.session import shared_folder
+from docintake.sources import tables
 
 CLASSES = [("article", ["the ", "des "]), ("particle", ["nicht", "sich"]), ("ending", ["TION", "ung"])]
 PHRASES = ["heon", "queon", "current time"]
@@ -271,6 +273,57 @@ def q_retention_cap_whole_log(t: Tables):
     return chat.retained(t.events.select("event_id"), "event_id")
 
 
+def sql_capped(chunks: int, high: int, low: int) -> str:
+    """CTEs ``log0`` to ``log{n}``: the log after each append of a chunk of conversations."""
+    steps = [f"log as (select *, (pos >> 16) % {chunks} as chunk from ({SQL_LOG}))"]
+    for n in range(chunks):
+        both = f"select * from log where chunk = {n}" + (f" union all select * from log{n - 1}" if n else "")
+        steps.append(
+            f"log{n} as materialized (select * from ({both}) qualify count(*) over () <= {high} or row_number() over (order by pos desc) <= {low})"
+        )
+    return ",\n".join(steps)
+
+
+CHUNKS, HIGH, LOW = 4, 150, 100
+
+
+@query("log_append", sql=f"with {sql_capped(CHUNKS, HIGH, LOW)} select pos, question_length, answer_length, question_type from log{CHUNKS - 1}")
+def q_log_append(t: Tables):
+    """A log that is appended to in four runs and trimmed in each."""
+    folder = shared_folder(t.spark, "chat-log")
+    for n in range(CHUNKS):
+        chunk = chat_log(t).where(F.shiftright("pos", 16) % CHUNKS == n)
+        tables.append_retained(chunk, folder, HIGH, LOW)
+    return tables.read_log(t.spark, folder).select("pos", "question_length", "answer_length", "question_type")
+
+
+@query(
+    "chat_stats_empty",
+    sql="""
+    select conv_id, turn, case when turn % 4 = 0 then 2 else 0 end as total_chats,
+           case when turn % 4 = 0 then round((conv_id + turn) / 2, 1) else 0 end as average_question,
+           case when turn % 4 = 0 then length(role)::double else 0 end as average_answer,
+           case when turn % 4 = 0 then '2024-01-02 00:00:00' end as last_chat
+    from conversations
+    """,
+)
+def q_chat_stats_empty(t: Tables):
+    """Every turn has a log of its own: two entries, a corrupt text, an empty one, or none at all."""
+
+    def entry(day: str, length):
+        return F.struct(
+            F.lit(f"2024-01-{day}T00:00:00Z").alias("timestamp"), F.lit("q").alias("question"), F.col("role").alias("answer"),
+            length.alias("question_length"), F.length("role").alias("answer_length"),
+        )
+
+    good = F.to_json(F.array(entry("02", F.col("conv_id")), entry("01", F.col("turn"))))
+    kind = F.col("turn") % 4
+    value = F.when(kind == 0, good).when(kind == 1, F.concat(good, F.lit("corrupt"))).when(kind == 2, F.lit(""))
+    logs = t.conversations.select("conv_id", "turn", value.alias("value"))
+    stats = chat.chat_stats_by_log(logs, tables.chat_entries(logs, "conv_id", "turn"), ["conv_id", "turn"])
+    return stats.withColumn("last_chat", F.date_format("last_chat", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "last_n_lines",
     sql="""

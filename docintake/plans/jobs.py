@@ -12,6 +12,7 @@ from docintake.operators import chat, intake, mentions, records
 from docintake.operators.ordering import global_position
 from docintake.session import written
 from docintake.sources import attachments, messages, model, state
+from docintake.sources.progress import Progress
 from docintake.streaming import intake as rounds
 
 
@@ -98,10 +99,12 @@ def fetch_box(
     ignore_mark: bool = False,
     processed: str | None = None,
     sent: str | None = None,
+    progress: Progress | None = None,
 ) -> DataFrame:
     """One incremental fetch from a folder of message files; gives the rows just landed.
 
-    Every message is parsed once, into the shared folder.  ``processed`` is a
+    Only files above the mark are opened, and every message is parsed once,
+    into the shared folder.  ``progress`` counts what each step handles.  ``processed`` is a
     folder for the ids of handled messages, which are not fetched again;
     ``sent`` one for the sent times of landed files.  The rows land before the
     marks move, so a run that dies in between is repeated and lands nothing
@@ -109,8 +112,9 @@ def fetch_box(
     back.
     """
     stored = state.read_mark(spark, mark)
-    raw = messages.scan(spark, box).withColumn("uid", messages.uid_of(F.col("path")))
-    parsed = written(messages.parse(intake.after_mark(raw, 0 if ignore_mark else stored)), "messages")
+    raw = intake.after_mark(messages.scan(spark, box), 0 if ignore_mark else stored)
+    steps = progress or Progress(spark, "", "")
+    parsed = written(steps.step("parsed", messages.parse(raw), F.col("error").isNotNull()), "messages")
     wanted = intake.in_window(parsed, times.parse_iso(F.col("sent_iso")), since, before)
     if processed:
         wanted = intake.unseen(wanted, rounds.read_rounds(spark, processed, rounds.PROCESSED))
@@ -120,15 +124,17 @@ def fetch_box(
         handled = rounds.read_rounds(spark, processed, rounds.PROCESSED)
         number = max(number, (handled.agg(F.max("round")).first()[0] or 0) + 1)
     judged = intake.judged_parts(wanted, list(keywords))
-    kept = intake.kept_parts(judged, "sent_iso")
+    kept = written(steps.step("kept", intake.kept_parts(judged, "sent_iso")), "kept-parts")
     new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
-    rounds.write_round(intake.with_content(new, wanted).select(rounds.LANDED.fieldNames()), landing, number)
+    rounds.write_round(steps.step("landed", intake.with_content(new, wanted).select(rounds.LANDED.fieldNames())), landing, number)
     this_round = rounds.read_rounds(spark, landing, rounds.LANDED).where(F.col("round") == number)
     if sent:
         rounds.sent_time_round(sent)(this_round, number)
     fetched = written(intake.processed_rows(judged), "handled")
     if processed:
         rounds.write_round(fetched, processed, number)
+    if progress:
+        progress.write()
     state.write_mark(intake.advance_mark(spark.createDataFrame([(str(stored),)], "mark string"), fetched), mark)
     return this_round
 

@@ -20,7 +20,7 @@ from docintake.plans.roles import (
     texts,
 )
 from docintake.session import shared_folder
-from docintake.sources import model, tables
+from docintake.sources import model, split_csv, tables
 
 SQL_SENT = "select event_id, ts from events where event_type in ('click', 'signup')"
 
@@ -65,13 +65,14 @@ def q_records_ranked(t: Tables):
 @query(
     "single_document",
     sql=f"""
-    with profiles as ({SQL_PROFILE}), cuts as (select *, text as cut from profiles where doc_id = 7)
+    with profiles as ({SQL_PROFILE}), cuts as (select *, text as cut from profiles)
     select doc_id, {SQL_FIELDS} from cuts
     """,
 )
 def q_single_document(t: Tables):
-    one = records.with_regex_info(profile(t).where(F.col("doc_id") == 7))
-    return one.select("doc_id", *records.record_columns(F.lit(""), F.lit(""))[2:])
+    """The fields of each document as it would be handled alone, from its text only."""
+    alone = records.with_regex_info(profile(t).select("doc_id", "text"))
+    return alone.select("doc_id", *records.record_columns(F.lit(""), F.lit(""))[2:])
 
 
 @query(
@@ -334,6 +335,19 @@ def q_save_records_count(t: Tables):
     return tables.read_csv(t.spark, folder, rows.schema).agg(F.lit(saved).cast("long").alias("saved"), F.count(F.lit(1)).alias("read_back"))
 
 
+@query(
+    "large_csv_split",
+    sql="select doc_id::varchar as doc_id, coalesce(source, '') as source, md5(coalesce(text, '')) as text_md5, length(coalesce(text, '')) as chars from documents",
+)
+def q_large_csv_split(t: Tables):
+    """CSV files with line breaks inside cells, each read by several tasks."""
+    folder = shared_folder(t.spark, "large-csv")
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    rows.write.options(**tables.CSV, quoteAll="true").csv(folder)
+    read = split_csv.read_split_csv(t.spark, folder, rows.schema)
+    return read.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
+
+
 # --- top five ----------------------------------------------------------------
 
 
@@ -347,30 +361,52 @@ SQL_SCORED = """
 """
 
 
+def _best():
+    return [F.col("quality").desc(), F.col("n_chars").desc(), F.col("doc_id").asc()]
+
+
 @query(
     "top5",
     sql=f"""
-    select row_number() over (order by quality desc, n_chars desc, doc_id) as place, src as source
-    from ({SQL_SCORED}) order by place limit 5
+    with first as (
+        select row_number() over (order by quality desc, n_chars desc, doc_id) as place, src as source, doc_id, quality, n_chars
+        from ({SQL_SCORED}) order by place limit 5
+    )
+    select item_id, first.* from benchmark, first
     """,
 )
 def q_top5(t: Tables):
-    # the whole benchmark as one answer, which holds no array
-    answer = t.benchmark.agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("response"))
-    best = [F.col("quality").desc(), F.col("n_chars").desc(), F.col("doc_id").asc()]
-    return selection.top_sources(answer, _scored(t), COL_SOURCE, best)
+    # each row of the benchmark is an answer of its own, and none holds an array
+    told = t.benchmark.select("item_id", F.col("text").alias("response"))
+    return selection.top_sources(told, _scored(t), COL_SOURCE, _best(), keys=["item_id"])
 
 
 @query(
     "top5_from_answer",
-    sql="select row_number() over (order by item_id) as place, 'item ' || item_id as source from benchmark",
+    sql=f"""
+    with scored as ({SQL_SCORED}),
+    listed as (
+        select item_id, unnest([1, 2, 3, 4]) as place,
+               unnest(['item ' || item_id, d.source || '/' || d.lang || '-' || d.doc_id, 'x"y', d.source || '/' || d.lang || '-' || d.doc_id]) as source
+        from benchmark join documents d on d.doc_id = item_id where item_id % 3 > 0
+    ),
+    first as (
+        select row_number() over (order by quality desc, n_chars desc, doc_id) as place, src as source, doc_id, quality, n_chars
+        from scored order by place limit 5
+    )
+    select item_id, place, source, doc_id, quality, n_chars from listed left join scored on src = source
+    union all
+    select item_id, first.* from benchmark, first where item_id % 3 = 0
+    """,
 )
 def q_top5_from_answer(t: Tables):
-    listed = t.benchmark.agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    names = F.to_json(F.transform("items", lambda i: F.concat(F.lit("item "), i.cast("string"))))
-    answer = listed.select(F.concat(F.lit("Here:\n```json\n"), names, F.lit("\n```")).alias("response"))
-    best = [F.col("quality").desc(), F.col("n_chars").desc(), F.col("doc_id").asc()]
-    return selection.top_sources(answer, _scored(t), COL_SOURCE, best)
+    names = t.documents.select(F.col("doc_id").alias("item_id"), source_name().alias("own"))
+    item = F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    listed = F.to_json(F.array(item, F.col("own"), F.lit('x"y'), F.col("own")))
+    fenced = F.concat(F.lit("Here:\n```json\n"), listed, F.lit("\n```"))
+    response = F.when(F.col("item_id") % 3 > 0, fenced).otherwise("[]")
+    told = t.benchmark.select("item_id").join(names, "item_id").select("item_id", response.alias("response"))
+    return selection.top_sources(told, _scored(t), COL_SOURCE, _best(), keys=["item_id"])
 
 
 @query(

@@ -9,18 +9,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docintake.functions import times
+from docintake.fixed_values import FETCH_BATCH
+from docintake.functions import text, times
 from docintake.schema import MESSAGES
 from docintake.session import send_by_value
 
 send_by_value(__name__)
 
+NO_MESSAGE = "no message"
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Message files: ``path, content``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
-    return files.select("path", "content")
+RAW = "path string, modificationTime timestamp, length long, content binary"
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``path, content, uid``; a filter on ``uid`` reaches the file listing, so files it rules out are never opened."""
+    return files.select("path", "content", uid_of(F.col("_metadata.file_path")).alias("uid"))
+
+
+def scan(spark: SparkSession, folder: str, names: str = "*.eml") -> DataFrame:
+    """Message files of a folder and those below it; Spark leaves out files without a byte."""
+    options = {"pathGlobFilter": names, "recursiveFileLookup": "true"}
+    return numbered(spark.read.format("binaryFile").options(**options).load(folder))
+
+
+def watch(spark: SparkSession, folder: str, names: str = "*.eml", per_round: int = FETCH_BATCH) -> DataFrame:
+    """The same as a stream, so many files a round."""
+    options = {"pathGlobFilter": names, "recursiveFileLookup": "true", "maxFilesPerTrigger": per_round}
+    return numbered(spark.readStream.format("binaryFile").schema(RAW).options(**options).load(folder))
 
 
 def _decoded(value: str | None) -> str | None:
@@ -75,8 +91,10 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def uid_of(path: Column) -> Column:
-    """The last run of digits in a file name is the id of its message."""
-    return F.regexp_extract(path, r"(\d+)[^/\d]*\z", 1).try_cast("long")
+    """The id of a message: the folder ``uid=...`` it lies in, else the last run of digits in its file name."""
+    folder = F.regexp_extract(path, r"/uid=(\d+)/[^/]*\z", 1)
+    name = F.regexp_extract(path, r"(\d+)[^/\d]*\z", 1)
+    return F.when(folder != "", folder).otherwise(name).try_cast("long")
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -84,6 +102,11 @@ def parse(raw: DataFrame) -> DataFrame:
     if "internal_date" not in raw.columns:
         raw = raw.withColumn("internal_date", F.lit(None).cast("string"))
     rows = raw.select("path", "content", "internal_date").mapInPandas(_parsed, MESSAGES)
-    return rows.withColumn("uid", uid_of(F.col("path"))).withColumn(
-        "sent_iso", times.sent_iso(F.col("internal_date"), F.col("header_date"))
+    nothing = F.col("header_date").isNull() & (F.col("subject") == "") & (F.size("parts") == 0) & text.is_blank(F.col("body"))
+    return rows.withColumns(
+        {
+            "error": F.coalesce("error", F.when(nothing, F.lit(NO_MESSAGE))),
+            "uid": uid_of(F.col("path")),
+            "sent_iso": times.sent_iso(F.col("internal_date"), F.col("header_date")),
+        }
     )

@@ -1,8 +1,12 @@
 """State files and tables: sent times, high-water mark, processed ids."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docintake.sources import generations
+
+MARK = T.StructType([T.StructField("mark", T.StringType())])
 
 
 def sent_times_from_text(states: DataFrame, *carry: str) -> DataFrame:
@@ -19,25 +23,16 @@ def import_sent_times(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mark(spark: SparkSession, path: str) -> int:
-    """The stored high-water mark; 0 when the table is missing or its value is bad."""
-    try:
-        row = spark.read.schema("mark string").parquet(path).agg(
-            F.max(F.col("mark").try_cast("long")).alias("mark")
-        ).first()
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-    return row["mark"] or 0
+    """The stored high-water mark; 0 when there is none or its value is bad."""
+    stored = generations.read(spark, path, "mark", MARK)
+    return stored.agg(F.max(F.col("mark").try_cast("long")).alias("mark")).first()["mark"] or 0
 
 
 def write_mark(mark: DataFrame, path: str) -> None:
-    """Store the one-row mark table; the old value is read before it is replaced."""
-    value = mark.select(F.col("mark").cast("string").alias("mark")).first()["mark"]
-    spark = mark.sparkSession
-    spark.createDataFrame([(value,)], "mark string").coalesce(1).write.mode("overwrite").parquet(path)
+    """Store the one-row mark table; a run that dies meanwhile leaves the old one."""
+    generations.replace({"mark": mark.select(F.col("mark").cast("string").alias("mark"))}, path)
 
 
 def reset_mark(spark: SparkSession, path: str) -> None:
     """Forget the mark, so that the next run sees every message."""
-    spark.createDataFrame([], "mark string").write.mode("overwrite").parquet(path)
+    generations.replace({"mark": spark.createDataFrame([], MARK)}, path)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docintake.fixed_values import CHAT_LOG_HIGH, CHAT_LOG_LOW
+from docintake.functions.answers import strict_json
 from docintake.operators.chat import retained
 from docintake.schema import CHAT_LOG, RECORDS
 from docintake.session import written
+from docintake.sources import generations
 
 CSV_ROWS = 20_000
 
@@ -49,37 +51,41 @@ def save_records(records: DataFrame, folder: str) -> int:
     return counted.get["n"]
 
 
+LOG = T.StructType([T.StructField("pos", T.LongType()), *CHAT_LOG])
+
+
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """The log table, rows with ``pos``; empty before the first entry."""
-    schema = T.StructType([T.StructField("pos", T.LongType()), *CHAT_LOG])
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return generations.read(spark, folder, "log", LOG)
 
 
 def append_retained(entries: DataFrame, folder: str, high: int = CHAT_LOG_HIGH, low: int = CHAT_LOG_LOW) -> None:
     """Add entries (with ``pos``) to the log and trim it, as one step.
 
-    The kept rows, ``high`` at most, are written elsewhere first, so that a
-    run that dies leaves the old log or the new one.
+    The kept rows, ``high`` at most, become the next generation of the log; a
+    run that dies at any point leaves the old log or the new one.
     """
     log = read_log(entries.sparkSession, folder)
     both = log.unionByName(entries.select(log.columns))
-    written(retained(both, high=high, low=low), "log").write.mode("overwrite").parquet(folder)
+    generations.replace({"log": retained(both, high=high, low=low)}, folder)
 
 
 def import_chat_log(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a foreign JSON log file with their place ``pos``; corrupt files give no rows.
+    """Entries of a foreign JSON log file with their place ``pos``; missing, empty and corrupt files give no rows.
 
     Such a file is one value; import it once and go on with the log table.
     """
-    raw = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", T.ArrayType(CHAT_LOG))
-    return (
-        raw.select(F.posexplode(entries).alias("pos", "entry"))
-        .where(F.col("entry.question").isNotNull())
-        .select(F.col("pos").cast("long").alias("pos"), "entry.*")
-    )
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOG)
+    return chat_entries(raw)
+
+
+def chat_entries(logs: DataFrame, *carry: str) -> DataFrame:
+    """The entries of JSON logs in ``value``, each with its place ``pos`` in its log."""
+    parsed = strict_json(logs, "value", T.ArrayType(CHAT_LOG).simpleString(), "entries")
+    found = parsed.select(*carry, F.posexplode("entries").alias("pos", "entry")).where(F.col("entry.question").isNotNull())
+    return found.select(*carry, F.col("pos").cast("long").alias("pos"), "entry.*")

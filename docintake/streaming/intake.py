@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docintake.fixed_values import DEFAULT_KEYWORDS, DOCUMENT_SUFFIXES, OBVIOUS_NAME_WORDS, POLL_SECONDS
 from docintake.operators import intake
 from docintake.session import written
+from docintake.sources import messages
 
 LANDED = T.StructType(
     [
@@ -66,13 +67,13 @@ def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callab
     one row of counts per round.
     """
 
-    def run(messages: DataFrame, number: int) -> None:
-        spark = messages.sparkSession
+    def run(arrived: DataFrame, number: int) -> None:
+        spark = arrived.sparkSession
         landed = read_rounds(spark, folder, LANDED).where(F.col("round") < number)
-        judged = intake.judged_parts(messages, rules.keywords, rules.suffixes, rules.words)
+        judged = intake.judged_parts(arrived, rules.keywords, rules.suffixes, rules.words)
         kept = written(intake.kept_parts(judged, "sent_iso"), "kept-parts")
         new = intake.to_land(kept, intake.known_names(kept, landed), "sent_iso")
-        write_round(intake.with_content(new, messages).select(LANDED.fieldNames()), folder, number)
+        write_round(intake.with_content(new, arrived).select(LANDED.fieldNames()), folder, number)
         if counters:
             this_round = read_rounds(spark, folder, LANDED).where(F.col("round") == number)
             write_round(intake.run_counters(judged, this_round), counters, number)
@@ -81,7 +82,7 @@ def land_round(folder: str, rules: Rules, counters: str | None = None) -> Callab
 
 
 def intake_stream(
-    messages: DataFrame,
+    arriving: DataFrame,
     landing: str,
     checkpoint: str,
     rules: Rules = Rules(),
@@ -89,19 +90,97 @@ def intake_stream(
     once: bool = False,
     seconds: int = POLL_SECONDS,
 ) -> StreamingQuery:
-    """Start the watch loop over a streaming ``messages`` table (with ``sent_iso``).
+    """Start the watch loop over a streaming table of messages (with ``sent_iso``).
 
     ``once`` handles everything that is there in rounds and stops.
     """
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
     return (
-        messages.writeStream.foreachBatch(land_round(landing, rules, counters))
+        arriving.writeStream.foreachBatch(land_round(landing, rules, counters))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
+FAILED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def box_round(landing: str, failed: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
+    """One round over raw message files: parse each once, note those that are no messages, land the parts of the others."""
+    land = land_round(landing, rules, counters)
+
+    def run(raw: DataFrame, number: int) -> None:
+        parsed = written(messages.parse(raw), "messages")
+        write_round(parsed.where(F.col("error").isNotNull()).select(FAILED.fieldNames()), failed, number)
+        land(parsed.where(F.col("error").isNull()), number)
+
+    return run
+
+
+def box_stream(
+    raw: DataFrame,
+    landing: str,
+    failed: str,
+    checkpoint: str,
+    rules: Rules = Rules(),
+    mark: int = 0,
+    counters: str | None = None,
+    once: bool = False,
+    seconds: int = POLL_SECONDS,
+) -> StreamingQuery:
+    """Start the watch loop over a folder of raw message files, as :func:`messages.watch` streams them.
+
+    The checkpoint knows the files it has seen.  ``mark`` spares a new
+    checkpoint the files up to that id: they are listed but never opened.
+    """
+    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    return (
+        intake.after_mark(raw, mark)
+        .writeStream.foreachBatch(box_round(landing, failed, rules, counters))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+NAMED = T.StructType([f for f in LANDED if f.name != "content"])
+
+
+def latest_names(parts: DataFrame, sent: str, delay: str) -> DataFrame:
+    """Of each name the newest copy among those that follow each other within ``delay``, once no more can come.
+
+    ``parts`` is a stream with ``safe_name, uid, part_no, obvious, sent_iso``
+    and an instant ``sent``.  State holds one narrow row for each name that is
+    still open and is given up when the watermark passes; copies that arrive
+    later than ``delay`` behind the newest row come too late.
+    """
+    newest = F.max(F.struct("uid", "obvious", (-F.col("part_no")).alias("back"), "sent_iso")).alias("best")
+    found = parts.withWatermark(sent, delay).groupBy("safe_name", F.session_window(sent, delay)).agg(newest)
+    return found.select(
+        "safe_name",
+        "best.uid",
+        (-F.col("best.back")).alias("part_no"),
+        "best.obvious",
+        "best.sent_iso",
+        F.col("session_window.start").alias("since"),
+    )
+
+
+def latest_names_stream(names: DataFrame, landing: str, checkpoint: str, once: bool = False, seconds: int = POLL_SECONDS) -> StreamingQuery:
+    """Land each of :func:`latest_names` unless an earlier round has landed the name; the oldest of a round wins."""
+
+    def run(rows: DataFrame, number: int) -> None:
+        landed = read_rounds(rows.sparkSession, landing, NAMED).where(F.col("round") < number)
+        found = written(rows, "closed-names")
+        new = intake.not_landed(found, intake.known_names(found, landed))
+        oldest = intake.latest_per_key(new, ["safe_name"], [-F.unix_micros("since")], [n for n in NAMED.fieldNames() if n != "safe_name"])
+        write_round(oldest.select(NAMED.fieldNames()), landing, number)
+
+    trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    return names.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def sent_time_round(folder: str) -> Callable[[DataFrame, int], None]:
     """Sent times as a log of writes per round; :func:`current_sent_times` reads the last ones."""
 

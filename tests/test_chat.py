@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docintake.operators import catalog, chat, quality, selection
 from docintake.session import send_by_value
-from docintake.sources import model, tables
+from docintake.sources import generations, model, split_csv, tables
 from docintake.streaming import stats
 
 send_by_value(__name__)
@@ -95,6 +97,68 @@ def test_log_files(spark, tmp_path):
     assert sorted(r["pos"] for r in tables.read_log(spark, folder).collect()) == [2, 3]
 
 
+def test_corrupt_logs_give_no_entries(spark, tmp_path):
+    good = '[{"question": "q", "answer": "a"}]'
+    for n, text in enumerate([good, good + " x", "[" + good, "", "null", "{}", "[]"]):
+        (tmp_path / f"{n}.json").write_text(text)
+        assert tables.import_chat_log(spark, str(tmp_path / f"{n}.json")).count() == (n == 0)
+    nothing = tables.import_chat_log(spark, str(tmp_path / "missing.json"))
+    assert chat.chat_stats(nothing).first()["total_chats"] == 0
+
+
+def some_log(spark, first, last):
+    rows = [(p, None, "q", "a", p, 1, "x" if p % 2 else None) for p in range(first, last)]
+    return spark.createDataFrame(rows, tables.LOG)
+
+
+def positions(spark, folder):
+    return sorted(r["pos"] for r in tables.read_log(spark, folder).collect())
+
+
+@pytest.mark.parametrize("dies", ["write", "point"])
+def test_append_that_dies_leaves_the_old_log(spark, tmp_path, monkeypatch, dies):
+    folder = str(tmp_path / "log")
+    tables.append_retained(some_log(spark, 0, 4), folder, high=5, low=3)
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        # before anything is written, and between the rows and the pointer
+        broken.setattr(generations, "place" if dies == "write" else "point", killed)
+        if dies == "write":
+            broken.setattr(generations, "read", lambda spark, folder, table, schema: spark.createDataFrame([], schema))
+        with pytest.raises(KeyboardInterrupt):
+            tables.append_retained(some_log(spark, 4, 8), folder, high=5, low=3)
+    assert positions(spark, folder) == [0, 1, 2, 3]
+    tables.append_retained(some_log(spark, 4, 8), folder, high=5, low=3)
+    assert positions(spark, folder) == [5, 6, 7]
+    for n in range(3):
+        tables.append_retained(some_log(spark, 8 + n, 9 + n), folder, high=5, low=3)
+    assert positions(spark, folder) == [8, 9, 10]
+    assert len(generations.numbers(spark, folder)) == 2  # the last one and the one before
+
+
+def test_capped_statistics_equal_those_of_the_log(spark, tmp_path):
+    box, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    run = stats.capped_round(out, 9, 5)
+    at = 0
+    for number, size in enumerate([3, 0, 5, 4, 30, 1, 2]):
+        new = some_log(spark, at, at + size)
+        at += size
+        if number == 3:
+            run(new, number)  # a round that is repeated counts once
+        run(new, number)
+        want = stats.running_sums(tables.read_log(spark, out)).collect()
+        assert sorted(map(tuple, generations.read(spark, out, "sums", stats.SUMS).collect())) == sorted(map(tuple, want))
+    some_log(spark, 0, 12).coalesce(1).write.parquet(box)
+    stream = spark.readStream.schema(tables.LOG).parquet(box)
+    other = str(tmp_path / "other")
+    assert stats.capped_stats_stream(stream, other, offsets, 9, 5, once=True).awaitTermination(120)
+    assert positions(spark, other) == [7, 8, 9, 10, 11]
+    assert sum(r["chats"] for r in stats.read_means(spark, other).collect()) == 5
+
+
 def test_last_lines(spark):
     rows = spark.createDataFrame([(i, f"t{i}", None if i == 3 else "WARN", f"m{i}") for i in range(5)], "i int, timestamp string, level string, message string")
     got = chat.last_lines(rows, 2, [F.col("i").desc()]).collect()
@@ -129,6 +193,36 @@ def test_record_csv(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def odd_cells():
+    r = random.Random(6)
+    bits = ["a", "b c", '"', "\n", "\r\n", ",", "é", "\n\n", '""', " ", "x" * 40]
+    return [tuple("".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(3)) for _ in range(400)]
+
+
+@pytest.mark.parametrize("size", ["300", "64m"])
+def test_large_csv_is_read_in_splits(spark, tmp_path, size):
+    folder = str(tmp_path / "csv")
+    cells = odd_cells() + [("long", "\n".join('say "x"' for _ in range(200)), "end"), ("", "", "")]
+    schema = "`Họ tên` string, b string, c string"
+    rows = spark.createDataFrame(cells, schema)
+    rows.coalesce(1).write.options(**tables.CSV, quoteAll="true").csv(folder)
+    rows.limit(0).coalesce(1).write.mode("append").options(**tables.CSV, quoteAll="true").csv(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    open_cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = split_csv.split_lines(spark, folder)
+        splits = lines.select("file", "block").distinct().count()
+        assert splits > 20 if size == "300" else splits <= 10
+        got = sorted(map(tuple, split_csv.read_split_csv(spark, folder, rows.schema).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    assert got == sorted(cells)
+    assert got == sorted(map(tuple, tables.read_csv(spark, folder, rows.schema).collect()))
+
+
 def test_csv_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('﻿a,b\n"1\n2",NA\n', encoding="utf-8")
@@ -137,89 +231,23 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
 
 
 def test_top_sources(spark):
-    rows = spark.createDataFrame([(i, f"s{i}") for i in range(9)], "n int, source string")
-    order = [F.col("n").desc()]
+    rows = spark.createDataFrame([(i, f"s{i}") for i in range(9)] + [(0, "s8")], "n int, source string")
+    order = [F.col("n").desc(), F.col("source")]
     pick = lambda text: [
-        r["source"]
+        (r["source"], r["n"])
         for r in selection.top_sources(spark.createDataFrame([(text,)], "response string"), rows, "source", order)
         .orderBy("place")
         .collect()
     ]
-    assert pick('["b", "a"]') == ["b", "a"]
+    assert pick('["s3", "a", "s8"]') == [("s3", 3), ("a", None), ("s8", 8)]
     for bad in ("[]", "no json", '{"a": 1}', None):
-        assert pick(bad) == ["s8", "s7", "s6", "s5", "s4"]
-
-
-def test_head_and_tail(spark):
-    keys = lambda n, m: sorted(r["id"] for r in selection.head_and_tail(spark.range(n), "id", m).collect())
-    assert keys(10, 10) == list(range(10))
-    assert keys(30, 10) == [0, 1, 2, 3, 4, 25, 26, 27, 28, 29]
+        assert pick(bad) == [(f"s{n}", n) for n in (8, 7, 6, 5, 4)]
 
 
-def test_widths(spark):
-    rows = spark.createDataFrame([("x", "y" * 90), (None, "")], "long_name string, b string")
-    got = {r["column"]: r["width"] for r in selection.column_widths(rows).collect()}
-    assert got == {"long_name": 11, "b": 50}
-
-
-def test_file_summary(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    spark.range(5).coalesce(1).write.parquet(folder)
-    row = selection.file_summary(spark.read.parquet(folder)).first()
-    assert row["records"] == 5 and row["file_name"].endswith(".parquet") and len(row["modified"]) == 19
-
-
-def test_report(spark):
-    rows = spark.range(10)
-    rules = {"all": F.lit(True), "most": F.col("id") < 8, "few": F.col("id") < 7}
-    got = {r["check"]: r["status"] for r in quality.report(rows, rules).collect()}
-    assert got == {"all": "HEALTHY", "most": "WARNING", "few": "CRITICAL"}
-
-
-def test_connection_rules(spark):
-    rows = spark.createDataFrame(
-        [("h.x", 1, "a@b", "1234"), ("h", 0, "ab", "123"), (None, None, None, None), ("a.", 65536, "@", "    ")],
-        "h string, p int, u string, w string",
-    )
-    got = quality.validated(rows, quality.connection_rules(*[F.col(c) for c in "hpuw"])).collect()
-    flags = [tuple(r)[4:] for r in got]
-    assert flags == [(True,) * 5, (False,) * 5, (False,) * 5, (True, False, True, True, False)]
-
-
-def test_labels(spark):
-    rows = spark.createDataFrame([("a",), ("z",)], "model string")
-    prices = spark.createDataFrame([("a", "free")], "model string, price string")
-    got = {r["model"]: r["label"] for r in catalog.with_label(rows, "model", prices, "price").collect()}
-    assert got == {"a": "a (free)", "z": "z"}
-
-
-# --- injected model ----------------------------------------------------------
-
-
-class Scripted:
-    """Answers by the document's first word."""
-
-    def generate_content(self, parts):
-        if "quota" in parts[1]:
-            raise RuntimeError("429 quota")
-        if "junk" in parts[1]:
-            return "{not json}"
-        return '```json\n{"ten": "Model", "tuoi": 41}\n```'
-
-
-def test_model_and_fallback(spark, tmp_path):
-    docs = spark.createDataFrame(
-        [(1, "good Tên: Regex"), (2, "quota Tên: Regex"), (3, "junk Tên: Regex"), (4, "  \n")], "doc_id long, text string"
-    )
-    asked = model.ask(docs, Scripted, wait=lambda seconds: None).collect()
-    assert sorted((r["doc_id"], r["attempt"]) for r in asked) == [(1, 1)] + [(i, a) for i in (2, 3) for a in (1, 2, 3)]
-    assert all("429" in r["error"] for r in asked if r["doc_id"] == 2)
-    plain = model.extract_with(docs, None)
-    assert {r["doc_id"]: r["info"]["ten"] for r in plain.collect()} == {1: "Regex", 2: "Regex", 3: "Regex", 4: ""}
-
-
-def test_extract_with_client(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "good Tên: Regex"), (3, "junk Tên: Regex"), (4, " ")], "doc_id long, text string")
-    rows = model.extract_with(docs, Scripted, str(tmp_path / "responses"))
-    got = {r["doc_id"]: (r["info"]["ten"], r["info"]["tuoi"]) for r in rows.collect()}
-    assert got == {1: ("Model", "41"), 3: ("Regex", ""), 4: ("", "")}
+def test_top_sources_of_many_answers(spark):
+    rows = spark.createDataFrame([(i, f"s{i}") for i in range(9)], "n int, name string")
+    told = spark.createDataFrame([(1, '["s1", null, "s2"]'), (2, ""), (3, '```json\n["zz"]\n```'), (4, None)], "k int, response string")
+    got = selection.top_sources(told, rows, "name", [F.col("n").asc()], n=2, keys=["k"]).select("k", "place", "source", "n")
+    want = [(1, 1, "s1", 1), (1, 2, "s2", 2), (2, 1, "s0", 0), (2, 2, "s1", 1), (3, 1, "zz", None), (4, 1, "s0", 0), (4, 2, "s1", 1)]
+    assert sorted(map(tuple, got.collect())) == want
+    assert selection.top_sources(told, rows.limit(0), "name", [F.col("n").asc()], keys=["k"]).count() == 3

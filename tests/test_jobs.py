@@ -1,9 +1,15 @@
 import datetime as dt
 
+import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from docintake.operators import intake
 from docintake.plans import jobs
-from docintake.sources import state
+from docintake.sources import messages, state
+from docintake.sources.progress import Progress, read_progress
+from docintake.streaming import intake as rounds
 from docintake.streaming.intake import LANDED, PROCESSED, read_rounds
 from tests.test_intake import docx
 
@@ -62,6 +68,77 @@ def test_mark_stays_when_it_is_ignored(spark, tmp_path):
     assert state.read_mark(spark, args[3]) == 5
 
 
+def test_old_files_are_not_opened(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    args = (spark, str(box), str(tmp_path / "landing"), str(tmp_path / "mark"))
+    put(box, 1, "CV", "one.pdf")
+    assert jobs.fetch_box(*args).count() == 1
+    # opening a file above this length is an error
+    (box / "1.eml").write_bytes(b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        put(box, 2, "CV", "two.pdf")
+        assert jobs.fetch_box(*args).first()["safe_name"] == "two.pdf"
+        with pytest.raises((PySparkException, Py4JError)):
+            jobs.fetch_box(*args, ignore_mark=True)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    plan = intake.after_mark(messages.scan(spark, str(box)), 2)
+    assert "file_path" in plan._jdf.queryExecution().executedPlan().toString()
+    assert [r["uid"] for r in messages.scan(spark, str(box)).select("uid").orderBy("uid").collect()] == [1, 2]
+
+
+def test_stream_of_message_files(spark, tmp_path):
+    box, landing, failed, offsets = (str(tmp_path / n) for n in ("box", "landing", "failed", "offsets"))
+    (tmp_path / "box" / "uid=4").mkdir(parents=True)
+    put(tmp_path / "box", 1, "CV", "old.pdf")
+    put(tmp_path / "box", 2, "CV", "two.pdf")
+    (tmp_path / "box" / "3.eml").write_bytes(b"\n")
+    put(tmp_path / "box" / "uid=4", 99, "CV", "four.pdf")
+    run = lambda: rounds.box_stream(messages.watch(spark, box), landing, failed, offsets, mark=1, once=True).awaitTermination(120)
+    assert run()
+    names = lambda: sorted((r["safe_name"], r["uid"], r["round"]) for r in read_rounds(spark, landing, LANDED).collect())
+    assert names() == [("four.pdf", 4, 0), ("two.pdf", 2, 0)]
+    assert [(r["uid"], r["error"]) for r in read_rounds(spark, failed, rounds.FAILED).collect()] == [(3, messages.NO_MESSAGE)]
+    put(tmp_path / "box", 5, "CV", "two.pdf")
+    put(tmp_path / "box", 6, "CV", "six.pdf")
+    assert run()
+    assert names() == [("four.pdf", 4, 0), ("six.pdf", 6, 1), ("two.pdf", 2, 0)]
+
+
+def test_latest_names_within_the_watermark(spark, tmp_path):
+    landing, offsets, box = (str(tmp_path / n) for n in ("landing", "offsets", "box"))
+    schema = "safe_name string, uid long, part_no long, obvious boolean, sent_iso string, sent timestamp"
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    files = [
+        [("a", 1, 1, True, "x", at(0)), ("b", 2, 1, True, "x", at(5))],
+        [("a", 9, 1, True, "x", at(8)), ("a", 3, 1, True, "late", at(2)), ("c", 4, 1, False, "x", at(9)), ("c", 4, 2, False, "x", at(9))],
+        [("a", 20, 1, True, "x", at(60)), ("d", 21, 1, True, "x", at(61))],
+        [("b", 30, 1, True, "too late", at(6)), ("", 31, 1, True, "x", at(1000))],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(box)
+        names = rounds.latest_names(spark.readStream.schema(schema).parquet(box), "sent", "10 seconds")
+        assert rounds.latest_names_stream(names, landing, offsets, once=True).awaitTermination(120)
+    got = sorted((r["safe_name"], r["uid"], r["part_no"]) for r in read_rounds(spark, landing, rounds.NAMED).collect())
+    assert got == [("a", 9, 1), ("b", 2, 1), ("c", 4, 1), ("d", 21, 1)]
+
+
+def test_progress_of_a_run(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    put(box, 1, "CV", "one.pdf")
+    put(box, 2, "lunch", "menu.pdf")
+    (box / "3.eml").write_bytes(b"\n")
+    for run in ("first", "second"):
+        steps = Progress(spark, str(tmp_path / "progress"), run)
+        jobs.fetch_box(spark, str(box), str(tmp_path / "landing"), str(tmp_path / "mark"), progress=steps)
+    got = sorted((r["run"], r["no"], r["step"], r["rows"], r["failed"]) for r in read_progress(spark, str(tmp_path / "progress")).collect())
+    first = [("first", 1, "parsed", 3, 1), ("first", 2, "kept", 1, 0), ("first", 3, "landed", 1, 0)]
+    assert got == first + [("second", n, s, 0, 0) for n, s in ((1, "parsed"), (2, "kept"), (3, "landed"))]
+
+
 def test_fetch_to_records(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()
