@@ -23,7 +23,7 @@ the join they only stand as witnesses for later sets that are still open.
 
 import math
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ BUCKETS = 1 << 16
 SEEDS = (11, 23, 37, 53)
 BEFORE = 4
 LOW = 0x7FFFFFFF
+#: White space inside a line.
+BLANKS = " \t\x0b\f\r"
 
 
 def words_of(text: Column) -> Column:
@@ -55,9 +57,9 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
 
 def tokens(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs in order of rarity: class, then hash."""
-    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
     low, rest = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
     token = lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(h.bitwiseAND(rest))
+    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, token))
 
 
@@ -66,19 +68,23 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     classes = rarity(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
     lines = rows.select("doc_id", "hash", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
+    # asking the tokens for their number here would compute them twice
+    lines = lines.where(F.btrim("text", F.lit(BLANKS)) != "")
     found = lines.select("doc_id", "hash", "line", tokens(F.col("text"), classes).alias("tokens"))
     n = F.size("tokens")
     first = n - F.floor((4 * n + 4) / 5).cast("int") + 1
     prefix = F.transform(F.slice("tokens", 1, first), lambda t: t.bitwiseAND(F.lit(LOW)).cast("int"))
     one = F.lit(1).cast("long")
 
-    def flipped(half: int) -> Column:
-        own = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * half)
-        flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))
-        return F.aggregate(own, F.lit(0).cast("long"), flip)
 
-    named = found.where(n > 0).select(
-        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), flipped(0).alias("bits"), flipped(1).alias("more"), prefix.alias("prefix")
+    def flipped(bit) -> Column:
+        flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate("tokens", F.lit(0).cast("long"), flip)
+
+    # all words folded into 64 bits, and those of one half: what is not in that half is in the other
+    bits, more = flipped(lambda t: one), flipped(lambda t: F.shiftright(t, 6).bitwiseAND(one))
+    named = found.select(
+        "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix")
     )
     return kept(named, "lines")
 
@@ -91,13 +97,19 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): every set with the earliest of those that share two prefix words with it, and with the few before it."""
+    """(x, y): every set with the earliest of those that share two prefix words with it, and with the few before it.
+
+    Half of the keys leave out the rarest word, which is what sets apart the
+    lines of one template with a number in it.
+    """
 
-    def key(seed: int) -> Column:
-        mixed = F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(seed))))
-        return F.xxhash64(mixed[0], mixed[1], F.lit(seed))
+    def key(seed: int, words: Column) -> Column:
+        mixed = F.sort_array(F.transform(words, lambda t: F.xxhash64(t, F.lit(seed))))
+        return F.when(F.size(words) >= 2, F.xxhash64(mixed[0], mixed[1], F.lit(seed)))
 
-    keyed = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.explode(F.array(*map(key, SEEDS))).alias("key"))
+    common = F.when(F.size("prefix") >= 3, F.slice("prefix", 2, F.size("prefix"))).otherwise(F.col("prefix"))
+    keys = [key(seed, F.col("prefix") if n % 2 == 0 else common) for n, seed in enumerate(SEEDS)]
+    keyed = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.explode(F.array(*keys)).alias("key"))
     along = Window.partitionBy("key").orderBy("no_id", "doc_id", "id")
     before = [F.first("id").over(along), *(F.lag("id", n).over(along) for n in range(1, BEFORE + 1))]
     led = keyed.select(F.col("id").alias("y"), F.array(*before).alias("before"))
@@ -113,35 +125,42 @@ def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): pairs that pass all filters and whose later member is open."""
-    rows = sets.where("n >= 4").select("id", "doc_id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("at", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    rows = rows.select("word", "id", "doc_id", "bits", "more", packed.alias("p"))
-    x, y = rows.alias("x"), rows.alias("y")
-
-    def parts(side: str) -> tuple[Column, Column, Column]:
-        p = F.col(f"{side}.p")
-        return F.shiftright(p, 32), F.shiftright(p.bitwiseAND(F.lit(0xFFFFFFFF)), 1), p.bitwiseAND(F.lit(1))
-
-    (nx, ix, ox), (ny, iy, oy) = parts("x"), parts("y")
-    both = nx + ny
-    x_first, y_first = F.col("x.doc_id") < F.col("y.doc_id"), F.col("x.doc_id") > F.col("y.doc_id")
-    # within a document, and without ids, either may be the later one
-    later_open = F.when(x_first, oy).when(y_first, ox).otherwise(ox + oy)
-    fits = (
-        (F.col("x.word") == F.col("y.word"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (later_open > 0)
-        & near(nx, ny, [("x.bits", "y.bits"), ("x.more", "y.more")])
-        & (9 * (nx - ix) >= 4 * both)
-        & (9 * (ny - iy) >= 4 * both)
-    )
-    return kept(x.join(y, fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "prefix-pairs")
-
+    """(x, y): pairs that pass all filters, at least one of them open.
 
-def near(nx: Column, ny: Column, signatures: list[tuple[str, str]]) -> Column:
+    Open sets meet each other, and closed sets meet open ones as witnesses;
+    closed sets never meet, so a family of variants that are closed already
+    makes no pairs in the square of its size.
+    """
+    rows = sets.where("n >= 4").select("id", "doc_id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    rows = rows.select("word", "id", "doc_id", "bits", "more", packed.alias("p"), "open")
+    open_, closed = (rows.where(c).drop("open") for c in ("open", "not open"))
+
+    # both joins read the same columns of the open sets, which are dealt out once for them
+    def met(x: DataFrame, y: DataFrame, order: Column) -> DataFrame:
+        (nx, ix), (ny, iy) = ((F.shiftright(f"{side}.p", 32), F.col(f"{side}.p").bitwiseAND(F.lit(0xFFFFFFFF))) for side in "xy")
+        both = nx + ny
+        fits = (
+            (F.col("x.word") == F.col("y.word"))
+            & order
+            & near("x.", "y.", nx, ny)
+            & (9 * (nx - ix) >= 4 * both)
+            & (9 * (ny - iy) >= 4 * both)
+        )
+        return x.alias("x").join(y.alias("y"), fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+
+    # within a document, and without ids, either may be the later one; pairs of open sets are met once
+    x, y = F.col("x.doc_id"), F.col("y.doc_id")
+    once = (x < y) | (x.isNotNull() & y.isNull()) | (x.eqNullSafe(y) & (F.col("x.id") < F.col("y.id")))
+    witness = F.coalesce(x <= y, y.isNull())
+    found = met(open_, open_, once).union(met(closed, open_, witness))
+    return kept(found.distinct(), "prefix-pairs")
+
+
+def near(x: str, y: str, nx: Column, ny: Column) -> Column:
     """The length filter and the signature filter."""
-    apart = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in signatures])
+    all_, half = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("bits", "more"))
+    apart = F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))
     return (4 * nx <= 5 * ny) & (4 * ny <= 5 * nx) & (9 * apart <= nx + ny)
 
 
@@ -154,16 +173,19 @@ def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, written."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("end"))
     place = F.struct("no_id", "doc_id", "hash", "line")
-    placed = thinned(sets, F.col("id"), ends, "end").select("id", place.alias("at"), "n", "bits", "more")
+    placed = thinned(sets, F.col("id"), ends, "end").select("id", F.struct(place.alias("at"), "n", "bits", "more").alias("s"))
     known = pairs
     for end in ("x", "y"):
-        one = placed.select(F.col("id").alias(end), *[F.col(c).alias(c + end) for c in ("at", "n", "bits", "more")])
-        known = known.join(one, end)
-    known = known.where(near(F.col("nx"), F.col("ny"), [("bitsx", "bitsy"), ("morex", "morey")]))
-    second = F.when(F.col("atx") < F.col("aty"), F.col("y")).otherwise(F.col("x"))
-    known = kept(known.select(second.alias("later"), address("atx").alias("kx"), address("aty").alias("ky")), "line-pairs")
+        known = known.join(placed.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")), end)
+    known = known.where(near("sx.", "sy.", F.col("sx.n"), F.col("sy.n")))
+    second = F.when(F.col("sx.at") < F.col("sy.at"), F.col("y")).otherwise(F.col("x"))
+    ends = [address("sx.at").alias("kx"), address("sy.at").alias("ky"), F.array("sx.at.hash", "sy.at.hash").alias("hashes")]
+    known = kept(known.select(second.alias("later"), *ends), "line-pairs")
 
     wanted = known.select(F.explode(F.array("kx", "ky")).alias("wanted")).distinct()
+    # only texts with such a line are cut into lines
+    hashes = known.select(F.explode("hashes").alias("text_hash"))
+    texts = thinned(texts, F.col("id.hash"), hashes, "text_hash")
     lines = texts.select(F.col("id").alias("a"), F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
     lines = lines.select(address().alias("k"), "text")
     lines = thinned(lines, F.col("k"), wanted, "wanted").join(wanted, F.col("k") == F.col("wanted"), "left_semi")
