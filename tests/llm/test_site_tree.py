@@ -1,10 +1,29 @@
 import html
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
 
+from docintake.llm.common import text_of
 from docintake.llm.html_blocks import Parser
-from docintake.llm.site_tree import extracted, main_text
+from docintake.llm.site_tree import (
+    BESIDE,
+    CONTENT,
+    LEAST,
+    PAGES,
+    PRESENTATION,
+    counted,
+    extracted,
+    host_of,
+    importances,
+    main_text,
+    node_rows,
+    parsed,
+    template_nodes,
+)
 
 KIND = "page_id long, url string, html string, host string, path string, text string"
 
@@ -157,3 +176,97 @@ def test_near_copies_of_an_article_stay(spark):
 
     pages = [(i, "http://s.example/", f"<article><div class=entry>{''.join(f'<p>{x}</p>' for x in lines(i))}</div></article>") for i in range(100)]
     assert texts(spark, pages) == {i: "\n".join(lines(i)) for i in range(100)}
+
+
+STORY = "<p>Story</p>"
+
+
+@pytest.mark.parametrize(
+    ("markup", "want"),
+    [
+        ('<form id="aspnetForm"><div><article><h1>T</h1><p>Body</p></article></div></form>', "T\nBody"),
+        ('<form id="aspnetForm"><nav>n</nav><div><h1>T</h1><p>Body</p></div><footer>f</footer></form>', "T\nBody"),
+        ("<nav><main><p>Story</p></main></nav>", "Story"),
+        ("<div>Text here <label>L<p>next</p></div>", "Text here\nnext"),
+        ("<div><label><p>No</p></label><p>yes</p></div>", "yes"),
+        ("<div><button><div>Icon</div></button>text</div>", "text"),
+        ("<p>Long paragraph text <button>OK</p><p>next</p>", "Long paragraph text\nnext"),
+        ("<p>a <span hidden>secret</span> b</p>", "a b"),
+        ('<p>a <i aria-hidden="true">x</i>b</p><p>c <audio>fallback</audio>d<button>OK</button></p>', "a b\nc d"),
+        (f'<article>{STORY}<section id="comments"><p>Nice post!</p></section></article>', "Story"),
+        (f'<article>{STORY}<div class="comments-area"><h2>3 Comments</h2><p>Nice!</p></div><ol class="comment-list"><li>x</ol></article>', "Story"),
+        (f'<article>{STORY}<section id="comments-on-the-theory"><h2>Comments on the theory</h2></section></article>', "Story\nComments on the theory"),
+        (f'<div class="cookie-banner">C</div><div class="nav-menu">N</div><div class="site-nav">S</div><div class="ad-banner">A</div>{STORY}', "Story"),
+        ('<div class="content-with-sidebar"><p>Story</p></div><div class="right-sidebar"><p>More</p></div>', "Story\nMore"),
+        ('<article><header><h1>T</h1><p class="standfirst">Lead</p><time>3 May</time></header><p>x</p></article>', "T\nLead\nx"),
+        ("<main><header><p>Intro</p></header><p>x</p></main>", "Intro\nx"),
+        (f"<aside><article>Teaser</article></aside>{STORY}", "Story"),
+    ],
+)
+def test_no_text_lost_and_no_remark_kept(markup, want):
+    assert alone(markup) == want
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<div>x" * 40_000,
+        "<p>" + "</b>x" * 80_000,
+        "<font>x" * 80_000,
+        "<ul>" + "<div>" * 20_000 + "<li>x" * 40_000,
+        '<div class="ad">x' * 20_000,
+        "<p><label>x<div>" * 20_000,
+        "<div>" * 30_000 + "x</i>" * 30_000,
+    ],
+)
+def test_time_does_not_grow_with_depth(markup):
+    began = time.process_time()
+    Parser().read(markup)
+    assert time.process_time() - began < 10  # minutes if every step searched the open elements
+
+
+def by_hand(pages):
+    """Importances of one host's merged nodes from their definition, over page texts."""
+    read = [Parser().read(p) for p in pages]
+    rows = {tuple(node_rows(p)): p for p in read}  # pages of equal content count once here
+    held, texts, parents = defaultdict(Counter), defaultdict(Counter), {}
+    for found in rows:
+        for path, parent, kind, value in found:
+            (held if kind == PRESENTATION else texts)[path][value] += 1
+            parents[path] = max(parent, parents.get(path, parent))
+    out = {}
+    for path, shapes in held.items():
+        m = sum(shapes.values())
+        if m == 1:
+            presentation = content = 1.0
+        else:
+            presentation = -sum(c / m * math.log(c / m, m) for c in shapes.values())
+            each = [math.log(c, m) for c in texts[path].values() for _ in range(c)]
+            content = 1 - sum(each) / len(each) if each else 1.0
+        out[path] = (parents[path], m, presentation, content, bool(texts[path]))
+    return out
+
+
+def test_importances_against_their_definition(spark):
+    kinds = ["<ul><li>Home<li>About</ul>", "<ul><li>Home<li>News<li>Shop</ul>", "<p>Welcome</p>"]
+    pages = [
+        f"<body><div class=top>{kinds[i % 3]}</div><div class=text><h2>Story {i}</h2>{'<p>And more of it</p>' * (i % 4 > 1)}<p>Told {i * 7}</p></div>"
+        f"<div class=end>Written in {['May', 'June'][i % 2]}</div></body>"
+        for i in range(17)
+    ]
+    frame = spark.createDataFrame([(str(i), "http://s.example/", p) for i, p in enumerate(pages)], "key string, url string, html string")
+    merged = importances(counted(parsed(frame.withColumn("host", host_of()).withColumn("html", text_of("html"))))).cache()
+    want = by_hand(pages)
+    got = {r.path: r for r in merged.collect()}
+    assert got.keys() == want.keys() and len(want) > 6
+    for path, (parent, m, presentation, content, leaf) in want.items():
+        r = got[path]
+        assert (r.parent, r.pages, r.leaf) == (parent, m, leaf)
+        assert (r.presentation, r.content) == (pytest.approx(presentation, abs=1e-9), pytest.approx(content, abs=1e-9))
+
+    def weight(path):
+        parent, m, _, content, leaf = want[path]
+        return CONTENT * content + (1 - CONTENT) * (want[parent][2] if parent in want else 1.0)
+
+    low = {p: weight(p) < LEAST for p, x in want.items() if x[4] and x[1] >= PAGES and weight(p) < BESIDE}
+    assert {r.path: r.sure for r in template_nodes(merged).collect()} == low and low
