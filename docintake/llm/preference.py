@@ -4,7 +4,8 @@ A conversation is the set of its turns in the order of (turn, role, digest of
 the text).  Two conversations first differ at the smallest turn that only one
 of them has, so the longest common prefix is everything before it, found by
 counting sides per turn and one minimum per pair: no conversation is ever
-gathered into one value or one task, however long it is.
+gathered into one value, and turns meet what is known of their conversation
+salted by turn, so that one of any length is spread over ``SALTS`` tasks.
 
 The result has one row per rendered turn.  Prompt turns come once a pair.  In
 the completions only what an assistant says, and the mark that ends it, bears
@@ -19,12 +20,20 @@ from docintake.llm.common import kept, numbered
 
 ASSISTANT = "assistant"
 PLACE = ("turn", "role", "digest")
+SALTS = 64
 
 
 def place() -> Column:
     return F.struct(*PLACE)
 
 
+def beside(turns: DataFrame, known: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """Turns with a row known of their conversation; a copy of it goes to each salt of the turns."""
+    salted = turns.withColumn("__salt", F.pmod(F.xxhash64(*PLACE), F.lit(SALTS)))
+    copies = known.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, on & (F.col("__salt") == F.col("__at")), how).drop("__salt", "__at")
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
     """Turns with a digest of their text; repeated rows count once, null roles and texts are empty."""
     role = F.coalesce("role", F.lit("")).alias("role")
@@ -64,10 +73,10 @@ def sides_of(conversations: DataFrame) -> DataFrame:
     chosen = turns.select(F.col("conv").alias("pair"), F.lit("chosen").alias("side"), *PLACE, "text")
 
     alike = pairs.where("same").select(F.col("conv").alias("pair"), F.col("other").alias("of"))
-    whole = turns.join(alike, F.col("conv") == F.col("of")).select("pair", F.lit("rejected").alias("side"), *PLACE, "text")
+    whole = beside(turns, alike, F.col("conv") == F.col("of")).select("pair", F.lit("rejected").alias("side"), *PLACE, "text")
 
     alone = pairs.where("not same").select(F.col("conv").alias("pair"), "other", "last", "other_last")
-    own = turns.join(alone, F.col("conv") == F.col("pair"))
+    own = beside(turns, alone, F.col("conv") == F.col("pair"))
     before = own.where(F.col("last").isNull() | (place() != F.col("last"))).select("pair", F.lit("rejected").alias("side"), *PLACE, "text")
     given = alone.where("last is not null and other_last is not null")
     answer = turns.join(given, (F.col("conv") == F.col("other")) & (place() == F.col("other_last")))
@@ -92,7 +101,7 @@ def formatted(sides: DataFrame) -> DataFrame:
     """
     once = sides.groupBy("pair", *PLACE).agg(F.count_distinct("side").alias("sides"))
     split = once.where("sides = 1").groupBy("pair").agg(F.min(place()).alias("split")).withColumnRenamed("pair", "of")
-    rows = sides.join(split, F.col("pair") == F.col("of"), "left")
+    rows = beside(sides, split, F.col("pair") == F.col("of"), "left")
     shared = F.col("split").isNull() | (place() < F.col("split"))
     rows = rows.where(~shared | (F.col("side") == "chosen"))
     section = F.when(shared, F.lit("prompt")).otherwise(F.col("side"))

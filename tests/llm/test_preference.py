@@ -3,7 +3,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from docintake.llm.preference import formatted, preferences, turns_of
+from docintake.llm.preference import PLACE, SALTS, beside, formatted, preferences, turns_of
 from docintake.llm.queries import ORACLE
 
 import pyspark.sql.functions as F
@@ -74,3 +74,25 @@ def test_hard_rows(spark):
     assert preferences(talks(spark, [])).collect() == []
     one = preferences(talks(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")])).collect()
     assert {r.section for r in one} == {"prompt"}
+
+
+def test_one_conversation_of_most_rows(spark):
+    # two conversations of 3,000 turns that part at turn 2,500, beside short ones
+    long = [(c, n, ("user", "assistant")[n % 2], f"turn {n}{' of two' if c == 2 and n == 2501 else ''}") for c in (1, 2) for n in range(3000)]
+    short = [(c, n, ("user", "assistant")[n % 2], f"said {c} {n}") for c in range(3, 40) for n in range(4)]
+    got = defaultdict(list)
+    for r in preferences(talks(spark, long + short)).collect():
+        got[r.pair_id, r.section].append(r.turn)
+    assert sorted(got[1, "prompt"]) == list(range(2501))
+    assert sorted(got[1, "chosen"]) == sorted(got[1, "rejected"]) == list(range(2501, 3000))
+    for c in range(3, 40):
+        assert sorted(got[c, "prompt"]) == [0, 1, 2] and got[c, "chosen"] == [3]
+
+
+def test_a_conversation_is_spread_over_the_salts(spark):
+    turns = turns_of(talks(spark, [(1, n, "user", f"turn {n}") for n in range(2000)]))
+    known = spark.range(1).selectExpr("1L as of", "'x' as found")
+    rows = beside(turns, known, F.col("conv.conv_id") == F.col("of"))
+    assert rows.count() == 2000 and "__salt" not in rows.columns
+    salts = turns.select(F.pmod(F.xxhash64(*PLACE), F.lit(SALTS)).alias("s")).distinct().count()
+    assert salts == SALTS
