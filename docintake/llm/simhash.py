@@ -206,14 +206,24 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     shingle.  Null doc_ids never are a component's id unless it has no other.
     Repeated rows give repeated result rows; an empty table an empty result.
     """
-    prints = kept(fingerprints(docs, doc_id, text, shingle), "prints")
+    prints = kept(fingerprints(docs, doc_id, text, shingle).withColumn("part", F.spark_partition_id()), "prints")
     nodes = kept(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "print-nodes")
     roots = components(near_links(nodes, radius)).select(F.col("node").alias("print"), "root")
     rooted = kept(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "print-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = rooted.join(least, "root").select("print", "component_id")
     printed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
-    return prints.join(answer, "print").select("doc_id", printed, "component_id")
+    return answered(prints, answer).select("doc_id", printed, "component_id")
+
+
+def answered(prints: DataFrame, answer: DataFrame) -> DataFrame:
+    """The rows with their fingerprint's answer, which goes to every part that has rows of it.
+
+    A part is the rows of one input task, so the fingerprint of a text that a
+    third of all rows share is as many keys as tasks have read it.
+    """
+    asked = prints.select("part", "print").distinct().join(answer, "print")
+    return prints.join(asked, ["part", "print"])
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from docintake.llm.components import components
-from docintake.llm.simhash import fingerprint_of, forest_links, near_copies, near_links, without_near_copies
+from docintake.llm.simhash import answered, fingerprint_of, forest_links, near_copies, near_links, without_near_copies
 
 from tests.llm.fixtures import TEXTS, documents, given
 
@@ -94,3 +94,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (500, 500)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 499: 499, 500: 499}
+
+
+def test_a_text_of_a_third_of_all_rows_is_as_many_keys_as_parts(spark):
+    rows = [(i, "one and the same text of many rows" if i % 3 == 0 else f"text {i} of words {i * i} here {i * 7}") for i in range(3000)]
+    docs = documents(spark, rows).repartition(12)
+    got = {r.doc_id: r for r in near_copies(docs).collect()}
+    classes = brute_classes({brute_print(t) for _, t in rows})
+    least = {}
+    for i, t in rows:
+        c = classes[brute_print(t)]
+        least[c] = min(least.get(c, i), i)
+    assert {i: r.component_id for i, r in got.items()} == {i: least[classes[brute_print(t)]] for i, t in rows}
+    prints = spark.range(0, 3000, 1, 12).selectExpr("id % 3 = 0 as hot", "id as doc_id", "spark_partition_id() as part")
+    prints = prints.selectExpr("doc_id", "part", "if(hot, 0L, doc_id) as print")
+    answer = prints.select("print").distinct().selectExpr("print", "print as component_id")
+    rows = answered(prints, answer)
+    assert sorted((r.doc_id, r.component_id) for r in rows.collect()) == [(i, i if i % 3 else 0) for i in range(3000)]
+    assert prints.where("print = 0").select("part", "print").distinct().count() == 12
