@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_ENTRIES = 300_000
-TEXT_AT_ONCE = 20_000_000
+TEXT_AT_ONCE = 10_000_000
 CHUNKS_AT_ONCE = 200_000
 #: Punctuation that never takes part in a contraction rule.
 TAIL = ".,;:!?%&$#*|"
@@ -66,13 +66,16 @@ class ChunkIds:
 
     def encode(self, chunked: pa.ListArray):
         """For some rows after the other: their ids in one array, and the bounds of the rows in it."""
+        rows = chunked.offsets.to_numpy() - chunked.offsets[0].as_py()
         coded = chunked.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids = self.learn(coded.dictionary.to_pylist())
+        del chunked  # the chunks themselves go before their ids come
+        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del coded
+        pa.default_memory_pool().release_unused()
+        ids = self.learn(distinct)
         flat = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
-        rows = chunked.offsets.to_numpy() - chunked.offsets[0].as_py()
         first = 0
         while first < len(rows) - 1:
             last = max(first + 1, int(np.searchsorted(rows, rows[first] + CHUNKS_AT_ONCE, "right")) - 1)
