@@ -116,8 +116,10 @@ class ByteCodec:
         return found.ids, found.offsets
 
     def decode(self, ids) -> bytes:
-        """The bytes of the ids; unknown ids are an error."""
+        """The bytes of the ids; unknown ids are an error, negative ones too."""
         ids = np.asarray(ids, np.int64)
+        if len(ids) and ids.min() < 0:
+            raise IndexError("negative token id")
         return gathered(self.flat, self.sizes, self.starts, ids, np.array([0]))[0].tobytes()
 
     def decode_pieces(self, ids) -> list[str]:
@@ -130,7 +132,11 @@ class ByteCodec:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, starts, ends of every text; start and end count characters of the text."""
+    """doc_id, ids, starts, ends of every text; start and end count characters of the text.
+
+    Rows follow the same rules as in :func:`round_trip`.  A token that holds a
+    part of a character's bytes has the whole character's place.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     json = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 

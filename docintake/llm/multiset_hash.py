@@ -9,7 +9,8 @@ put in or taken out by adding or subtracting its vector.
 
 The narrow lanes keep distances: the squared length of the difference of two
 vectors estimates how many blocks the texts do not share, whatever their
-length, and so their likeness.
+length, and so their likeness.  A text of up to four words is one block, so any
+change of its words makes it wholly different.
 """
 
 from pyspark.sql import Column, DataFrame, Window

@@ -48,6 +48,41 @@ def test_pieces_and_offsets(codec):
     assert offsets[-1][1] == len(text)
 
 
+def touched(codec, text, ids):
+    """The characters whose bytes each token holds, counted byte by byte."""
+    of_byte = [n for n, c in enumerate(text) for _ in c.encode()]
+    at, places = 0, []
+    for i in ids:
+        size = len(codec.table[i])
+        places.append((of_byte[at], of_byte[at + size - 1] + 1))
+        at += size
+    return places
+
+
+def test_offsets_are_the_characters_of_the_bytes(codec):
+    for text in odd_texts()[::7] + [t or "" for _, t in TEXTS + given()]:
+        ids, offsets = codec.ids_and_offsets(text)
+        assert offsets == touched(codec, text, ids), text
+
+
+def test_ids_outside_the_vocabulary_are_errors(codec):
+    assert codec.decode([]) == b""
+    for wrong in (-1, len(codec.table)):
+        with pytest.raises(IndexError):
+            codec.decode([0, wrong])
+
+
+def test_encoded_rows_hold_ids_and_offsets(spark, codec):
+    got = sorted((r.doc_id, r.ids, list(zip(r.starts, r.ends))) for r in encoded(documents(spark), RANKS, P.PATTERN).collect() if r.doc_id is not None)
+    want = []
+    for i, t in TEXTS:
+        ids, offsets = codec.ids_and_offsets(t or "")
+        if i is not None:
+            want.append((i, ids, offsets))
+    assert got == sorted(want)
+    assert encoded(documents(spark, []), RANKS, P.PATTERN).collect() == []
+
+
 def test_query_rows(spark, library):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in round_trip(documents(spark), RANKS, P.PATTERN).collect()}
     want = set()
