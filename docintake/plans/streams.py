@@ -125,8 +125,7 @@ def q_stream_messages(t: Tables):
     box, landing, failed, offsets = (shared_folder(t.spark, n) for n in ("box", "landing", "failed", "offsets"))
     raw = _message_texts(t)
     for half in (0, 1):
-        some = raw.where(F.col("uid") % 2 == half)
-        some.repartition("uid").write.mode("append").partitionBy("uid").text(box)
+        messages.put_files(raw.where(F.col("uid") % 2 == half), box)
         arriving = messages.watch(t.spark, box, names="part-*", per_round=1_000_000)
         intake.box_stream(arriving, landing, failed, offsets, RULES, once=True).awaitTermination()
     landed = intake.read_rounds(t.spark, landing, intake.LANDED)

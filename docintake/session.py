@@ -33,6 +33,21 @@ def local_session(cpus: int | str = "*", app: str = "docintake", **conf: str) ->
     return spark
 
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+TASKS_A_CORE = 4
+
+
+def list_in_few_tasks(spark: SparkSession) -> None:
+    """Let the session list folders and files in a few tasks a core.
+
+    Spark gives every path a task of its own, up to 10,000, and a task takes
+    far longer to start than to list a path.  A lower setting stays.
+    """
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(LISTING_TASKS)) > tasks:
+        spark.conf.set(LISTING_TASKS, str(tasks))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

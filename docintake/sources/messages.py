@@ -6,13 +6,14 @@ from email.header import decode_header, make_header
 from email.message import Message
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docintake.fixed_values import FETCH_BATCH
 from docintake.functions import text, times
 from docintake.schema import MESSAGES
-from docintake.session import send_by_value
+from docintake.session import list_in_few_tasks, send_by_value
 
 send_by_value(__name__)
 
@@ -29,16 +30,52 @@ def numbered(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, folder: str, names: str = "*.eml") -> DataFrame:
     """Message files of a folder and those below it; Spark leaves out files without a byte."""
+    list_in_few_tasks(spark)
     options = {"pathGlobFilter": names, "recursiveFileLookup": "true"}
     return numbered(spark.read.format("binaryFile").options(**options).load(folder))
 
 
 def watch(spark: SparkSession, folder: str, names: str = "*.eml", per_round: int = FETCH_BATCH) -> DataFrame:
     """The same as a stream, so many files a round."""
+    list_in_few_tasks(spark)
     options = {"pathGlobFilter": names, "recursiveFileLookup": "true", "maxFilesPerTrigger": per_round}
     return numbered(spark.readStream.format("binaryFile").schema(RAW).options(**options).load(folder))
 
 
+A_FOLDER = 4096
+
+
+def put_files(rows: DataFrame, folder: str) -> None:
+    """Write ``uid, value`` as message files ``part-<uid>.eml``, ``A_FOLDER`` ids a folder; rows of one id share a file, rows without one are left out.
+
+    The tasks write the files themselves.  Spark's writer makes a folder for
+    every file, commits the folders one after the other in the driver, and on
+    a local file system starts a process for the mode of each file.  A
+    repeated task writes the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = pafs.FileSystem.from_uri(folder)
+        made, uid, out = set(), None, None
+        for batch in batches:
+            for own, value in zip(batch["uid"], batch["value"], strict=True):
+                if out is None or own != uid:
+                    if out is not None:
+                        out.close()
+                    place = f"{root}/{own // A_FOLDER}"
+                    if place not in made:
+                        system.create_dir(place, recursive=True)
+                        made.add(place)
+                    uid, out = own, system.open_output_stream(f"{place}/part-{own}.eml")
+                out.write(f"{value or ''}\n".encode())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"uid": []}, dtype="int64")
+
+    files = rows.select(F.col("uid").cast("long").alias("uid"), "value").where("uid is not null").repartition("uid").sortWithinPartitions("uid")
+    files.mapInPandas(run, "uid long").write.format("noop").mode("overwrite").save()
+
+
 def _decoded(value: str | None) -> str | None:
     """A header text with its encoded words read; unreadable ones stay as they are."""
     if value is None:

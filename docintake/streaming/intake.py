@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docintake.fixed_values import DEFAULT_KEYWORDS, DOCUMENT_SUFFIXES, OBVIOUS_NAME_WORDS, POLL_SECONDS
 from docintake.operators import intake
-from docintake.session import written
+from docintake.session import TASKS_A_CORE, written
 from docintake.sources import messages
 
 LANDED = T.StructType(
@@ -107,11 +107,16 @@ FAILED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("path",
 
 
 def box_round(landing: str, failed: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
-    """One round over raw message files: parse each once, note those that are no messages, land the parts of the others."""
+    """One round over raw message files: parse each once, note those that are no messages, land the parts of the others.
+
+    Spark reads 32 small files a task; a task would take longer to start than
+    to parse them, so a round has a few tasks a core.
+    """
     land = land_round(landing, rules, counters)
 
     def run(raw: DataFrame, number: int) -> None:
-        parsed = written(messages.parse(raw), "messages")
+        few = raw.coalesce(TASKS_A_CORE * raw.sparkSession.sparkContext.defaultParallelism)
+        parsed = written(messages.parse(few), "messages")
         write_round(parsed.where(F.col("error").isNotNull()).select(FAILED.fieldNames()), failed, number)
         land(parsed.where(F.col("error").isNull()), number)
 

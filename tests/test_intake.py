@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docintake import session
 from docintake.operators import intake, ordering, records
 from docintake.sources import attachments, messages, state
 from docintake.streaming import intake as stream
@@ -321,3 +322,30 @@ def test_sent_time_rounds(spark, tmp_path):
     write(spark.createDataFrame([("a", "2", 1), ("a", None, 2)], schema), 1)
     got = {r["safe_name"]: r["sent_iso"] for r in stream.current_sent_times(spark, folder).collect()}
     assert got == {"a": "", "b": "1"}
+
+
+def test_message_files_are_few_folders_and_few_tasks(spark, tmp_path):
+    box, landing, failed, offsets = (str(tmp_path / n) for n in ("box", "landing", "failed", "offsets"))
+    whole = 'Subject: a cv\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="{}.pdf"\n\nx'
+    texts = [(n, whole.format(n) if n % 7 else "") for n in range(300)] + [(8, whole.format("other")), (5000, None), (None, "lost")]
+    tasks = session.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    old = spark.conf.get(session.LISTING_TASKS)
+    try:
+        spark.conf.set(session.LISTING_TASKS, "10000")
+        messages.put_files(spark.createDataFrame(texts, "uid int, value string"), box)
+        arriving = messages.watch(spark, box, names="part-*", per_round=1_000)
+        assert int(spark.conf.get(session.LISTING_TASKS)) == tasks
+        stream.box_stream(arriving, landing, failed, offsets, once=True).awaitTermination()
+        spark.conf.set(session.LISTING_TASKS, "1")
+        assert messages.scan(spark, box, "part-*").count() == 301
+        assert spark.conf.get(session.LISTING_TASKS) == "1"
+    finally:
+        spark.conf.set(session.LISTING_TASKS, old)
+    assert sorted(p.name for p in (tmp_path / "box").iterdir()) == ["0", "1"]
+    landed = stream.read_rounds(spark, landing, stream.LANDED)
+    # a row of an id that is there already is the rest of its file
+    assert {(r["uid"], r["safe_name"][-4:]) for r in landed.collect()} == {(n, ".pdf") for n in range(300) if n % 7}
+    bad = stream.read_rounds(spark, failed, stream.FAILED)
+    assert {r["uid"] for r in bad.collect()} == {*range(0, 300, 7), 5000}
+    # at most a file for each task of the round, though each of its 301 files was read
+    assert len(list((tmp_path / "landing").glob("round=0/*.parquet"))) <= tasks
