@@ -34,10 +34,16 @@ END = id_bytes([0])
 
 
 WORD = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 class WordTokenizer:
-    """Ids of strings; words are encoded in runs, in which the ids that end a word show."""
+    """Ids of strings.
+
+    Words of ASCII letters go to the library's merge model at once where the
+    steps before it leave such words whole and as they are; other words are
+    encoded in runs, in which the ids that end a word show.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,10 +52,21 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        steps, added = self.tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        normal = steps.normalizer.normalize_str(LETTERS) if steps.normalizer else LETTERS
+        cut = steps.pre_tokenizer.pre_tokenize_str(normal) if steps.pre_tokenizer else [(normal, (0, len(normal)))]
+        # a special string among the words would be found before the merge model
+        special = any(t.content.isascii() and t.content.isalpha() for t in added)
+        self.plain = not special and [t for t, _ in cut] == [LETTERS]
 
     def many(self, texts: list[str]) -> list[bytes]:
         words = [t for t in texts if WORD.fullmatch(t)]
-        known = dict(zip(words, joined(self.tokenizer, words, " ", self.ends, 1), strict=True))
+        known = {}
+        if self.plain:
+            model = self.tokenizer.model
+            known = {t: id_bytes([x.id for x in model.tokenize(t)]) for t in words if t.isascii()}
+            words = [t for t in words if t not in known]
+        known.update(zip(words, joined(self.tokenizer, words, " ", self.ends, 1), strict=True))
         rest = [t for t in texts if t not in known]
         known.update((t, id_bytes(x.ids)) for t, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [known[t] for t in texts]

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from docintake.llm import packing
 from docintake.llm.packing import Bins, best_fit_sequences, improve, pack
 
 from tests.llm.fixtures import TEXTS, documents, given
@@ -75,3 +76,18 @@ def test_search_empties_sequences():
 
 def test_empty_table(spark):
     assert best_fit_sequences(documents(spark, []), PATH).collect() == []
+
+
+def test_plain_words_go_to_the_merge_model(monkeypatch, tmp_path):
+    words = ["a", "the", "zqxjkvb", "abcdefghijklmnopqrstuvwxyz" * 3, "tokenization", "stra\xdfe", "l\xe9t\xe9", "it's", "Up", "x1", "cat"]
+    library = Tokenizer.from_file(PATH)
+    wanted = [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    runs, whole = [], packing.joined
+    monkeypatch.setattr(packing, "joined", lambda tokenizer, texts, *more: runs.append(texts) or whole(tokenizer, texts, *more))
+    assert packing.WordTokenizer(PATH).many(words) == wanted
+    # only words with other letters are encoded in runs
+    assert runs == [["stra\xdfe", "l\xe9t\xe9"]]
+    # a special string that looks like a word comes before the merge model
+    library.add_special_tokens(["cat"])
+    library.save(str(tmp_path / "more.json"))
+    assert not packing.WordTokenizer(str(tmp_path / "more.json")).plain
