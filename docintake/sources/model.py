@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,10 @@ INSTRUCTION = (
     f"Its keys are {', '.join(INFO_KEYS)}; every value is a text, empty when the document does not tell."
 )
 
+#: Blocks that are Python texts at the same time; a whole Arrow batch holds up to 64 MB of them.
+BLOCKS_AT_ONCE = 256
+ARROW = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("attempt", pa.int32()), ("response", pa.string()), ("error", pa.string())])
+
 
 class Client(Protocol):
     def generate_content(self, parts: list[str]) -> str: ...
@@ -69,19 +73,21 @@ def ask(
     otherwise repeat paid calls.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
         for batch in batches:
-            rows = [
-                (doc_id, block, attempt, answer, error)
-                for doc_id, block, document in zip(batch["doc_id"], batch["block"], batch["text"], strict=True)
-                for attempt, answer, error in _attempts(client, instruction, document, attempts, wait)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "block", "attempt", "response", "error"])
+            for at in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                some = batch.slice(at, BLOCKS_AT_ONCE).to_pydict()
+                rows = [
+                    {"doc_id": doc_id, "block": block, "attempt": attempt, "response": answer, "error": error}
+                    for doc_id, block, document in zip(some["doc_id"], some["block"], some["text"], strict=True)
+                    for attempt, answer, error in _attempts(client, instruction, document, attempts, wait)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     asked = documents.where(~text.is_blank(F.col("text")))
     asked = asked.select("doc_id", F.posexplode(text.blocks(F.col("text"))).alias("block", "text"))
-    return asked.mapInPandas(run, RESPONSES)
+    return asked.mapInArrow(run, RESPONSES)
 
 
 def extract_with(documents: DataFrame, client_factory: Callable[[], Client] | None, folder: str | None = None) -> DataFrame:
