@@ -5,14 +5,14 @@ similarity of ``4/5`` or more with an earlier line is removed; earlier is a
 smaller doc_id, or an earlier line of the same document.
 
 Words are ordered by rarity, then by hash.  Rarity is a logarithmic class of
-the word's count over the whole corpus, counted in ``BUCKETS`` hash buckets, so
-that the classes are a table of fixed size.  Two sets similar enough share a
+the number of lines that hold the word, over the whole corpus and counted in
+``BUCKETS`` hash buckets, so that the classes are a table of fixed size.  Two sets similar enough share a
 word among the first ``n - ceil(4n/5) + 1`` of each (prefix filter), have sizes
 within ``4/5`` of each other (length filter), and behind their first shared
 word enough words are left (positional filter).  A word also flips one bit of
-its set's 128-bit signature, so two signatures differ in at most as many bits as
-the sets in words, which must be a ninth of all or fewer.  The pairs that pass
-are verified on the words themselves.
+its set's signature (64 bits, 128 for long lines), so two signatures differ in
+at most as many bits as the sets in words, which must be a ninth of all or
+fewer.  The pairs that pass are verified on the words themselves.
 
 Equal sets become one before the join.  Variants of one line, which all match
 each other, would make pairs in the square of their number; so sets that share
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from docintake.llm.common import forget, kept, let, text_of, thinned
 
 BUCKETS = 1 << 16
-SEEDS = (11, 23, 37, 53)
+#: Lines of more words have 128 bits of signature, others 64.
+LONG = 64
+MASK = 0x2AAAAAAA
 BEFORE = 4
 LOW = 0x7FFFFFFF
 #: White space inside a line.
@@ -45,48 +47,55 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(plain), " ", -1)
 
 
-def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """The rarity class of every bucket, in the top byte, as an array constant: three steps for each doubling of its count."""
-    words = docs.select(F.explode(words_of(F.replace(text_of(text), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
+def hashed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, hash, line, words) of every line with words, written: its distinct words as hashes, cut and hashed once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    lines = rows.select("doc_id", "hash", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
+    # asking the words for their number here would compute them twice
+    lines = lines.where(F.ltrim("text", F.lit(BLANKS)) != "")
+    words = F.array_distinct(F.transform(F.array_remove(words_of(F.col("text")), ""), lambda w: F.xxhash64(w)))
+    return kept(lines.select("doc_id", "hash", "line", words.alias("words")), "line-words")
+
+
+def rarity(lines: DataFrame) -> Column:
+    """The rarity class of every bucket as an array constant: three steps for each doubling of the lines that hold its words."""
+    words = lines.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
     classes = ["0"] * BUCKETS
     for r in counts:
-        classes[r.b] = str(min(127, int(3 * math.log2(r["count"]))) << 56)
+        classes[r.b] = str(min(127, int(3 * math.log2(r["count"]))))
+    # small numbers are shared objects, so the table stays in a core's cache
     return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
-def tokens(line: Column, classes: Column) -> Column:
-    """A line's distinct words as longs in order of rarity: class, then hash."""
+def tokens(words: Column, classes: Column) -> Column:
+    """A line's words as longs in order of rarity: class in the top byte, then hash."""
     low, rest = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
-    token = lambda h: F.get(classes, h.bitwiseAND(low).cast("int")).bitwiseOR(h.bitwiseAND(rest))
-    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, token))
+    token = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(low).cast("int")), 56).bitwiseOR(h.bitwiseAND(rest))
+    return F.sort_array(F.transform(words, token))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, hash, line, set, check, n, bits, more, prefix) of every line with words, written to the shared folder."""
-    classes = rarity(docs, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
-    lines = rows.select("doc_id", "hash", F.posexplode(F.array_compact(F.split("text", "\n", -1))).alias("line", "text"))
-    # asking the tokens for their number here would compute them twice
-    lines = lines.where(F.btrim("text", F.lit(BLANKS)) != "")
-    found = lines.select("doc_id", "hash", "line", tokens(F.col("text"), classes).alias("tokens"))
+    lines = hashed_lines(docs, doc_id, text)
+    found = lines.select("doc_id", "hash", "line", tokens(F.col("words"), rarity(lines)).alias("tokens"))
     n = F.size("tokens")
     first = n - F.floor((4 * n + 4) / 5).cast("int") + 1
     prefix = F.transform(F.slice("tokens", 1, first), lambda t: t.bitwiseAND(F.lit(LOW)).cast("int"))
     one = F.lit(1).cast("long")
 
-
     def flipped(bit) -> Column:
         flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int")))
         return F.aggregate("tokens", F.lit(0).cast("long"), flip)
 
-    # all words folded into 64 bits, and those of one half: what is not in that half is in the other
-    bits, more = flipped(lambda t: one), flipped(lambda t: F.shiftright(t, 6).bitwiseAND(one))
+    # all words folded into 64 bits, and for long lines those of one half: what is not in that half is in the other
+    bits, more = flipped(lambda t: one), F.when(n > LONG, flipped(lambda t: F.shiftright(t, 6).bitwiseAND(one))).otherwise(F.lit(0).cast("long"))
     named = found.select(
         "doc_id", "hash", "line", F.xxhash64("tokens").alias("set"), F.hash("tokens").alias("check"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix")
     )
-    return kept(named, "lines")
+    named = kept(named, "lines")
+    forget(lines)
+    return named
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
@@ -103,13 +112,17 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     lines of one template with a number in it.
     """
 
-    def key(seed: int, words: Column) -> Column:
-        mixed = F.sort_array(F.transform(words, lambda t: F.xxhash64(t, F.lit(seed))))
-        return F.when(F.size(words) >= 2, F.xxhash64(mixed[0], mixed[1], F.lit(seed)))
+    def keys(words: Column, seed: int) -> list[Column]:
+        n = F.size(words)
+        # two words have one order only
+        return [F.xxhash64(words[0], words[1], F.lit(seed)), F.when(n >= 3, F.xxhash64(words[n - 1], words[n - 2], F.lit(seed + 1)))]
 
+    # the low bits of the hashes, in their own order and in that of their distance from a mask: each has two ends
     common = F.when(F.size("prefix") >= 3, F.slice("prefix", 2, F.size("prefix"))).otherwise(F.col("prefix"))
-    keys = [key(seed, F.col("prefix") if n % 2 == 0 else common) for n, seed in enumerate(SEEDS)]
-    keyed = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.explode(F.array(*keys)).alias("key"))
+    mixed = F.sort_array(F.transform(common, lambda t: t.bitwiseXOR(F.lit(MASK))))
+    ordered = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.sort_array("prefix").alias("all"), mixed.alias("common"))
+    ends = F.array_compact(F.array(*keys(F.col("all"), 0), *keys(F.col("common"), 2)))
+    keyed = ordered.select("id", "no_id", "doc_id", F.explode(ends).alias("key"))
     along = Window.partitionBy("key").orderBy("no_id", "doc_id", "id")
     before = [F.first("id").over(along), *(F.lag("id", n).over(along) for n in range(1, BEFORE + 1))]
     led = keyed.select(F.col("id").alias("y"), F.array(*before).alias("before"))
@@ -125,18 +138,19 @@ def opened(sets: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): pairs that pass all filters, at least one of them open.
+    """(x, y): pairs that pass all filters, x the smaller set, at least one of them open.
 
-    Open sets meet each other, and closed sets meet open ones as witnesses;
-    closed sets never meet, so a family of variants that are closed already
-    makes no pairs in the square of its size.
+    Two sets similar enough share eight ninths of the smaller one's words, so
+    of that one the first ``n - ceil(8n/9) + 1`` words are enough.  Open sets
+    meet each other, and closed sets meet open ones as witnesses; closed sets
+    never meet, so a family of variants that are closed already makes no pairs
+    in the square of its size.
     """
-    rows = sets.where("n >= 4").select("id", "doc_id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
+    rows = sets.where("n >= 4").select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    rows = rows.select("word", "id", "doc_id", "bits", "more", packed.alias("p"), "open")
-    open_, closed = (rows.where(c).drop("open") for c in ("open", "not open"))
+    first = rows.where("9 * at <= n")
+    few, many = (r.select("word", "id", "bits", "more", packed.alias("p"), "open") for r in (first, rows))
 
-    # both joins read the same columns of the open sets, which are dealt out once for them
     def met(x: DataFrame, y: DataFrame, order: Column) -> DataFrame:
         (nx, ix), (ny, iy) = ((F.shiftright(f"{side}.p", 32), F.col(f"{side}.p").bitwiseAND(F.lit(0xFFFFFFFF))) for side in "xy")
         both = nx + ny
@@ -149,11 +163,10 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         )
         return x.alias("x").join(y.alias("y"), fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
 
-    # within a document, and without ids, either may be the later one; pairs of open sets are met once
-    x, y = F.col("x.doc_id"), F.col("y.doc_id")
-    once = (x < y) | (x.isNotNull() & y.isNull()) | (x.eqNullSafe(y) & (F.col("x.id") < F.col("y.id")))
-    witness = F.coalesce(x <= y, y.isNull())
-    found = met(open_, open_, once).union(met(closed, open_, witness))
+    # pairs of one size are met once: by open sets in the order of their ids, by closed ones as x
+    nx, ny = F.shiftright("x.p", 32), F.shiftright("y.p", 32)
+    once = (nx < ny) | ((nx == ny) & (~F.col("x.open") | (F.col("x.id") < F.col("y.id"))))
+    found = met(few, many.where("open"), once).union(met(many.where("open"), many.where("not open"), nx < ny))
     return kept(found.distinct(), "prefix-pairs")
 
 
@@ -161,6 +174,7 @@ def near(x: str, y: str, nx: Column, ny: Column) -> Column:
     """The length filter and the signature filter."""
     all_, half = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("bits", "more"))
     apart = F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))
+    apart = F.when((nx > LONG) & (ny > LONG), apart).otherwise(F.bit_count(all_))
     return (4 * nx <= 5 * ny) & (4 * ny <= 5 * nx) & (9 * apart <= nx + ny)
 
 
@@ -170,17 +184,20 @@ def key_of(doc_id: str, text: Column) -> Column:
 
 
 def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, written."""
+    """(later): the later set of each pair whose words have a Jaccard similarity of 4/5 or more, if it is open, written."""
     ends = pairs.select(F.explode(F.array("x", "y")).alias("end"))
     place = F.struct("no_id", "doc_id", "hash", "line")
-    placed = thinned(sets, F.col("id"), ends, "end").select("id", F.struct(place.alias("at"), "n", "bits", "more").alias("s"))
+    placed = thinned(sets, F.col("id"), ends, "end").select("id", F.struct(place.alias("at"), "n", "bits", "more", "open").alias("s"))
     known = pairs
     for end in ("x", "y"):
         known = known.join(placed.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")), end)
     known = known.where(near("sx.", "sy.", F.col("sx.n"), F.col("sy.n")))
-    second = F.when(F.col("sx.at") < F.col("sy.at"), F.col("y")).otherwise(F.col("x"))
+    earlier = F.col("sx.at") < F.col("sy.at")
+    # a closed set is a witness for later ones only
+    known = known.where(F.when(earlier, F.col("sy.open")).otherwise(F.col("sx.open")))
+    second = F.when(earlier, F.col("y")).otherwise(F.col("x"))
     ends = [address("sx.at").alias("kx"), address("sy.at").alias("ky"), F.array("sx.at.hash", "sy.at.hash").alias("hashes")]
-    known = kept(known.select(second.alias("later"), *ends), "line-pairs")
+    known = kept(known.select(second.alias("later"), (F.col("sx.n") + F.col("sy.n")).alias("both"), *ends), "line-pairs")
 
     wanted = known.select(F.explode(F.array("kx", "ky")).alias("wanted")).distinct()
     # only texts with such a line are cut into lines
@@ -194,12 +211,8 @@ def later_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     checked = known
     for end in ("x", "y"):
         checked = checked.join(lines.select(F.col("k").alias(f"k{end}"), F.col("text").alias(f"t{end}")), f"k{end}")
-    wx, wy = (F.array_distinct(F.array_remove(words_of(F.col(t)), "")) for t in ("tx", "ty"))
-
-    def alike(w: Column) -> Column:
-        return 9 * F.size(F.array_intersect(w["x"], w["y"])) >= 4 * (F.size(w["x"]) + F.size(w["y"]))
-
-    checked = checked.where(let(F.struct(wx.alias("x"), wy.alias("y")), alike))
+    shared = F.array_intersect(F.array_remove(words_of(F.col("tx")), ""), words_of(F.col("ty")))
+    checked = checked.where(9 * F.size(shared) >= 4 * F.col("both"))
     later = kept(checked.select("later").distinct(), "later-sets")
     forget(known, lines)
     return later
@@ -217,9 +230,10 @@ def removed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lines = lines_of(docs, doc_id, text)
     sets = distinct_sets(lines)
     first_pairs = leader_pairs(sets)
-    led = later_of(first_pairs, sets, texts)
-    pairs = prefix_pairs(opened(sets, led))
-    later = led.union(later_of(pairs, sets, texts)).distinct()
+    led = later_of(first_pairs, sets.withColumn("open", F.lit(True)), texts)
+    left = opened(sets, led)
+    pairs = prefix_pairs(left)
+    later = led.union(later_of(pairs, left, texts)).distinct()
 
     judged = opened(sets, later).where("copies > 1 or not open")
     l, j = lines.alias("l"), judged.alias("j")

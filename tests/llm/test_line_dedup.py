@@ -1,5 +1,6 @@
 import random
 
+from docintake.llm import line_dedup
 from docintake.llm.line_dedup import repeated_lines, without_repeated_lines
 
 from tests.llm.fixtures import TEXTS, documents, given
@@ -65,6 +66,30 @@ def test_crowd_of_variants(spark):
     assert sorted(((x.doc_id, x.text, x.n_removed) for x in got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_sizes_around_the_longer_signature(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(40):
+        base = [f"w{r.randrange(900)}" for _ in range(r.randint(52, 90))]
+        for k in range(6):
+            line = [w for w in base if r.random() > 0.03 * k] + [f"new{r.randrange(5000)}" for _ in range(r.randint(0, 3 * k))]
+            r.shuffle(line)
+            rows.append((6 * i + k, " ".join(line)))
+    r.shuffle(rows)
+    got = repeated_lines(documents(spark, rows)).collect()
+    want = brute(rows)
+    assert sorted(((x.doc_id, x.text, x.n_removed) for x in got), key=key) == sorted(want, key=key)
+    assert 40 < sum(n for _, _, n in want) < 200
+
+
+def test_words_are_cut_once(spark, monkeypatch):
+    cuts = []
+    words_of = line_dedup.words_of
+    monkeypatch.setattr(line_dedup, "words_of", lambda text: cuts.append(text) or words_of(text))
+    lines = line_dedup.lines_of(documents(spark, variants(3)), "doc_id", "text")
+    assert lines.count() > 0 and len(cuts) == 1
+
+
 def test_whole_rows_stay(spark):
     rows = [(1, "a b c d e\n\nsame line here"), (2, "Same LINE here\nnew"), (3, None), (4, ""), (5, "same line here"), (5, "same line here"), (None, "new")]
     docs = documents(spark, rows)
