@@ -21,13 +21,13 @@ def identity(doc_id: str, text: Column) -> Column:
     return F.concat(shown, F.lit("|"), F.hex(F.xxhash64(text)))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the folder all executors share and read it back.
+def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table once to the folder all executors share, with the writer's options, and read it back.
 
     Cuts the lineage, and fixes what a second evaluation could change.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,10 @@ LONG = 64
 MASK = 0x2AAAAAAA
 BEFORE = 4
 LOW = 0x7FFFFFFF
+#: Stands above the size of a closed set in the prefix join.
+CLOSED = 1 << 30
+#: Hashes neither compress nor repeat enough to pay for trying.
+AS_IS = {"compression": "none", "parquet.enable.dictionary": "false"}
 #: White space inside a line.
 BLANKS = " \t\x0b\f\r"
 
@@ -54,7 +58,7 @@ def hashed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # asking the words for their number here would compute them twice
     lines = lines.where(F.ltrim("text", F.lit(BLANKS)) != "")
     words = F.array_distinct(F.transform(F.array_remove(words_of(F.col("text")), ""), lambda w: F.xxhash64(w)))
-    return kept(lines.select("doc_id", "hash", "line", words.alias("words")), "line-words")
+    return kept(lines.select("doc_id", "hash", "line", words.alias("words")), "line-words", **AS_IS)
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -72,7 +76,8 @@ def tokens(words: Column, classes: Column) -> Column:
     """A line's words as longs in order of rarity: class in the top byte, then hash."""
     low, rest = F.lit(BUCKETS - 1), F.lit((1 << 56) - 1)
     token = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(low).cast("int")), 56).bitwiseOR(h.bitwiseAND(rest))
-    return F.sort_array(F.transform(words, token))
+    # no token is null, but only where the plan says so are longs sorted as primitive numbers
+    return F.sort_array(F.transform(words, lambda h: F.coalesce(token(h), F.lit(0).cast("long"))))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -121,12 +126,14 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     common = F.when(F.size("prefix") >= 3, F.slice("prefix", 2, F.size("prefix"))).otherwise(F.col("prefix"))
     mixed = F.sort_array(F.transform(common, lambda t: t.bitwiseXOR(F.lit(MASK))))
     ordered = sets.where(F.size("prefix") >= 2).select("id", "no_id", "doc_id", F.sort_array("prefix").alias("all"), mixed.alias("common"))
-    ends = F.array_compact(F.array(*keys(F.col("all"), 0), *keys(F.col("common"), 2)))
-    keyed = ordered.select("id", "no_id", "doc_id", F.explode(ends).alias("key"))
+    ends = F.array(*keys(F.col("all"), 0), *keys(F.col("common"), 2))
+    keyed = ordered.select("id", "no_id", "doc_id", F.explode(ends).alias("key")).where("key is not null")
     along = Window.partitionBy("key").orderBy("no_id", "doc_id", "id")
     before = [F.first("id").over(along), *(F.lag("id", n).over(along) for n in range(1, BEFORE + 1))]
-    led = keyed.select(F.col("id").alias("y"), F.array(*before).alias("before"))
-    led = led.select("y", F.explode(F.array_distinct(F.array_compact("before"))).alias("x"))
+    names = [f"before{n}" for n in range(BEFORE + 1)]
+    led = keyed.select(F.col("id").alias("y"), *(b.alias(n) for b, n in zip(before, names)))
+    # most are the first of their group, or alone in it
+    led = led.where("before1 is not null").select("y", F.explode(F.array_distinct(F.array(*names))).alias("x"))
     return kept(led.where("x <> y").select("x", "y").distinct(), "leader-pairs")
 
 
@@ -146,13 +153,19 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     never meet, so a family of variants that are closed already makes no pairs
     in the square of its size.
     """
-    rows = sets.where("n >= 4").select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    first = rows.where("9 * at <= n")
-    few, many = (r.select("word", "id", "bits", "more", packed.alias("p"), "open") for r in (first, rows))
+    rows = sets.where("n >= 4").select("id", "n", "bits", "more", "open", "prefix")
+    first = F.slice("prefix", 1, (F.floor(F.col("n") / 9) + 1).cast("int"))
+    closed = F.when(F.col("open"), F.lit(0)).otherwise(F.lit(CLOSED))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        # one number for size, place and whether closed, as these rows are what the joins move and sort
+        packed = F.shiftleft((F.col("n") + closed).cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+        rows = rows.select("id", "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "word"))
+        return rows.select("word", "id", "bits", "more", packed.alias("p"))
+
+    (nx, ix), (ny, iy) = ((F.shiftright(f"{side}.p", 32).bitwiseAND(F.lit(CLOSED - 1)), F.col(f"{side}.p").bitwiseAND(F.lit(0xFFFFFFFF))) for side in "xy")
 
     def met(x: DataFrame, y: DataFrame, order: Column) -> DataFrame:
-        (nx, ix), (ny, iy) = ((F.shiftright(f"{side}.p", 32), F.col(f"{side}.p").bitwiseAND(F.lit(0xFFFFFFFF))) for side in "xy")
         both = nx + ny
         fits = (
             (F.col("x.word") == F.col("y.word"))
@@ -164,9 +177,12 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
         return x.alias("x").join(y.alias("y"), fits).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
 
     # pairs of one size are met once: by open sets in the order of their ids, by closed ones as x
-    nx, ny = F.shiftright("x.p", 32), F.shiftright("y.p", 32)
-    once = (nx < ny) | ((nx == ny) & (~F.col("x.open") | (F.col("x.id") < F.col("y.id"))))
-    found = met(few, many.where("open"), once).union(met(many.where("open"), many.where("not open"), nx < ny))
+    x_closed = F.shiftright("x.p", 32) >= CLOSED
+    once = (nx < ny) | ((nx == ny) & (x_closed | (F.col("x.id") < F.col("y.id"))))
+    # no closed x is below ny; said this way, x stays as it is above, and one shuffle of it serves both joins
+    open_below = F.shiftright("x.p", 32) < ny
+    few = dealt(rows.withColumn("prefix", first))
+    found = met(few, dealt(rows.where("open")), once).union(met(few, dealt(rows.where("not open")), open_below))
     return kept(found.distinct(), "prefix-pairs")
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from docintake.llm import line_dedup
 from docintake.llm.line_dedup import repeated_lines, without_repeated_lines
 
@@ -90,6 +92,43 @@ def test_words_are_cut_once(spark, monkeypatch):
     assert lines.count() > 0 and len(cuts) == 1
 
 
+def test_tokens_are_sorted_as_primitive_numbers(spark):
+    lines = line_dedup.hashed_lines(documents(spark, variants(5)), "doc_id", "text")
+    found = lines.select("words", line_dedup.tokens(F.col("words"), line_dedup.rarity(lines)).alias("tokens"))
+    assert not found.schema["tokens"].dataType.containsNull  # with nulls Spark sorts boxed numbers by a comparator
+    rows = found.collect()
+    low = lambda values: sorted(v & ((1 << 56) - 1) for v in values)
+    assert rows and all(list(r.tokens) == sorted(r.tokens) and low(r.tokens) == low(r.words) for r in rows)
+
+
+def test_closed_sets_meet_open_ones_only(spark):
+    r = random.Random(9)
+    rows, opens = [], {}
+    for family in range(12):
+        base = [family * 1000 + k for k in range(r.choice([9, 20, 45, 80]))]
+        for _ in range(12):
+            words = {w if r.random() > 0.06 else r.randrange(20000, 90000) for w in base[r.randint(0, 3) :]}
+            # larger numbers first: any order will do
+            rows.append((len(rows), sorted(words, reverse=True)))
+            opens[len(opens)] = r.random() < 0.5
+    given_sets = []
+    for i, words in rows:
+        n, bits, more = len(words), 0, 0
+        for w in words:
+            bits ^= 1 << (w & 63)
+            more ^= ((w >> 6) & 1) << (w & 63) if n > line_dedup.LONG else 0
+        signed = [b - (1 << 64) if b >> 63 else b for b in (bits, more)]
+        given_sets.append((i, n, *signed, words[: n - (4 * n + 4) // 5 + 1], opens[i]))
+    sets = spark.createDataFrame(given_sets, "id long, n int, bits long, more long, prefix array<int>, open boolean")
+    found = [frozenset((x.x, x.y)) for x in line_dedup.prefix_pairs(sets).collect()]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    shared = {(i, j): len(set(rows[i][1]) & set(rows[j][1])) for i, j in pairs}
+    similar = {frozenset(p) for p in pairs if 9 * shared[p] >= 4 * (len(rows[p[0]][1]) + len(rows[p[1]][1]))}
+    want = {p for p in similar if any(opens[i] for i in p)}
+    assert len(found) == len(set(found)) and all(any(opens[i] for i in p) for p in found)
+    assert want <= set(found) and 100 < len(want) < len(similar)
+
+
 def test_whole_rows_stay(spark):
     rows = [(1, "a b c d e\n\nsame line here"), (2, "Same LINE here\nnew"), (3, None), (4, ""), (5, "same line here"), (5, "same line here"), (None, "new")]
     docs = documents(spark, rows)
