@@ -20,6 +20,12 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    at, system = _files(spark, path)
+    return system.exists(at)
+
+
 def numbers(spark: SparkSession, folder: str) -> list[int]:
     """The numbers of the pointers, two or three of them at most."""
     at, system = _files(spark, f"{folder}/{POINTERS}")
@@ -61,6 +67,15 @@ def point(spark: SparkSession, folder: str, number: int) -> None:
     system.create(at, True).close()
 
 
+def point_on(spark: SparkSession, folder: str, number: int) -> None:
+    """Put a pointer and take away the earlier ones."""
+    before = numbers(spark, folder)
+    point(spark, folder, number)
+    for old in before:
+        at, system = _files(spark, f"{folder}/{POINTERS}/{old}")
+        system.delete(at, False)
+
+
 def read(spark: SparkSession, folder: str, table: str, schema: T.StructType) -> DataFrame:
     """A table of the current generation; empty before the first one."""
     number = current(spark, folder)

@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docintake.fixed_values import DEFAULT_KEYWORDS, DOCUMENT_SUFFIXES, OBVIOUS_NAME_WORDS, POLL_SECONDS
 from docintake.operators import intake
-from docintake.session import TASKS_A_CORE, written
-from docintake.sources import messages
+from docintake.operators.ordering import global_position
+from docintake.session import TASKS_A_CORE, remove, shared_folder, written
+from docintake.sources import generations, messages
 
 LANDED = T.StructType(
     [
@@ -106,25 +107,74 @@ def intake_stream(
 FAILED = T.StructType([T.StructField("uid", T.LongType()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def box_round(landing: str, failed: str, rules: Rules, counters: str | None = None) -> Callable[[DataFrame, int], None]:
+def box_round(
+    landing: str, failed: str, rules: Rules, counters: str | None = None, box: messages.Box | None = None
+) -> Callable[[DataFrame, int], None]:
     """One round over raw message files: parse each once, note those that are no messages, land the parts of the others.
 
     Spark reads 32 small files a task; a task would take longer to start than
-    to parse them, so a round has a few tasks a core.
+    to parse them, so a round has a few tasks a core.  Files of a ``box`` are
+    paths yet, which those tasks open.
     """
     land = land_round(landing, rules, counters)
 
     def run(raw: DataFrame, number: int) -> None:
-        few = raw.coalesce(TASKS_A_CORE * raw.sparkSession.sparkContext.defaultParallelism)
-        parsed = written(messages.parse(few), "messages")
+        spark = raw.sparkSession
+        tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+        few = raw.repartition(tasks) if box else raw.coalesce(tasks)
+        rows, scratch = messages.parse(few, box), shared_folder(spark, "messages")
+        rows.write.parquet(scratch)
+        parsed = spark.read.schema(rows.schema).parquet(scratch)
         write_round(parsed.where(F.col("error").isNotNull()).select(FAILED.fieldNames()), failed, number)
         land(parsed.where(F.col("error").isNull()), number)
+        # the round has written all that it leaves
+        remove(spark, scratch)
+
+    return run
+
+
+SEEN = T.StructType([T.StructField("path", T.StringType())])
+
+
+def box_rounds(
+    box: messages.Box, landing: str, failed: str, checkpoint: str, rules: Rules, mark: int = 0, counters: str | None = None, once: bool = False
+) -> Callable[[DataFrame, int], None]:
+    """At each tick, list the box and handle the files not seen yet, the oldest first: with ``once`` all of them in rounds, else one round.
+
+    Files seen are a table below the checkpoint and never come to the driver.
+    A round's files join it when the round is done, and then a pointer; a
+    round that dies earlier is repeated under its number.
+    """
+    one = box_round(landing, failed, rules, counters, box)
+    seen, done = f"{checkpoint}/seen", f"{checkpoint}/rounds"
+
+    def run(tick: DataFrame, _: int) -> None:
+        spark = tick.sparkSession
+        first = generations.current(spark, done)
+        scratch = shared_folder(spark, "arrived")
+        # paths are so much smaller when stored that Spark would broadcast very many of them, by way of the driver
+        known = read_rounds(spark, seen, SEEN).where(F.col("round") < first).hint("merge")
+        try:
+            messages.listed(spark, box, f"{scratch}/listing").join(known, "path", "left_anti").write.parquet(f"{scratch}/new")
+            new = spark.read.parquet(f"{scratch}/new")
+            rounds = -(-new.count() // box.per_round)
+            if rounds > 1:
+                global_position(new, [F.col("modified"), F.col("path")], "place").write.parquet(f"{scratch}/in-order")
+                new = spark.read.parquet(f"{scratch}/in-order")
+            for n in range(rounds if once else min(rounds, 1)):
+                some = new.where(F.floor((F.col("place") - 1) / box.per_round) == n) if rounds > 1 else new
+                # Spark leaves out files without a byte
+                one(intake.after_mark(some, mark).where("length > 0"), first + n)
+                write_round(some.select("path"), seen, first + n)
+                generations.point_on(spark, done, first + n + 1)
+        finally:
+            remove(spark, scratch)
 
     return run
 
 
 def box_stream(
-    raw: DataFrame,
+    raw: messages.Box | DataFrame,
     landing: str,
     failed: str,
     checkpoint: str,
@@ -134,19 +184,21 @@ def box_stream(
     once: bool = False,
     seconds: int = POLL_SECONDS,
 ) -> StreamingQuery:
-    """Start the watch loop over a folder of raw message files, as :func:`messages.watch` streams them.
+    """Start the watch loop over a folder of raw message files, as :func:`messages.watch` gives it, or over a stream of ``path, content, uid``.
 
     The checkpoint knows the files it has seen.  ``mark`` spares a new
     checkpoint the files up to that id: they are listed but never opened.
+    Spark's file source, which lists in the driver, serves folders that tasks
+    cannot open and checkpoints begun with it.
     """
     trigger = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
-    return (
-        intake.after_mark(raw, mark)
-        .writeStream.foreachBatch(box_round(landing, failed, rules, counters))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    if isinstance(raw, messages.Box) and (generations.exists(raw.spark, f"{checkpoint}/sources") or not raw.in_tasks()):
+        raw = raw.stream()
+    if isinstance(raw, messages.Box):
+        rows, run = raw.ticks(), box_rounds(raw, landing, failed, checkpoint, rules, mark, counters, once)
+    else:
+        rows, run = intake.after_mark(raw, mark), box_round(landing, failed, rules, counters)
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 NAMED = T.StructType([f for f in LANDED if f.name != "content"])
